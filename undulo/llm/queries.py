@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from undulo.llm import quality_classifier, sentencepiece_codec, token_counts
+from undulo.llm import quality_classifier, sentencepiece_codec, sharding, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op3_sharding": sharding.op3_sharding,
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op10_token_counts": token_counts.op10_token_counts,
 }
