@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from undulo.llm.common import remove, scratch, small_batches, small_side, stored
 
 #: Distinct parts of texts whose counts a Python worker keeps.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 200_000
 LIMIT = 512
 
 _CUT, _RUN, _FIRST, _NEXT = re.compile(r"(?<=\S) "), re.compile(r"\s "), "\0", "\1"
@@ -143,7 +143,8 @@ def with_token_counts(df: DataFrame, path: str, key: str, text: str = "text", ca
             yield pd.DataFrame({"content": b["content"], "version": tag, "n_tokens": counter(path).counts([t or "" for t in b["whole"]])})
 
     todo.mapInPandas(encode, _FIELDS).write.mode("append").parquet(cache)
-    return rows.join(counts(), "content").select(F.col("row_key").alias(key), "n_bytes", "n_tokens")
+    known = stored(counts(), "token-counts")  # a table of its own, so that Spark can split a text with very many rows
+    return rows.join(known, "content").select(F.col("row_key").alias(key), "n_bytes", "n_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
