@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from undulo.llm import mixing, quality_classifier, sentencepiece_codec, sharding, token_counts
+from undulo.llm import minhash_dedup, mixing, quality_classifier, sentencepiece_codec, sharding, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op3_sharding": sharding.op3_sharding,
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_mixing": mixing.op5_mixing,
+    "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
