@@ -142,7 +142,7 @@ def mix(df: DataFrame, key: str, source: str = "source", text: str = "text", see
     pieces = placed.filter("size > 0").select("number", "offset", "size", F.explode(F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")).alias("block"))
     start = F.greatest("offset", F.col("block") * block)
     pieces = pieces.select("number", "block", "offset", start.alias("start"), (F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block) - start).alias("words"))
-    return Mix(placed, draws.join(pieces, ["number", "block"]))
+    return Mix(placed, draws.join(pieces.hint("merge"), ["number", "block"]))  # Spark takes draws for as small as the plan they unfold from
 
 
 def with_taken(mixed: Mix) -> DataFrame:
