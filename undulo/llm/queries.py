@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from undulo.llm import license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts
+from undulo.llm import chat_format, embedding_dedup, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_mixing": mixing.op5_mixing,
     "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_chat_format": chat_format.op9_chat_format,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
