@@ -53,17 +53,17 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have, in any case."""
-    taken, name = {c.lower() for c in df.columns}, base
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def hold(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """``df`` with its columns packed into one, ``held``, beside the given ones, so that no names can clash."""
+    every = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(1))
+    return df.select(every.alias("held"), *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
-def row_hash(df: DataFrame, seed: int) -> Column:
-    """A 64-bit hash of all columns of a row."""
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+def release(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """The held columns again with new ones, which take the place of those of the same name."""
+    new = {name.lower() for name in columns}
+    kept = [F.col("held").getField(c).alias(c) for c in df.schema["held"].dataType.names if c.lower() not in new]
+    return df.select(*kept, *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
 # --- words and shingles, hashed in numpy over the bytes of one text -------------------------------------

@@ -9,7 +9,7 @@ the order of rules, is suppressed: it suffices to go through the hits by start a
 Beside the rules stand four base phrases, all places of which are counted.
 
 Null texts count as empty: no words, no labels, score 0. Texts are scanned whole. Rows, their order, repeats and other
-columns stay; a clashing column name raises ``ValueError``.
+columns stay; a column named licenses is replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undulo.llm.common import hold, release
+
 #: The base phrases and their labels.
 BASE = {"apache license": "apache", "cc by": "cc-by", "gnu general public license": "gpl", "mit license": "mit"}
 
@@ -136,9 +138,6 @@ def _unsuppressed(found: Column) -> Column:
 
 def with_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``licenses``: n_words, n_base, first_word, last_word, base_labels, labels, score, and the detections (start, end, label, level, sure)."""
-    taken = {"licenses", "license_text", "license_rules", "license_hits"} & {c.lower() for c in df.columns}
-    if taken:
-        raise ValueError(f"the input has a column named {sorted(taken)[0]}")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
     words = F.concat(F.lit(" "), F.trim(F.translate(words, upper, upper.lower())), F.lit(" "))
@@ -148,7 +147,7 @@ def with_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     tried = F.filter("license_rules", lambda r: F.contains(whole, r["keyword"]))
     hits = F.flatten(F.transform(tried, lambda r: _hits(whole, r)))
     hits = F.when(whole.rlike(ANCHORS), _unsuppressed(hits))
-    df = df.withColumn("license_text", words).withColumn("license_rules", table).withColumn("license_hits", hits)
+    df = hold(df, license_text=words).withColumn("license_rules", table).withColumn("license_hits", hits)
 
     phrases = "|".join(BASE)
     parts = F.split(whole, f"(?<= )(?=(?:{phrases}) )", -1)
@@ -167,7 +166,7 @@ def with_licenses(df: DataFrame, text: str = "text") -> DataFrame:
         sure.alias("score"),
         F.transform(kept, lambda h: F.struct(h["start"].alias("start"), (-h["behind"]).alias("end"), h["label"].alias("label"), h["level"].alias("level"), h["sure"].alias("sure"))).alias("detections"),
     ]
-    return df.withColumn("licenses", F.struct(*fields)).drop("license_text", "license_rules", "license_hits")
+    return release(df, licenses=F.struct(*fields))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

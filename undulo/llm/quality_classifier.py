@@ -10,8 +10,8 @@ row is scored, on its executor, from the weights, whose size is fixed.
 
 Null and empty texts have no features and get the score of the model's constant term. Labels other than 0
 and 1, null labels, and keys with both labels are not used. Without any label every score is 0.5;
-with one class it is that class's smoothed share. Rows, their order, repeats and other columns stay; a clashing
-column name raises ``ValueError``.
+with one class it is that class's smoothed share. Rows, their order, repeats and other columns stay; a column
+with the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -160,8 +160,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str = "t
 
 def with_score(df: DataFrame, model: tuple, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the score of every whole text."""
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input has a column named {out}")
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(tuple(model))
 

@@ -9,7 +9,7 @@ Counts over words ``[^\\x20\\x09-\\x0D]+`` that a rule uses: code points in word
 in eight-word windows that the text has twice or more (windows are told apart by 64-bit hashes).
 
 Null and empty texts have no words and fail the base rules. Without trusted documents all ratios are 0 and the base rules decide alone.
-Texts are counted whole. Rows, their order, repeats and other columns stay; a clashing column name raises ``ValueError``.
+Texts are counted whole. Rows, their order, repeats and other columns stay; columns with the names of the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import small_side, stored
+from undulo.llm.common import hold, release, small_side, stored
 
 BUCKETS, SMOOTH, WINDOW = 16_384, 1.0, 8
 #: A document whose mean log ratio is below is rejected.
@@ -57,13 +57,10 @@ def ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str = "text") ->
     return every.join(counts, "bucket", "left").select("bucket", ratio.alias("ratio"))
 
 
-def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``rules``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; and ``word_hashes``."""
-    taken = {"rules", "word_hashes", "rule_windows", "rule_ranked", "rule_twice", "rule_lines", "rule_buckets", "rule_table"} & {c.lower() for c in df.columns}
-    if taken:
-        raise ValueError(f"the input has a column named {sorted(taken)[0]}")
-    whole, hashes = _text(text), F.col("word_hashes")
-    df = df.withColumn("word_hashes", _hashes(text))
+def _counted(df: DataFrame, text: str) -> DataFrame:
+    """``df`` held, with its word hashes and the struct of counts."""
+    hashes, whole = F.col("word_hashes"), F.col("whole")
+    df = hold(df, whole=_text(text)).withColumn("word_hashes", _hashes("whole"))
     windows = F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)]))
     df = df.withColumn("rule_windows", F.slice(windows, F.lit(1), F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0))))
     windows = F.col("rule_windows")
@@ -83,21 +80,23 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
         (F.size("rule_lines") - F.size(F.array_distinct("rule_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(steps, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long").alias("n_repeat_words"),
     ]
-    return df.withColumn("rules", F.struct(*fields)).drop("rule_windows", "rule_ranked", "rule_twice", "rule_lines")
+    return df.select("held", "word_hashes", F.struct(*fields).alias("rules"))
+
+
+def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``rules``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    return release(_counted(df, text), rules="rules")
 
 
 def with_verdict(df: DataFrame, ratio: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``rules`` (the counts), ``log_ratio`` (the mean), base_failed and kept."""
-    taken = {"log_ratio", "base_failed", "kept"} & {c.lower() for c in df.columns}
-    if taken:
-        raise ValueError(f"the input has a column named {sorted(taken)[0]}")
     table = ratio.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))), lambda x: x["ratio"])).scalar()
-    df = with_counts(df, text).withColumn("rule_buckets", _buckets(F.col("word_hashes"))).withColumn("rule_table", table)
+    df = _counted(df, text).withColumn("rule_buckets", _buckets(F.col("word_hashes"))).withColumn("rule_table", table)
     total = F.aggregate("rule_buckets", F.lit(0.0), lambda s, b: s + F.get("rule_table", b))
     n = F.col("rules.n_words")
     failed = (n < 20) | (100 * F.col("rules.n_repeat_words") > 30 * n)
     df = df.withColumn("log_ratio", F.when(n > 0, total / F.size("rule_buckets")).otherwise(F.lit(0.0))).withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold)).drop("word_hashes", "rule_buckets", "rule_table")
+    return release(df, rules="rules", log_ratio="log_ratio", base_failed="base_failed", kept=~F.col("base_failed") & (F.col("log_ratio") >= threshold))
 
 
 def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

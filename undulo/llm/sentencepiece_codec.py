@@ -10,7 +10,7 @@ Encoding is cut at spaces: where no piece of the vocabulary goes on with a space
 and kept in a bounded cache. A model that doesn't meet this is given whole texts.
 
 Null and empty texts have no pieces and decode to the empty string. Texts are never cut short. Rows,
-their order, repeats and other columns stay as they are; a clashing column name raises ``ValueError``.
+their order, repeats and other columns stay as they are; a column named pieces is replaced.
 """
 
 from __future__ import annotations
@@ -208,8 +208,6 @@ def with_pieces(df: DataFrame, path: str, text: str = "text", digests_only: bool
     digests_only leaves the arrays and the decoded text out of what is sent back: n_tokens, ids_sha256,
     decoded_sha256, and span_bytes, the end of the last span.
     """
-    if "pieces" in {c.lower() for c in df.columns}:
-        raise ValueError("the input has a column named pieces")
     small_batches(df.sparkSession, rows=5000)
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long"
     kind = f"struct<{', '.join(x.replace(' ', ':') for x in kind.split(', '))}"

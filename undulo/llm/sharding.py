@@ -11,7 +11,7 @@ The number of buckets follows from the bytes of the records. Bucket counts, one
 
 Records with equal texts are dealt on their own. A record that repeats in every column shares its bucket with
 its copies, among which nothing can tell; the only ones to make a bucket larger than the others are they. Nulls are
-values like others. An empty table gives no rows. A clashing column name raises ``ValueError``.
+values like others. An empty table gives no rows. Columns named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from undulo.llm.common import row_hash
+from undulo.llm.common import hold, release
 
 SHARDS, SEED = 40, 20_240_229
 #: Bytes of records that a bucket holds about, and the most buckets, beyond which they hold more.
@@ -39,13 +39,12 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
 
 
 def with_places(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """``df`` in shuffled order, with ``place`` from 0, and its number of rows."""
-    if {"place", "deal", "bucket"} & {c.lower() for c in df.columns}:
-        raise ValueError("the input has a column named place, deal or bucket")
-    dealt = df.withColumn("deal", row_hash(df, seed))
+    """The rows of ``df``, each in the column ``held``, in shuffled order with ``place`` from 0; and their number."""
     texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    bytes_ = sum(texts, F.lit(16 * len(df.columns)))
+    dealt = hold(df, deal=F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), bytes=bytes_)
     fine = dealt.groupBy(F.shiftrightunsigned("deal", 46).alias("fine"))  # 2^18 parts at most
-    fine = fine.agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(16 * len(df.columns)))).alias("bytes"))
+    fine = fine.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     total, size = fine.agg(F.sum("n"), F.sum("bytes")).first()
     buckets = 1
     while buckets < MAX_BUCKETS and buckets * bucket_bytes < (size or 0):
@@ -59,30 +58,24 @@ def with_places(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTE
     before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = counts.select("bucket", before.alias("place"))
     rows = dealt.withColumn("bucket", bucket(F.col("deal"))).repartition("bucket").join(F.broadcast(start), "bucket")
-    rows = rows.select(*[f"`{c}`" for c in df.columns], "place", "deal", "bucket")
-    fields = [f for f in rows.schema if f.name not in ("deal", "bucket")]
-    names = [f.name for f in fields]
+    rows = rows.select("held", "place", "deal", "bucket")
 
     def shuffle(table: pa.Table) -> pa.Table:
         number = table["bucket"][0].as_py()
         order = table["deal"].to_numpy().argsort(kind="stable")
         order = order[fisher_yates(len(order), seed * 1_000_003 + number)]
         places = table["place"][0].as_py() + np.arange(len(order), dtype=np.int64)
-        table = table.select(names).take(pa.array(order))
-        return table.set_column(names.index("place"), "place", pa.array(places))
+        return pa.table({"held": table["held"].take(pa.array(order)), "place": pa.array(places)})
 
-    return rows.groupBy("bucket").applyInArrow(shuffle, T.StructType(fields)), total or 0
+    return rows.groupBy("bucket").applyInArrow(shuffle, T.StructType([rows.schema["held"], rows.schema["place"]])), total or 0
 
 
 def with_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df`` in shuffled order with ``shard`` and ``slot``, its place in the shard."""
-    if {"shard", "slot"} & {c.lower() for c in df.columns}:
-        raise ValueError("the input has a column named shard or slot")
     placed, total = with_places(df, seed, bucket_bytes)
-    shard = F.expr(f"((place + 1) * {shards}L - 1) div {max(total, 1)}L").cast("int")
-    placed = placed.withColumn("shard", shard)
-    first = F.expr(f"(shard * {max(total, 1)}L) div {shards}L")
-    return placed.withColumn("slot", F.col("place") - first).drop("place")
+    rows = max(total, 1)
+    placed = placed.withColumn("shard", F.expr(f"((place + 1) * {shards}L - 1) div {rows}L").cast("int"))
+    return release(placed, shard="shard", slot=F.col("place") - F.expr(f"(shard * {rows}L) div {shards}L"))
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:

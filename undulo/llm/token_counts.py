@@ -8,7 +8,7 @@ in the shared folder or at a path given. Two runs that append the same key at on
 Texts go through no shuffle as long as the keys that need no encoding in a row (cached ones, and repeated
 ones outside their first row) fit a broadcast; their number is checked, and beyond ``BROADCAST_ROWS`` a
 shuffled join takes over. A null text counts as empty: no tokens. Very long texts are encoded whole.
-Repeated rows keep their number; other columns are kept, and a clashing column name raises ``ValueError``.
+Repeated rows keep their number. Only the key is passed on, so other columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
