@@ -8,9 +8,9 @@ it puts more than 4.5 standard deviations below 0.75 is dropped, every other is
 
 Not all pairs of a key are made. First every class is paired with one of its key, another class for each key; the
 links found are joined to components. Only keys that still hold several components are looked at again: there
-the classes outside the largest component are compared, in blocks, with all classes of the key by their sketches, and the new pairs
-decided. A pair that both rounds leave out is connected already or has sketches too far apart. A pair with
-similarity 0.75 misses all keys with probability 5e-6, and less the more alike it is.
+the classes outside the largest component are compared, in blocks, with all classes of the key, by sketch and then by full sets,
+and a block sends back no more links than join its components. A pair that both rounds leave out is connected already or has sketches too far
+apart. A pair with similarity 0.75 misses all keys with probability 5e-6, and less the more alike it is.
 
 Texts of fewer than five words have one shingle, the whole sequence. Null texts and texts without words have an empty set
 and link with nothing: their component is their own key. The component is the smallest key that is reachable,
@@ -34,8 +34,8 @@ SAMPLES, BAND, BANDS, BITS = 256, 4, 32, 1024
 WORDS, PERCENT = 5, 75
 #: Bits in which two sketches may differ: 66 above the mean of 113 at similarity 0.75, where the deviation is 14.7.
 MOST_BITS = 179
-#: Classes on either side of a block of comparisons.
-SIDE = 512
+#: Classes on either side of a block of comparisons, and shingles in a group of blocks about.
+SIDE, GROUP = 256, 1 << 20
 
 _rng = np.random.default_rng(41)
 _XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
@@ -123,13 +123,16 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.filter(fits & (bits <= MOST_BITS)).select("a", "b")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, unique: bool) -> DataFrame:
-    """The pairs whose full sets are alike enough. firsts: node and the key of its first row."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame, firsts: DataFrame, unique: bool) -> DataFrame:
+    """node and shingles of some classes, from the text of each one's first row. firsts: node and the key of that row."""
     wanted = stored(firsts.join(nodes, "node", "left_semi").select(F.col("first").alias("key")).distinct(), "minhash-wanted")
     texts = docs.join(small_side(wanted, wanted.count()), docs["key"].eqNullSafe(wanted["key"]), "left_semi")
     sets = shingle_sets(texts)
-    sets = stored(sets if unique else sets.dropDuplicates(["node"]), "minhash-sets")
+    return stored(sets if unique else sets.dropDuplicates(["node"]), "minhash-sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are alike enough."""
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side)
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -140,11 +143,47 @@ def _pair(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _left_over(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame | None:
-    """Pairs of classes that share a key but no component, with sketches that allow a link; None if no key has such classes."""
+def _compare(table: pa.Table) -> pa.Table:
+    """Links between components in some blocks, decided on the full sets; of the links of a block, those that join components."""
+    node, root, n, minor = (table[c].to_numpy() for c in ("node", "root", "n", "minor"))
+    sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(len(node), -1).view(np.uint64)
+    shingles = table["shingles"].combine_chunks()
+    starts, items = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+    block = np.unique(np.stack([table[c].to_numpy() for c in ("key", "i", "j")]), axis=1, return_inverse=True)[1].ravel()
+    order, links = np.argsort(block, kind="stable"), []
+    for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        few, every = rows[minor[rows]], rows[~minor[rows]]
+        lists = [items[starts[r] : starts[r + 1]] for r in every]
+        ids, place = np.unique(np.concatenate([np.empty(0, np.int64), *lists]), return_inverse=True)
+        first = np.cumsum([0, *map(len, lists)])[:-1]
+        joined = {r: r for r in root[rows].tolist()}
+
+        def top(r: int, joined: dict = joined) -> int:
+            while joined[r] != r:
+                joined[r] = r = joined[joined[r]]
+            return r
+
+        for x in few:
+            y = np.flatnonzero((root[every] != root[x]) & (100 * np.minimum(n[x], n[every]) >= PERCENT * np.maximum(n[x], n[every])))
+            y = y[np.bitwise_count(sketch[every[y]] ^ sketch[x]).sum(1) <= MOST_BITS]
+            if not len(y):
+                continue
+            own = np.isin(ids, items[starts[x] : starts[x + 1]], assume_unique=True)
+            common = np.add.reduceat(own[place], first, dtype=np.int64)[y]
+            for k in y[100 * common >= PERCENT * (n[x] + n[every[y]] - common)].tolist():
+                a, b = top(int(root[x])), top(int(root[every[k]]))
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    links.append((int(node[x]), int(node[every[k]])))
+    pairs = np.sort(np.array(links, np.int64).reshape(-1, 2), axis=1)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _left_over(members: DataFrame, roots: DataFrame, sketches: DataFrame, sets_of) -> DataFrame | None:
+    """Links of classes that share a key but no component; None if no key has such classes. sets_of: from nodes to their full sets."""
     rows = members.filter("n_key > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = stored(rows.select("key", "node", "root"), "minhash-roots")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("key")
     sizes = rows.join(mixed, "key", "left_semi").groupBy("key", "root").agg(F.count("*").alias("n"))
     major = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
     blocks = F.ceil(F.col("n") / SIDE), F.ceil((F.col("n") - F.col("most.n")) / SIDE)
@@ -157,27 +196,10 @@ def _left_over(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> Dat
     every = rows.select("key", "node", "root", F.lit(False).alias("minor"), own[0].alias("j"), F.explode(F.sequence(F.lit(0), F.col("low") - 1)).alias("i"))
     minor = rows.filter("root != major").select("key", "node", "root", F.lit(True).alias("minor"), own[1].alias("i"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("j"))
     placed = stored(every.unionByName(minor).join(sketches.select("node", "n", "sketch"), "node"), "minhash-blocks")
-    groups = max(1, placed.count() // 4000)
-
-    def compare(table: pa.Table) -> pa.Table:
-        node, root, n, minor = (table[c].to_numpy() for c in ("node", "root", "n", "minor"))
-        sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(len(node), -1).view(np.uint64)
-        block = np.unique(np.stack([table[c].to_numpy() for c in ("key", "i", "j")]), axis=1, return_inverse=True)[1].ravel()
-        order, found = np.argsort(block, kind="stable"), []
-        for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-            few, all_ = rows[minor[rows]], rows[~minor[rows]]
-            for k in range(0, len(few), 64):
-                x = few[k : k + 64]
-                fits = (root[x, None] != root[all_]) & (100 * np.minimum(n[x, None], n[all_]) >= PERCENT * np.maximum(n[x, None], n[all_]))
-                p, q = np.nonzero(fits)
-                near = np.bitwise_count(sketch[x[p]] ^ sketch[all_[q]]).sum(1) <= MOST_BITS
-                found.append(np.stack([node[x[p[near]]], node[all_[q[near]]]]))
-        pairs = np.concatenate([np.empty((2, 0), np.int64), *found], axis=1)
-        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
+    groups = max(1, (placed.agg(F.sum("n")).first()[0] or 0) // GROUP)
     part = F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))
-    return placed.withColumn("part", part).groupBy("part").applyInArrow(compare, "a long, b long").distinct()
+    placed = placed.join(sets_of(placed.select("node").distinct()), "node").withColumn("part", part)
+    return placed.groupBy("part").applyInArrow(_compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -203,12 +225,11 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     firsts = classes.select("node", "first")
 
     tried = stored(_close(members.filter("node != lead").select(*_pair("node", "lead")).distinct(), sketches), "minhash-pairs")
-    links = stored(_links(tried, docs, firsts, unique), "minhash-links")
+    ends = [tried.select(F.col(side).alias("node")) for side in ("a", "b")]
+    links = stored(_links(tried, _sets(ends[0].unionByName(ends[1]).distinct(), docs, firsts, unique)), "minhash-links")
     roots = stored(components(links, "a", "b"), "minhash-roots")
-    more = _left_over(members, roots, sketches)
+    more = _left_over(members, roots, sketches, lambda nodes: _sets(nodes, docs, firsts, unique))
     if more is not None:
-        more = stored(more.join(tried, ["a", "b"], "left_anti"), "minhash-more")
-        more = _links(more, docs, firsts, unique)
         roots = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = stored(components(roots.unionByName(more), "a", "b"), "minhash-roots")
 
