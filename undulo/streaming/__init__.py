@@ -1,0 +1 @@
+"""Nothing: an index is built over a finite text, so no stateful streams are needed."""
