@@ -59,6 +59,12 @@ def hold(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(every.alias("held"), *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """The held columns with new ones that no filter is pushed below: there, array functions that share their input
+    would be computed again for each place that names it. A generator of one row each stands between."""
+    return df.select("held", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def release(df: DataFrame, **columns: Column | str) -> DataFrame:
     """The held columns again with new ones, which take the place of those of the same name."""
     new = {name.lower() for name in columns}

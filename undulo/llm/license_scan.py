@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import hold, release
+from undulo.llm.common import hold, release, settle
 
 #: The base phrases and their labels.
 BASE = {"apache license": "apache", "cc by": "cc-by", "gnu general public license": "gpl", "mit license": "mit"}
@@ -166,7 +166,7 @@ def with_licenses(df: DataFrame, text: str = "text") -> DataFrame:
         sure.alias("score"),
         F.transform(kept, lambda h: F.struct(h["start"].alias("start"), (-h["behind"]).alias("end"), h["label"].alias("label"), h["level"].alias("level"), h["sure"].alias("sure"))).alias("detections"),
     ]
-    return release(df, licenses=F.struct(*fields))
+    return release(settle(df, licenses=F.struct(*fields)), licenses="licenses")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

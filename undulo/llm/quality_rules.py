@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import hold, release, small_side, stored
+from undulo.llm.common import hold, release, settle, small_side, stored
 
 BUCKETS, SMOOTH, WINDOW = 16_384, 1.0, 8
 #: A document whose mean log ratio is below is rejected.
@@ -93,10 +93,11 @@ def with_verdict(df: DataFrame, ratio: DataFrame, text: str = "text", threshold:
     table = ratio.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))), lambda x: x["ratio"])).scalar()
     df = _counted(df, text).withColumn("rule_buckets", _buckets(F.col("word_hashes"))).withColumn("rule_table", table)
     total = F.aggregate("rule_buckets", F.lit(0.0), lambda s, b: s + F.get("rule_table", b))
+    mean = F.when(F.size("rule_buckets") > 0, total / F.size("rule_buckets")).otherwise(F.lit(0.0))
+    df = settle(df, rules=F.col("rules"), log_ratio=mean)
     n = F.col("rules.n_words")
     failed = (n < 20) | (100 * F.col("rules.n_repeat_words") > 30 * n)
-    df = df.withColumn("log_ratio", F.when(n > 0, total / F.size("rule_buckets")).otherwise(F.lit(0.0))).withColumn("base_failed", failed)
-    return release(df, rules="rules", log_ratio="log_ratio", base_failed="base_failed", kept=~F.col("base_failed") & (F.col("log_ratio") >= threshold))
+    return release(df, rules="rules", log_ratio="log_ratio", base_failed=failed, kept=~failed & (F.col("log_ratio") >= threshold))
 
 
 def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
