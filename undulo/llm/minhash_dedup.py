@@ -35,7 +35,7 @@ WORDS, PERCENT = 5, 75
 #: Bits in which two sketches may differ: 66 above the mean of 113 at similarity 0.75, where the deviation is 14.7.
 MOST_BITS = 179
 #: Classes on either side of a block of comparisons, and shingles in a group of blocks about.
-SIDE, GROUP = 256, 1 << 20
+SIDE, GROUP = 1024, 1 << 20
 
 _rng = np.random.default_rng(41)
 _XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
