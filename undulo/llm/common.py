@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +50,16 @@ def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
+@contextmanager
+def without_gc():
+    """Large caches without cycles make Python's collector slow; it rests meanwhile."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has ``rows`` rows, counted beforehand, within the bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

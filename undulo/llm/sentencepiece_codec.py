@@ -15,7 +15,6 @@ their order, repeats and other columns stay as they are; a column named pieces i
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 import struct
@@ -26,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import small_batches
+from undulo.llm.common import small_batches, without_gc
 
 SPACE = "▁"
 #: Distinct parts of texts that a Python worker keeps.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 100_000
 
 _CUT = re.compile(r"(?<=[^ ▁]) (?=.)", re.S)
 
@@ -208,17 +207,17 @@ def with_pieces(df: DataFrame, path: str, text: str = "text", digests_only: bool
     digests_only leaves the arrays and the decoded text out of what is sent back: n_tokens, ids_sha256,
     decoded_sha256, and span_bytes, the end of the last span.
     """
-    small_batches(df.sparkSession, rows=5000)
+    small_batches(df.sparkSession, rows=500, megabytes=4)
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long"
     kind = f"struct<{', '.join(x.replace(' ', ':') for x in kind.split(', '))}"
     kind += ">" if digests_only else ",ids:array<int>,span_ends:array<int>,decoded:string>"
 
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.DataFrame:
-        gc.disable()  # what the worker keeps has no cycles, and looking through it takes long
-        model, rows = codec(path), []
-        texts = [t or "" for t in texts]
-        for text, ids in zip(texts, model.encode(texts), strict=True):
+        model, rows, texts = codec(path), [], [t or "" for t in texts]
+        with without_gc():
+            encoded = model.encode(texts)
+        for text, ids in zip(texts, encoded, strict=True):
             ends = model.span_ends(text, ids)
             decoded = model.decode(ids)
             row = (len(ids), hashlib.sha256(model.joined(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ends[-1] if ends else 0)
