@@ -13,7 +13,6 @@ Repeated rows keep their number. Only the key is passed on, so other columns, wh
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import re
@@ -24,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import remove, scratch, small_batches, small_side, stored
+from undulo.llm.common import remove, scratch, small_batches, small_side, stored, without_gc
 
 #: Distinct parts of texts whose counts a Python worker keeps.
 CACHE_PARTS = 200_000
@@ -114,7 +113,7 @@ def with_token_counts(df: DataFrame, path: str, key: str, text: str = "text", ca
     cache: the folder of stored counts, made if it isn't there. Without it the counts go to a fresh one.
     """
     spark = df.sparkSession
-    small_batches(spark, rows=5000)
+    small_batches(spark, rows=2000, megabytes=8)
     cache = cache or scratch(spark, "token-cache")
     tag = version(path)
     keyed = df.select(F.col(key).alias("row_key"), F.col(text).alias("whole")).withColumn("content", _content(path, "whole"))
@@ -135,12 +134,13 @@ def with_token_counts(df: DataFrame, path: str, key: str, text: str = "text", ca
     todo = todo.filter("known is null and (first_key is null or first_key <=> row_key)").select("content", "whole")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()  # what the worker keeps has no cycles, and looking through it takes long
         done: set[bytes] = set()
         for b in batches:
             fresh = [k not in done and not done.add(k) for k in b["content"]]
             b = b[fresh]
-            yield pd.DataFrame({"content": b["content"], "version": tag, "n_tokens": counter(path).counts([t or "" for t in b["whole"]])})
+            with without_gc():
+                counted = counter(path).counts([t or "" for t in b["whole"]])
+            yield pd.DataFrame({"content": b["content"], "version": tag, "n_tokens": counted})
 
     todo.mapInPandas(encode, _FIELDS).write.mode("append").parquet(cache)
     known = stored(counts(), "token-counts")  # a table of its own, so that Spark can split a text with very many rows
