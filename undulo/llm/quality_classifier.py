@@ -155,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str = "t
         rows = rows.sort_values(["place", "text"]).reset_index(drop=True).head(sample)
         yield pd.DataFrame([fit_arrays(list(rows["text"]), rows["label"].to_numpy(dtype=np.int64))], columns=["weights", "squares", "bias", "slope", "shift"])
 
-    return tuple(rows.select("place", "text", "label").repartition(1).mapInPandas(run, _FIT).first())
+    found = rows.select("place", "text", "label").repartition(1).mapInPandas(run, _FIT).first()
+    return tuple(found) if found else fit_arrays([], np.zeros(0))  # without rows there may be no partition to run in
 
 
 def with_score(df: DataFrame, model: tuple, text: str = "text", out: str = "score") -> DataFrame:
