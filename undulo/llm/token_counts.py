@@ -132,6 +132,8 @@ def with_token_counts(df: DataFrame, path: str, key: str, text: str = "text", ca
     n_skip = skip.count()
     todo = keyed.join(small_side(skip.select("content", "first_key", "known"), n_skip), "content", "left")
     todo = todo.filter("known is null and (first_key is null or first_key <=> row_key)").select("content", "whole")
+    if not rows.groupBy("content", "row_key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        todo = todo.dropDuplicates(["content"])  # equal texts whose keys are equal too
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[bytes] = set()
