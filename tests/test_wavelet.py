@@ -47,7 +47,7 @@ def test_tree_and_matrix(spark, name):
     raw = CASES[name]
     text = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "pos long, raw long")
     names = A.effective_alphabet(A.histogram(text))
-    shape, rank = A.shape_of(names), {r: k for k, r in enumerate(sorted(set(raw)))}
+    (shape, _), rank = A.shape_of(names), {r: k for k, r in enumerate(sorted(set(raw)))}
     codes = A.effective_text(text, names)
     chunks = T.to_chunks(codes, 50)
     assert shape.height == max(0, len(rank) - 1).bit_length()
@@ -95,7 +95,7 @@ def test_strings_with_nulls(spark):
 def test_store_round_trip(spark, tmp_path):
     text = spark.createDataFrame([(k, k % 5) for k in range(100)], "pos long, raw long")
     names = A.effective_alphabet(A.histogram(text))
-    built = B.build(T.to_chunks(A.effective_text(text, names)), A.shape_of(names), B.MATRIX)
+    built = B.build(T.to_chunks(A.effective_text(text, names)), A.shape_of(names)[0], B.MATRIX)
     path = str(tmp_path / "index")
     store.write_index(path, built, names, B.z_from_words(built, 100))
     read = store.read_levels(spark, path).select("level", "word_idx", "word")

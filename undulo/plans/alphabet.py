@@ -100,12 +100,12 @@ class Shape:
         return int(self.sizes(level + 1)[::2].sum())
 
 
-def shape_of(alphabet: DataFrame) -> Shape:
-    """The shape, from an alphabet of at most ``LARGEST`` symbols."""
-    rows = alphabet.select("code", "occ").orderBy("code").limit(LARGEST + 1).collect()
+def shape_of(alphabet: DataFrame) -> tuple[Shape, list]:
+    """The shape and the symbols in order, from an alphabet of at most ``LARGEST``."""
+    rows = alphabet.select("code", "occ", "raw").orderBy("code").limit(LARGEST + 1).collect()
     if len(rows) > LARGEST:
         raise ValueError(f"more than {LARGEST} symbols")
-    return Shape(tuple(r.occ for r in rows))
+    return Shape(tuple(r.occ for r in rows)), [r.raw for r in rows]
 
 
 def node_sizes(alphabet: DataFrame, height: int) -> DataFrame:

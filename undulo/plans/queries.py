@@ -6,6 +6,7 @@ The texts: columns in the order of their tables' keys, and the characters and by
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +52,18 @@ class Text:
     def codes(self) -> DataFrame:
         return A.effective_text(self.symbols(), self.alphabet)
 
-    def shape(self) -> A.Shape:
+    @cached_property
+    def _entries(self) -> tuple[A.Shape, list]:
         return A.shape_of(self.alphabet)
 
+    def shape(self) -> A.Shape:
+        return self._entries[0]
+
     def build(self, kind: str) -> DataFrame:
-        if not self.packed:
-            return B.build(T.to_chunks(self.codes()), self.shape(), kind)
-        rows = self.alphabet.orderBy("code").limit(A.LARGEST).collect()
-        return B.build(self.chunks, A.Shape(tuple(r.occ for r in rows)), kind, [r.raw for r in rows])
+        shape, symbols = self._entries
+        if self.packed:
+            return B.build(self.chunks, shape, kind, symbols)
+        return B.build(T.to_chunks(self.codes()), shape, kind)
 
 
 def _bits(t: Text) -> DataFrame:
@@ -180,7 +185,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     def text_prefix(t: Text) -> DataFrame:
         raw = T.prefix(t.symbols(), PREFIX)
         names = A.effective_alphabet(A.histogram(raw))
-        return B.build(T.to_chunks(A.effective_text(raw, names)), A.shape_of(names))
+        return B.build(T.to_chunks(A.effective_text(raw, names)), A.shape_of(names)[0])
 
     add("wt_text_prefix", text_prefix, "chars", _ctes("chars", f"pos < {PREFIX}") + _levels(False) + " SELECT * FROM w")
     bit = "CASE WHEN x < 0 THEN x::HUGEINT + 18446744073709551616::HUGEINT ELSE x::HUGEINT END"
