@@ -60,9 +60,13 @@ def build(chunks: DataFrame, shape: Shape, kind: str = TREE, symbols: list[int]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code_of = _coder(symbols)
         for b in batches:
-            found = b["offsets"].to_pylist() if deep else [[]] * len(b)
             keys, words, values = [], [], []
-            for start, data, own in zip(b["start"].to_pylist(), b["symbols"].to_pylist(), found, strict=True):
+            if deep:
+                found = b["offsets"].flatten()
+                at, node_at, before = (found.field(c).to_numpy() for c in ("level", "node", "before"))
+                ends = np.cumsum(b["offsets"].value_lengths().fill_null(0).to_numpy())
+            for k, (start, data) in enumerate(zip(b["start"].to_pylist(), b["symbols"].to_pylist(), strict=True)):
+                own = slice(ends[k - 1] if k else 0, ends[k]) if deep else None
                 code = code_of(np.frombuffer(data, "<u4"))
                 if not len(code):
                     continue
@@ -74,9 +78,8 @@ def build(chunks: DataFrame, shape: Shape, kind: str = TREE, symbols: list[int]
                     rank = np.arange(len(node)) - np.repeat(first, np.diff(np.r_[first, len(node)]))
                     base = starts[level].copy()
                     if level:
-                        for x in own or ():
-                            if x["level"] == level:
-                                base[x["node"]] += x["before"]
+                        here = at[own] == level
+                        base[node_at[own][here]] += before[own][here]
                     else:
                         base[0] = start
                     place = base[node] + rank
