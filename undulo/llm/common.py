@@ -44,7 +44,7 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
+def small_batches(spark: SparkSession, rows: int = 500, megabytes: int = 4) -> None:
     """Bounds an Arrow batch by rows and bytes, so that Python workers hold little text at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")

@@ -80,13 +80,14 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
     """Weights and constant term that minimise half their square plus ``cost`` times the hinge losses."""
     weights, bias, sign = np.zeros(WIDTH, np.float32), 0.0, np.where(labels > 0, 1.0, -1.0)
-    values = [ratio[p] / _length(ratio[p] @ ratio[p]) for p in rows]
-    square = np.array([float(v @ v) + 1 for v in values])
+    scale = np.array([1 / _length(ratio[p] @ ratio[p]) for p in rows], np.float32)
+    square = np.array([float(ratio[p] @ ratio[p]) for p in rows]) * scale**2 + 1
     alpha, order = np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0
         for i in order.permutation(len(rows)):
-            p, v = rows[i], values[i]
+            p = rows[i]
+            v = ratio[p] * scale[i]
             slope = sign[i] * (float(weights[p] @ v) + bias) - 1
             moved = min(max(alpha[i] - slope / square[i], 0.0), cost) - alpha[i]
             if moved:
@@ -123,8 +124,11 @@ def _margin(places: np.ndarray, scaled: np.ndarray, squares: np.ndarray, bias: f
 
 def fit_arrays(texts: list[str | None], labels: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 7) -> tuple:
     """The fields of a model, fitted on rows held in memory."""
-    grams = Grams()
-    rows, n, good = [grams(t) for t in texts], len(labels), int((labels > 0).sum())
+    grams, rows, n, good = Grams(), [], len(labels), int((labels > 0).sum())
+    for k in range(0, n, 256):  # many small arrays would stay with the worker's allocator
+        found = [grams(t) for t in texts[k : k + 256]]
+        ends = np.cumsum([len(f) for f in found])
+        rows += np.split(np.concatenate(found), ends[:-1])
     flat = np.zeros(WIDTH, np.float32).tobytes()
     if not 0 < good < n:
         share = (good + 1) / (n + 2) if n else 0.5
