@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The keys of a run record.
-KEYS = ("algo", "nodes", "workers", "input", "size", "alphabet", "bps", "time_input", "time_hist", "time_eff", "time_construct", "time_merge", "memory", "traffic", "traffic_est")
+KEYS = ("algo", "nodes", "workers_per_node", "input", "size", "bps", "alphabet", "time_input", "time_hist", "time_eff", "time_construct", "time_merge", "memory", "traffic", "traffic_asym")
 
 
 def result_line(records: DataFrame) -> DataFrame:

@@ -247,6 +247,9 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     sql["mem_per_node"] = _RECORDS + " SELECT algo, nodes, avg(memory) / nodes / 1073741824 AS mem_per_node FROM r GROUP BY algo, nodes"
     queries["traffic"] = lambda spark, sf_dir: report.traffic(_records(spark))
     sql["traffic"] = _RECORDS + " SELECT algo, nodes, avg(traffic) / 1073741824 AS traffic FROM r GROUP BY algo, nodes"
+    queries["result_line"] = lambda spark, sf_dir: report.result_line(_records(spark))
+    fields = ", ".join(f"'{k}=' || {k}::DECIMAL(20, 1)" if k.startswith("time") else f"'{k}=' || {k}" for k in report.KEYS if k in _RUN_FIELDS)
+    sql["result_line"] = _RECORDS + f" SELECT concat_ws(' ', 'RESULT', {fields}) AS line FROM r"
     return queries, sql
 
 
