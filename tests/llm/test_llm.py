@@ -114,6 +114,43 @@ def test_licenses(spark, docs, odd):
     assert 200 < len(lic.rules())
 
 
+def all_licenses(text):
+    """The labels and detections of all rules, none of them behind a gate."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    norm, hits = f" {' '.join(words)} ", []
+    for _, pattern, label, level, place, _ in lic.rules():
+        for m in re.finditer(pattern, norm):
+            start = norm[: m.start()].count(" ") - 1
+            hits.append((start, start + m[0].count(" ") + 1, level, place, label))
+    rank = lambda h: (h[2], h[0] - h[1], h[3])
+    kept = [h for h in hits if not any(o is not h and o[0] <= h[0] and o[1] >= h[1] and rank(o) < rank(h) for o in hits)]
+    return sorted({h[4] for h in kept}), sorted((h[0], h[1], h[4]) for h in kept)
+
+
+def check_licenses(spark, said):
+    rows = [(k, t) for k, t in enumerate(said)]
+    for r in lic.with_licenses(spark.createDataFrame(rows, "id long, text string")).collect():
+        labels, found = all_licenses(r.text)
+        assert sorted((d.start, d.end, d.label) for d in r.licenses.detections) == found, r.text
+        assert set(labels) <= set(r.licenses.labels.split(",")), r.text
+        yield r.text, labels
+
+
+def test_licenses_named_without_the_word(spark, docs):
+    said = {
+        "Distributed under the Apache 2.0": "apache",
+        "available under the MIT": "mit",
+        "Released under the terms of the BSD 3-clause": "bsd",
+        "Published under Creative Commons Attribution 4.0 International": "cc-by",
+        "Mozilla Public 2.0": "mpl",
+        "php 7": "php",
+    }
+    found = dict(check_licenses(spark, [*said, *docs[1].values()]))
+    for text, label in said.items():
+        assert found[text] == [label], text
+    assert dict(check_licenses(spark, ["licensed to the general public"])) == {"licensed to the general public": []}
+
+
 # 3
 
 

@@ -2,8 +2,8 @@
 
 A text becomes its words in lower case between single spaces. Every licence family below is written out once, with
 its names as a regular expression; five ways of speaking of a licence make it into five rules of a level each, 1 the surest.
-A rule is tried on a text only if the text has one of the general anchors and the rule's own keyword. Its hits become
-intervals of words. A hit that lies within another of a better level, or of the same level and longer, or equal and earlier in
+A rule is tried on a text only if the text has the anchor of its way of speaking and its own keyword; any hit of the rule, with the spaces
+around it, contains both, so no hit is lost. Its hits become intervals of words. A hit that lies within another of a better level, or of the same level and longer, or equal and earlier in
 the order of rules, is suppressed: it suffices to go through the hits by start and falling end and to keep the farthest end of each level.
 
 Beside the rules stand four base phrases, all places of which are counted.
@@ -22,7 +22,7 @@ from undulo.llm.common import hold, release, settle
 #: The base phrases and their labels.
 BASE = {"apache license": "apache", "cc by": "cc-by", "gnu general public license": "gpl", "mit license": "mit"}
 
-#: Label; keyword that any hit contains; the licence's names.
+#: Label; keyword that each of the names contains, at the start of a word; the licence's names.
 FAMILIES = [
     ("afl", "academic", "academic free"),
     ("agpl", "agpl", "agpl(?:v?3)?"),
@@ -42,24 +42,24 @@ FAMILIES = [
     ("cc-by-sa", "cc by sa", "cc by sa"),
     ("cc-by-sa", "sharealike", "creative commons attribution sharealike"),
     ("cc0", "cc0", "(?:creative commons )?cc0"),
-    ("cddl", "cddl", "cddl"),
+    ("cddl", "cddl ", "cddl"),
     ("cddl", "development and distribution", "common development and distribution"),
     ("cecill", "cecill", "cecill(?: [bc])?"),
     ("cpl", "common public", "common public"),
     ("ecl", "educational community", "educational community"),
     ("epl", "eclipse", "eclipse public"),
     ("eupl", "european union", "european union public"),
-    ("eupl", "eupl", "eupl"),
+    ("eupl", "eupl ", "eupl"),
     ("gfdl", "free documentation", "(?:gnu )?free documentation"),
     ("gpl", "general public", "gnu general public|general public"),
     ("gpl", "gpl", "(?:gnu )?gpl(?:v?[23])?"),
-    ("isc", "isc", "isc"),
+    ("isc", "isc ", "isc"),
     ("lgpl", "lesser general", "(?:gnu )?lesser general public"),
     ("lgpl", "lgpl", "(?:gnu )?lgpl(?:v?[23])?"),
     ("lgpl", "library general", "(?:gnu )?library general public"),
     ("mit", "mit", "mit|expat"),
     ("mpl", "mozilla", "mozilla public"),
-    ("mpl", "mpl", "mpl"),
+    ("mpl", "mpl ", "mpl"),
     ("ms-pl", "microsoft public", "microsoft public"),
     ("ms-rl", "microsoft reciprocal", "microsoft reciprocal"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
@@ -67,15 +67,15 @@ FAMILIES = [
     ("ofl", "open font", "(?:sil )?open font"),
     ("openssl", "openssl", "openssl"),
     ("osl", "open software", "open software"),
-    ("php", "php", "php"),
+    ("php", "php ", "php"),
     ("postgresql", "postgresql", "postgresql"),
     ("psf", "python", "python(?: software foundation)?"),
-    ("ruby", "ruby", "ruby"),
+    ("ruby", "ruby ", "ruby"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("upl", "universal permissive", "universal permissive"),
-    ("vim", "vim", "vim"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("x11", "x11", "x11"),
+    ("vim", "vim ", "vim"),
+    ("wtfpl", "wtfpl ", "wtfpl"),
+    ("x11", "x11 ", "x11"),
     ("zlib", "zlib", "zlib(?: libpng)?"),
     ("zpl", "zope", "zope public"),
 ]
@@ -83,20 +83,37 @@ FAMILIES = [
 _LICENCE, _VERSION = "(?: (?:public )?licen[cs]e)", "(?:,? (?:version|v))? v?[0-9]+(?: [0-9]+)?"
 #: Level: the way of speaking, and how sure a hit is.
 WAYS = {
-    1: ("spdx licen[cs]e identifier {0}(?: [0-9]+){{0,3}}(?: only| or later)?", 1.0),
+    1: ("spdx licen[cs]e identifier (?:{0})(?: [0-9]+){{0,3}}(?: only| or later)?", 1.0),
     2: ("(?:licensed|released|distributed|published|provided|available|covered|offered) under (?:the )?(?:terms of )?(?:the )?(?:{0})" + f"{_LICENCE}?(?:{_VERSION})?", 0.95),
     3: ("(?:{0})" + f"{_LICENCE}?{_VERSION}", 0.8),
     4: ("(?:{0})" + _LICENCE, 0.75),
     5: ("licen[cs]e(?:s| is| type| name)? (?:the )?(?:{0})", 0.6),
 }
-#: What a text must have for any rule to be tried.
-ANCHORS = "licen[cs]|spdx|gpl|cc by|cc0|cddl|eupl|wtfpl|copyleft"
+#: Level: what any hit of this way of speaking contains.
+NEEDS = {1: "spdx", 2: " under ", 3: "", 4: "licen", 5: "licen"}
 
 
 def rules() -> list[tuple[str, str, str, int, int, float]]:
-    """keyword, pattern, label, level, order, confidence."""
+    """keyword, pattern, label, level, order, confidence. Any hit, with the spaces around it, contains the keyword."""
     ways = [(level, way, sure, family) for level, (way, sure) in WAYS.items() for family in FAMILIES]
-    return [(key, f"(?<= ){way.format(names)}(?= )", label, level, k, sure) for k, (level, way, sure, (label, key, names)) in enumerate(ways)]
+    return [(f" {key}", f"(?<= ){way.format(names)}(?= )", label, level, k, sure) for k, (level, way, sure, (label, key, names)) in enumerate(ways)]
+
+
+def need(keyword: str, level: int) -> str:
+    """The anchor of a rule."""
+    return NEEDS[level]
+
+
+#: The keywords of all rules: a text without any has no hit.
+ANCHORS = "|".join(sorted({r[0] for r in rules()}))
+
+
+def _rule_table() -> list[tuple[str, str, list[tuple]]]:
+    """The rules by anchor and keyword."""
+    groups: dict[tuple[str, str], list[tuple]] = {}
+    for keyword, pattern, label, level, place, sure in rules():
+        groups.setdefault((need(keyword, level), keyword), []).append((place, pattern, label, level, sure))
+    return [(*both, group) for both, group in groups.items()]
 
 
 def _spaces(text: Column) -> Column:
@@ -141,12 +158,14 @@ def with_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
     words = F.concat(F.lit(" "), F.trim(F.translate(words, upper, upper.lower())), F.lit(" "))
-    table = df.sparkSession.createDataFrame(rules(), "keyword string, pattern string, label string, level int, place int, sure double")
-    table = table.agg(F.sort_array(F.collect_list(F.struct("place", "keyword", "pattern", "label", "level", "sure")))).scalar()
+    table = df.sparkSession.createDataFrame(_rule_table(), "need string, keyword string, rules array<struct<place:int,pattern:string,label:string,level:int,sure:double>>")
+    table = table.groupBy("need").agg(F.collect_list(F.struct("keyword", "rules")).alias("keys"))
+    table = table.agg(F.collect_list(F.struct("need", "keys"))).scalar()
     whole = F.col("license_text")
-    tried = F.filter("license_rules", lambda r: F.contains(whole, r["keyword"]))
-    hits = F.flatten(F.transform(tried, lambda r: _hits(whole, r)))
-    hits = F.when(whole.rlike(ANCHORS), _unsuppressed(hits))
+    needed = F.filter("license_rules", lambda g: F.contains(whole, g["need"]))
+    keyed = F.flatten(F.transform(needed, lambda g: F.filter(g["keys"], lambda k: F.contains(whole, k["keyword"]))))
+    tried = F.flatten(F.transform(keyed, lambda k: k["rules"]))
+    hits = _unsuppressed(F.flatten(F.transform(tried, lambda r: _hits(whole, r))))
     df = hold(df, license_text=words).withColumn("license_rules", table).withColumn("license_hits", hits)
 
     phrases = "|".join(BASE)
