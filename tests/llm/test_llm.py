@@ -3,8 +3,10 @@ clashing names."""
 
 import hashlib
 import re
+import re._parser as sre
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -136,6 +138,39 @@ def check_licenses(spark, said):
         yield r.text, labels
 
 
+def wordings(pattern):
+    """The texts that a pattern matches: each alternative, options with and without, one member of a set."""
+    def one(op, value):
+        if op is sre.LITERAL:
+            return [chr(value)]
+        if op is sre.IN:
+            kind, first = value[0]
+            return [chr(first if kind is sre.LITERAL else first[0])]
+        if op is sre.MAX_REPEAT:
+            low, high, part = value
+            return {text * n for n in {low, max(low, 1)} for text in every(part)}
+        if op is sre.SUBPATTERN:
+            return every(value[3])
+        assert op is sre.BRANCH, op
+        return [text for part in value[1] for text in every(part)]
+
+    def every(part):
+        return ["".join(texts) for texts in product(*[one(*step) for step in part])]
+
+    return every(sre.parse(pattern))
+
+
+def test_license_keywords():
+    for _, key, names in lic.FAMILIES:
+        for text in wordings(names):
+            assert f" {key}" in f" {text} ", (key, text)
+
+
+def test_licenses_expat(spark):
+    said = ["Distributed under the Expat License", "Expat licence, see COPYING", "SPDX-License-Identifier: Expat", "the expat 2.1", "the MIT/Expat licence"]
+    assert all(labels == ["mit"] for _, labels in check_licenses(spark, said))
+
+
 def test_licenses_named_without_the_word(spark, docs):
     said = {
         "Distributed under the Apache 2.0": "apache",

@@ -57,7 +57,8 @@ FAMILIES = [
     ("lgpl", "lesser general", "(?:gnu )?lesser general public"),
     ("lgpl", "lgpl", "(?:gnu )?lgpl(?:v?[23])?"),
     ("lgpl", "library general", "(?:gnu )?library general public"),
-    ("mit", "mit", "mit|expat"),
+    ("mit", "expat", "expat"),
+    ("mit", "mit ", "mit"),
     ("mpl", "mozilla", "mozilla public"),
     ("mpl", "mpl ", "mpl"),
     ("ms-pl", "microsoft public", "microsoft public"),
