@@ -164,6 +164,10 @@ def test_license_keywords():
     for _, key, names in lic.FAMILIES:
         for text in wordings(names):
             assert f" {key}" in f" {text} ", (key, text)
+    for label, key, sentence, level, _ in lic.SENTENCES:
+        assert lic.need(f" {key}", level) in f" {key}"
+        for text in wordings(sentence):
+            assert f" {key}" in f" {text} ", (label, key, text)
 
 
 def test_licenses_expat(spark):
@@ -171,6 +175,22 @@ def test_licenses_expat(spark):
     assert all(labels == ["mit"] for _, labels in check_licenses(spark, said))
 
 
+def test_licenses_by_identifier_and_text(spark):
+    said = {f"// SPDX-License-Identifier: {name}": label for name, label in {
+        "EPL-2.0": "epl", "OFL-1.1": "ofl", "BSL-1.0": "boost", "AFL-3.0": "afl", "PSF-2.0": "psf", "MS-PL": "ms-pl", "ODbL-1.0": "odbl", "GFDL-1.3": "gfdl", "GPL-2.0-or-later": "gpl", "MIT": "mit", "CC-BY-NC-SA-4.0": "cc-by-nc-sa",
+    }.items()} | {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\")": "mit",
+        "Permission is hereby granted, free of charge ...": "mit",
+        "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that": "bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation": "boost",
+        "see https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa",
+    }
+    found = dict(check_licenses(spark, [*said, *[s for _, _, s, _, _ in lic.SENTENCES]]))
+    for text, label in said.items():
+        assert found[text] == [label], text
+
+
 def test_licenses_named_without_the_word(spark, docs):
     said = {
         "Distributed under the Apache 2.0": "apache",

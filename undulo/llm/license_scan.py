@@ -2,6 +2,7 @@
 
 A text becomes its words in lower case between single spaces. Every licence family below is written out once, with
 its names as a regular expression; five ways of speaking of a licence make it into five rules of a level each, 1 the surest.
+Rules of their own follow for SPDX identifiers, and for sentences of notices and of the licences themselves.
 A rule is tried on a text only if the text has the anchor of its way of speaking and its own keyword; any hit of the rule, with the spaces
 around it, contains both, so no hit is lost. Its hits become intervals of words. A hit that lies within another of a better level, or of the same level and longer, or equal and earlier in
 the order of rules, is suppressed: it suffices to go through the hits by start and falling end and to keep the farthest end of each level.
@@ -81,6 +82,139 @@ FAMILIES = [
     ("zpl", "zope", "zope public"),
 ]
 
+#: Label; SPDX identifiers as words. Versions that are written with only, or later or + are covered by those without.
+IDS = {
+    "afl": "afl 1 1|afl 1 2|afl 2 0|afl 2 1|afl 3 0",
+    "agpl": "agpl 1 0|agpl 3 0",
+    "apache": "apache 1 0|apache 1 1|apache 2 0",
+    "apsl": "apsl 1 0|apsl 1 1|apsl 1 2|apsl 2 0",
+    "artistic": "artistic 1 0|artistic 1 0 perl|artistic 1 0 cl8|artistic 2 0|clartistic",
+    "blueoak": "blueoak 1 0 0",
+    "boost": "bsl 1 0",
+    "bsd": "0bsd|bsd 1 clause|bsd 2 clause|bsd 2 clause patent|bsd 2 clause views|bsd 3 clause|bsd 3 clause clear|bsd 3 clause lbnl|bsd 3 clause attribution|bsd 4 clause|bsd 4 clause uc|bsd source code",
+    "busl": "busl 1 1",
+    "cc-by": "cc by 1 0|cc by 2 0|cc by 2 5|cc by 3 0|cc by 4 0",
+    "cc-by-nc": "cc by nc 1 0|cc by nc 2 0|cc by nc 2 5|cc by nc 3 0|cc by nc 4 0",
+    "cc-by-nc-nd": "cc by nc nd 1 0|cc by nc nd 2 0|cc by nc nd 2 5|cc by nc nd 3 0|cc by nc nd 4 0",
+    "cc-by-nc-sa": "cc by nc sa 1 0|cc by nc sa 2 0|cc by nc sa 2 5|cc by nc sa 3 0|cc by nc sa 4 0",
+    "cc-by-nd": "cc by nd 1 0|cc by nd 2 0|cc by nd 2 5|cc by nd 3 0|cc by nd 4 0",
+    "cc-by-sa": "cc by sa 1 0|cc by sa 2 0|cc by sa 2 5|cc by sa 3 0|cc by sa 4 0",
+    "cc0": "cc0 1 0",
+    "cddl": "cddl 1 0|cddl 1 1",
+    "cecill": "cecill 1 0|cecill 1 1|cecill 2 0|cecill 2 1|cecill b|cecill c",
+    "cpl": "cpl 1 0|ipl 1 0",
+    "curl": "curl",
+    "ecl": "ecl 1 0|ecl 2 0",
+    "epl": "epl 1 0|epl 2 0",
+    "eupl": "eupl 1 0|eupl 1 1|eupl 1 2",
+    "ftl": "ftl",
+    "gfdl": "gfdl 1 1|gfdl 1 2|gfdl 1 3",
+    "gpl": "gpl 1 0|gpl 2 0|gpl 3 0",
+    "hpnd": "hpnd",
+    "ijg": "ijg",
+    "isc": "isc",
+    "lgpl": "lgpl 2 0|lgpl 2 1|lgpl 3 0|lgpllr",
+    "lppl": "lppl 1 0|lppl 1 1|lppl 1 2|lppl 1 3a|lppl 1 3c",
+    "mit": "mit|mit 0|mit modern variant",
+    "mpl": "mpl 1 0|mpl 1 1|mpl 2 0|mpl 2 0 no copyleft exception",
+    "ms-pl": "ms pl",
+    "ms-rl": "ms rl",
+    "mulan": "mulanpsl 1 0|mulanpsl 2 0",
+    "ncsa": "ncsa",
+    "odbl": "odbl 1 0",
+    "odc-by": "odc by 1 0",
+    "ofl": "ofl 1 0|ofl 1 1|ofl 1 1 rfn|ofl 1 1 no rfn",
+    "openssl": "openssl",
+    "osl": "osl 1 0|osl 1 1|osl 2 0|osl 2 1|osl 3 0",
+    "pddl": "pddl 1 0",
+    "php": "php 3 0|php 3 01",
+    "postgresql": "postgresql",
+    "psf": "psf 2 0|python 2 0",
+    "ruby": "ruby",
+    "unicode": "unicode dfs 2015|unicode dfs 2016|unicode 3 0",
+    "unlicense": "unlicense",
+    "upl": "upl 1 0",
+    "vim": "vim",
+    "w3c": "w3c",
+    "wtfpl": "wtfpl",
+    "x11": "x11",
+    "zlib": "zlib|zlib acknowledgement|libpng|libpng 2 0",
+    "zpl": "zpl 1 1|zpl 2 0|zpl 2 1",
+}
+
+#: Label; keyword; sentence of a notice or of the licence itself, or its address; level and how sure a hit is.
+SENTENCES = [
+    ("mit", "any person obtaining a copy of this software and associated documentation", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files?", 2, 0.95),
+    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge(?: to any person obtaining a copy(?: of this software)?)?", 5, 0.6),
+    ("mit", "shall be included in all copies or substantial portions of the software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 5, 0.6),
+    ("boost", "any person or organization obtaining a copy of the software and accompanying", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 2, 0.95),
+    ("ofl", "obtaining a copy of the font software", "permission is hereby granted free of charge to any person obtaining a copy of the font software", 2, 0.95),
+    ("ofl", "this font software is licensed under", "this font software is licensed under the sil open font license(?: version [0-9]+(?: [0-9]+)?)?", 2, 0.95),
+    ("unicode", "obtaining a copy of the unicode data files", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", 2, 0.95),
+    ("ncsa", "to deal with the software without restriction", "to deal with the software without restriction including without limitation the rights to use", 2, 0.9),
+    ("x11", "the name of the x consortium shall not be used", "except as contained in this notice the name of the x consortium shall not be used in advertising", 2, 0.95),
+    ("isc", "this software for any purpose with or without fee is hereby granted provided", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 2, 0.95),
+    ("bsd", "this software for any purpose with or without fee is hereby granted", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", 3, 0.8),
+    ("hpnd", "this software and its documentation for any purpose", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:and without fee |is hereby granted without fee )(?:is hereby granted )?", 3, 0.8),
+    ("postgresql", "without fee and without a written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 2, 0.95),
+    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms(?: with or without modification are permitted)?(?: provided that the following conditions are met)?", 2, 0.9),
+    ("bsd", "redistributions of source code must retain the", "redistributions of source code must retain the (?:above )?copyright notice", 4, 0.75),
+    ("bsd", "redistributions in binary form must reproduce the", "redistributions in binary form must reproduce the (?:above )?copyright notice", 4, 0.75),
+    ("bsd", "advertising materials mentioning features or use of this software", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 3, 0.8),
+    ("apache", "may not use this file except in compliance with the license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 2, 0.95),
+    ("apache", "contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable", 2, 0.9),
+    ("apache", "licensed to the apache software foundation", "licensed to the apache software foundation asf under one or more contributor license agreements", 2, 0.95),
+    ("apache", "apache org licenses", "apache org licenses license 2 0", 3, 0.8),
+    ("gpl", "under the terms of the gnu general public license", "you can redistribute it and or modify it under the terms of the gnu general public license(?: as published by the free software foundation)?", 2, 0.95),
+    ("lgpl", "general public license", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license(?: as published by the free software foundation)?", 2, 0.95),
+    ("agpl", "affero general public license", "you can redistribute it and or modify it under the terms of the gnu affero general public license(?: as published by the free software foundation)?", 2, 0.95),
+    ("gpl", "to be licensed as a whole at no charge", "contains or is derived from the program or any part thereof to be licensed as a whole at no charge", 2, 0.9),
+    ("gpl", "license is a free copyleft license for software", "the gnu general public license is a free copyleft license for software and other kinds of works", 2, 0.95),
+    ("agpl", "to ensure cooperation with the community in the case of network server software", "specifically designed to ensure cooperation with the community in the case of network server software", 2, 0.95),
+    ("agpl", "must prominently offer all users interacting with it remotely", "your modified version must prominently offer all users interacting with it remotely through a computer network", 2, 0.95),
+    ("lgpl", "general public license applies to some specially designated software", "this license the (?:lesser|library) general public license applies to some specially designated software", 2, 0.95),
+    ("lgpl", "license incorporates the terms and conditions of version 3 of the gnu general public license", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license", 2, 0.95),
+    ("gpl", "gnu org licenses gpl", "gnu org licenses gpl(?: [0-9]+ [0-9]+)?", 3, 0.8),
+    ("lgpl", "gnu org licenses lgpl", "gnu org licenses lgpl(?: [0-9]+ [0-9]+)?", 3, 0.8),
+    ("agpl", "gnu org licenses agpl", "gnu org licenses agpl(?: [0-9]+ [0-9]+)?", 3, 0.8),
+    ("gfdl", "under the terms of the gnu free documentation license", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 2, 0.95),
+    ("gfdl", "to make a manual textbook or other functional and useful document", "the purpose of this license is to make a manual textbook or other functional and useful document free", 2, 0.95),
+    ("mpl", "source code form is subject to the terms of the mozilla public license", "this source code form is subject to the terms of the mozilla public license(?: v 2 0)?", 2, 0.95),
+    ("mpl", "subject to the mozilla public license", "the contents of this file are subject to the mozilla public license(?: version [0-9]+ [0-9]+)?", 2, 0.95),
+    ("mpl", "if a copy of the mpl was not distributed with this file", "if a copy of the mpl was not distributed with this file you can obtain one at", 2, 0.95),
+    ("epl", "under the terms of the eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license", 2, 0.95),
+    ("epl", "program is provided under the terms of this eclipse public license", "the accompanying program is provided under the terms of this eclipse public license", 2, 0.95),
+    ("cpl", "program is provided under the terms of this common public license", "the accompanying program is provided under the terms of this common public license", 2, 0.95),
+    ("cddl", "subject to the terms of the common development and distribution license", "the contents of this file are subject to the terms of the common development and distribution license", 2, 0.95),
+    ("apsl", "subject to the apple public source license", "original code as defined in and that are subject to the apple public source license", 2, 0.95),
+    ("zlib", "the origin of this software must not be misrepresented", "the origin of this software must not be misrepresented(?: you must not claim that you wrote the original software)?", 2, 0.95),
+    ("zlib", "altered source versions must be plainly marked", "altered source versions must be plainly marked as such(?: and must not be misrepresented as being the original software)?", 2, 0.9),
+    ("unlicense", "free and unencumbered software released into the public domain", "this is free and unencumbered software released into the public domain", 2, 0.95),
+    ("wtfpl", "do what the fuck you want to", "(?:you just )?do what the fuck you want to(?: public licen[cs]e)?", 2, 0.95),
+    ("cc0", "dedicated the work to the public domain", "the person who associated a work with this deed has dedicated the work to the public domain", 2, 0.95),
+    ("cc0", "waived all copyright and related or neighboring rights", "waived all copyright and related or neighboring rights to", 2, 0.9),
+    ("cc0", "creativecommons org publicdomain zero", "creativecommons org publicdomain zero(?: 1 0)?", 3, 0.8),
+    ("cc-by", "creativecommons org licenses by", "creativecommons org licenses by(?: [0-9] [0-9])?", 3, 0.8),
+    ("cc-by-sa", "creativecommons org licenses by sa", "creativecommons org licenses by sa(?: [0-9] [0-9])?", 3, 0.8),
+    ("cc-by-nd", "creativecommons org licenses by nd", "creativecommons org licenses by nd(?: [0-9] [0-9])?", 3, 0.8),
+    ("cc-by-nc", "creativecommons org licenses by nc", "creativecommons org licenses by nc(?: [0-9] [0-9])?", 3, 0.8),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa", "creativecommons org licenses by nc sa(?: [0-9] [0-9])?", 3, 0.8),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd", "creativecommons org licenses by nc nd(?: [0-9] [0-9])?", 3, 0.8),
+    ("artistic", "to state the conditions under which a package may be copied", "the intent of this document is to state the conditions under which a package may be copied", 2, 0.95),
+    ("psf", "license agreement is between the python software foundation", "this license agreement is between the python software foundation", 2, 0.95),
+    ("php", "of the php license", "this source file is subject to version [0-9]+ [0-9]+ of the php license", 2, 0.95),
+    ("openssl", "developed by the openssl project for use in the openssl toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit", 2, 0.95),
+    ("ms-pl", "governs use of the accompanying software", "this license governs use of the accompanying software if you use the software you accept this license", 3, 0.8),
+    ("odbl", "license agreement intended to allow users to freely share modify and use this database", "license agreement intended to allow users to freely share modify and use this database", 2, 0.95),
+    ("cecill", "license under french law and abiding by the rules of distribution of free software", "this software is governed by the cecill(?: [bc])? license under french law and abiding by the rules of distribution of free software", 2, 0.95),
+    ("vim", "no restrictions on distributing unmodified copies of vim", "there are no restrictions on distributing unmodified copies of vim", 2, 0.95),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software", "you may make and give away verbatim copies of the source form of the software without restriction", 2, 0.9),
+    ("zpl", "subject to the provisions of the zope public license", "this software is subject to the provisions of the zope public license", 2, 0.95),
+    ("upl", "obtaining a copy of this software associated documentation and or data", "to any person obtaining a copy of this software associated documentation and or data", 2, 0.95),
+    ("blueoak", "license is to give everyone as much permission to work with this software as possible", "the purpose of this license is to give everyone as much permission to work with this software as possible", 2, 0.9),
+    ("lppl", "under the conditions of the latex project public license", "this work may be distributed and or modified under the conditions of the latex project public license", 2, 0.95),
+]
+
 _LICENCE, _VERSION = "(?: (?:public )?licen[cs]e)", "(?:,? (?:version|v))? v?[0-9]+(?: [0-9]+)?"
 #: Level: the way of speaking, and how sure a hit is.
 WAYS = {
@@ -92,16 +226,24 @@ WAYS = {
 }
 #: Level: what any hit of this way of speaking contains.
 NEEDS = {1: "spdx", 2: " under ", 3: "", 4: "licen", 5: "licen"}
+#: Stems of which each sentence's keyword has one.
+STEMS = ("licen", "softw", "redistributi", "permission", "")
+_SPELLED = {(f" {key}", level) for _, key, _, level, _ in SENTENCES}
 
 
 def rules() -> list[tuple[str, str, str, int, int, float]]:
     """keyword, pattern, label, level, order, confidence. Any hit, with the spaces around it, contains the keyword."""
     ways = [(level, way, sure, family) for level, (way, sure) in WAYS.items() for family in FAMILIES]
-    return [(f" {key}", f"(?<= ){way.format(names)}(?= )", label, level, k, sure) for k, (level, way, sure, (label, key, names)) in enumerate(ways)]
+    said = [(f" {key}", way.format(names), label, level, sure) for level, way, sure, (label, key, names) in ways]
+    tags = [(f" {name} ", f"spdx licen[cs]e identifier {name}(?: only| or later)?", label, 1, 1.0) for label, names in IDS.items() for name in names.split("|")]
+    spelled = [(f" {key}", sentence, label, level, sure) for label, key, sentence, level, sure in SENTENCES]
+    return [(key, f"(?<= ){pattern.removesuffix(' ')}(?= )", label, level, k, sure) for k, (key, pattern, label, level, sure) in enumerate(said + tags + spelled)]
 
 
 def need(keyword: str, level: int) -> str:
-    """The anchor of a rule."""
+    """The anchor of a rule: of a sentence, a stem that its keyword contains; else that of its way of speaking."""
+    if (keyword, level) in _SPELLED:
+        return next(stem for stem in STEMS if stem in keyword)
     return NEEDS[level]
 
 
