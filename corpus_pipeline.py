@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undulo.llm import minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
-from undulo.llm.common import hold, small_side, stored
+from undulo.llm.common import hold, release, small_side, stored
 
 
 def _with_row_ids(docs: DataFrame) -> DataFrame:
@@ -45,15 +45,17 @@ def minhash_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents as the mix takes their words: a document taken 1.4 times its size stands once,
-    and with probability 0.4, decided by a hash of its id, once more."""
+    """The pieces of documents that the mix draws: a row has those of one document as ``text``, in their order, beside its other
+    columns; pieces drawn once more make another row. A source has exactly the words that the mix takes of it."""
     rows = _with_row_ids(docs)
-    taken = mixing.with_taken(mixing.mix(rows, "row_id")).filter("size > 0")
-    chance = F.pmod(F.xxhash64("key", F.lit(mixing.SEED)), F.lit(1 << 20)) < (F.col("taken") % F.col("size")) * (1 << 20) / F.col("size")
-    copies = taken.select(F.col("key").alias("row_id"), (F.expr("taken div size") + chance.cast("int")).cast("int").alias("copies")).filter("copies > 0")
-    copies = stored(copies, "copies")
-    rows = rows.join(small_side(copies, copies.count()), "row_id")
-    return rows.select("held", F.explode(F.expr("sequence(1, copies)"))).select("held.*")
+    drawn = mixing.with_blocks(mixing.mix(rows, "row_id")).withColumnRenamed("key", "row_id")
+    drawn = stored(drawn, "drawn")
+    n = drawn.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("drawn")), F.lit(0)).alias("pieces")).first()
+    rows = rows.join(small_side(drawn, n.rows + n.pieces // 8), "row_id")
+    rows = rows.select(F.col("held").dropFields("text").alias("held"), "drawn", "text", "lead")
+    rows = rows.select("held", F.inline(F.array(F.struct("drawn", mixing.cut(F.col("text"), F.col("lead")).alias("cuts")))))
+    rows = rows.select("held", F.explode(mixing.copies(F.col("cuts"), F.col("drawn"))).alias("piece")).filter("piece != ''")
+    return release(rows, text="piece").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from itertools import product
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from undulo.llm import chat_format as chat  # noqa: E402
@@ -519,3 +521,30 @@ def test_pipeline_odd_rows(spark, odd, sf_dir):
     left = cp.minhash_dedup_stage(spark, odd[0], sf_dir).collect()
     texts = Counter((r.text or "").lower().strip() for r in left if r.text and "word1 " in r.text)
     assert sum(texts.values()) == 1
+
+
+def test_pipeline_mixes_words(spark, sf_dir):
+    """Each source of the mix has as many words as the mix takes of it; pieces are the documents' own words in blocks."""
+    import corpus_pipeline as cp
+
+    texts = [" ".join(f"a{k}_{i}" for i in range(400)) for k in range(200)] + ["\t " + "  ".join(f"b{i}" for i in range(100_000)) + " \n"]
+    rows = [(k, t, "en", "skewed", len(t)) for k, t in enumerate(texts)]
+    rows += [(1000 + k, " ".join(f"c{k}_{i}" for i in range(1 + 37 * k)), None, f"s{k % 2}", 5) for k in range(80)] + [(2000, None, "en", "s0", 0), (2001, " ", "en", None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sources = {r[0]: (r[3], WORD.findall(r[1] or "")) for r in rows}
+    mixed = mixing.with_taken(mixing.mix(docs, "doc_id")).collect()
+    got, out = Counter(), cp.mixing_stage(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        source, words = sources[r.doc_id]
+        place = {w: k for k, w in enumerate(words)}
+        at = [place[w] for w in WORD.findall(r.text)]
+        assert r.source == source and at and at == sorted(set(at))
+        got[r.doc_id] += len(at)
+    assert got == +Counter({r.key: r.taken for r in mixed})
+    for source, goal in {(r.source, r.target) for r in mixed}:
+        words = sum(n for k, n in got.items() if sources[k][0] == source)
+        assert abs(words - goal) <= 2.5 * mixing.BLOCK, (source, words, goal)
+    cuts = spark.createDataFrame([(texts[-1], 77)], "text string, lead int").select(mixing.cut(F.col("text"), F.col("lead"))).first()[0]
+    sizes = [len(WORD.findall(c)) for c in cuts]
+    assert "".join(cuts) == texts[-1] and sizes[0] == mixing.BLOCK - 77 and set(sizes[1:-1]) == {mixing.BLOCK}

@@ -152,6 +152,34 @@ def with_taken(mixed: Mix) -> DataFrame:
     return rows.withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
 
 
+def with_blocks(mixed: Mix) -> DataFrame:
+    """The rows of a mix that it draws from: key, ``lead`` (the words of the row's first block before it), and ``drawn``: for each
+    drawn piece, the number of its block counted from the row's first, in order."""
+    nth = (F.expr(f"start div {BLOCK}") - F.expr(f"offset div {BLOCK}")).cast("int")
+    drawn = mixed.pieces.groupBy("number", "offset").agg(F.sort_array(F.collect_list(nth)).alias("drawn"))
+    rows = mixed.rows.filter("size > 0").join(drawn, ["number", "offset"])
+    return rows.select("key", (F.col("offset") % BLOCK).cast("int").alias("lead"), "drawn")
+
+
+def cut(text: Column, lead: Column) -> Column:
+    """The text in pieces that end where blocks do, after ``lead`` words of its first block. The space after a word stays with it, so
+    the pieces make up the text."""
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    filled = F.concat(F.repeat(F.lit("x "), lead), text)
+    pieces = F.regexp_extract_all(filled, F.lit(f"{space}*+(?:{word}++{space}*+){{1,{BLOCK}}}+"), F.lit(0))
+    return F.transform(pieces, lambda piece, k: F.when(k == 0, F.substring(piece, lead * 2 + 1, F.length(piece))).otherwise(piece))
+
+
+def copies(cuts: Column, drawn: Column) -> Column:
+    """The texts that the drawn pieces make: the first of all drawn pieces in their order, the next of those drawn once more; '' if none."""
+
+    def one(n: int) -> Column:
+        more = F.filter(drawn, lambda k, j: F.get(drawn, j - n).eqNullSafe(k))
+        return F.array_join(F.transform(F.array_distinct(more), lambda k: F.get(cuts, k)), "")
+
+    return F.array(*[one(n) for n in range(math.ceil(REPEAT))])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     return with_taken(mixed).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
