@@ -29,7 +29,7 @@ def difference(df, c: duckdb.DuckDBPyConnection, sql: str) -> str:
     mine, theirs = _rows(df.columns, df.collect()), _rows(names, found.fetchall())
     if mine != theirs:
         return f"{len(mine)} and {len(theirs)} rows, first {next(((a, b) for a, b in zip(mine, theirs, strict=False) if a != b), None)}"
-    kinds = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double"}
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
     want = {d[0]: kinds.get(str(d[1]), str(d[1])) for d in c.execute(sql).description}
     got = dict(df.dtypes)
     return "" if all(got[k] == want[k] for k in got) else f"types {got} and {want}"
