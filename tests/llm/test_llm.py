@@ -24,7 +24,7 @@ from undulo.llm import quality_classifier as qc  # noqa: E402
 from undulo.llm import quality_rules as qr  # noqa: E402
 from undulo.llm import sentencepiece_codec as sp  # noqa: E402
 from undulo.llm import token_counts as tc  # noqa: E402
-from undulo.llm.common import shingle_set, word_hashes  # noqa: E402
+from undulo.llm.common import shingle_set, word_hashes, words_of  # noqa: E402
 from undulo.llm.components import components  # noqa: E402
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,6 +55,13 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_duckdb(spark, sf_dir, name):
+    import oracle
+
+    assert not oracle.difference(queries.QUERIES[name](spark, sf_dir), oracle.connect(sf_dir), queries.ORACLES[name])
+
+
 # 1
 
 
@@ -77,11 +84,15 @@ def test_classifier_odd_rows(spark, odd):
 
 
 def test_dual_descent_separates():
-    rows = [np.array([1, 2]), np.array([1, 3]), np.array([4, 2]), np.array([4, 3])]
+    places = [np.array([1, 2]), np.array([1, 3]), np.array([4, 2]), np.array([4, 3])]
+    rows = [qc.packed(p.astype(np.int32)) for p in places]
+    assert all((qc.unpacked(r) == p).all() for r, p in zip(rows, places, strict=True))
+    long = np.arange(0, qc.WIDTH, 3, dtype=np.int32)
+    assert len(qc.packed(long)) == qc.WIDTH // 8 and (qc.unpacked(qc.packed(long)) == long).all()
     labels = np.array([1, 1, 0, 0])
     ratio = qc.log_count_ratio(rows, labels)
     w, b = qc.dual_descent(rows, labels, ratio, 1.0, 50, 1)
-    assert [float(w[p] @ ratio[p]) + b > 0 for p in rows] == [True, True, False, False]
+    assert [float(w[p] @ ratio[p]) + b > 0 for p in places] == [True, True, False, False]
 
 
 # 2
@@ -331,18 +342,44 @@ def brute_classes(texts):
 
 
 def test_near_duplicates(spark, docs):
-    rng, texts = np.random.default_rng(3), dict(docs[1])
-    base = [f"w{k}" for k in range(80)]
-    for k in range(120):  # a group of near copies in which many pairs are below the limit
-        words = list(base)
-        for _ in range(int(rng.integers(0, 5))):
-            words[int(rng.integers(80))] = f"v{int(rng.integers(10**6))}"
-        texts[10_000 + k] = " ".join(words)
+    texts = dict(docs[1]) | {10_000 + k: t for k, t in enumerate(near_copies(120))}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {k: (r.n_shingles, r.component_id) for k, r in by_id(mh.near_duplicates(df, "doc_id")).items()}
     assert got == brute_classes(texts)
 
 
+def test_near_duplicates_of_like_words(spark):
+    """Words that polynomial hashes modulo 2^64 can't tell apart, by themselves and inside texts."""
+    turns = [bin(k).count("1") % 2 for k in range(1024)]
+    words = ["".join("ab"[t] for t in turns), "".join("ba"[t] for t in turns)]
+    texts = {0: words[0], 1: words[1], 2: f"x y {words[0]} z", 3: f"x y {words[1]} z", 4: " ".join(words), 5: words[0].upper()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {k: (r.n_shingles, r.component_id) for k, r in by_id(mh.near_duplicates(df, "doc_id")).items()}
+    assert got == brute_classes(texts) == {k: (1, 0 if k == 5 else k) for k in texts}
+
+
+def near_copies(n, words=80, seed=3):
+    """Near copies of one text, many pairs of which are below the limit."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        own = [f"w{k}" for k in range(words)]
+        for _ in range(int(rng.integers(0, 5))):
+            own[int(rng.integers(words))] = f"v{int(rng.integers(10**6))}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_near_duplicates_in_cut_blocks(spark, monkeypatch):
+    """Blocks of few classes and few shingles, and the exact mode."""
+    texts = dict(enumerate(near_copies(150, seed=5) + near_copies(20, 20, seed=6)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_classes(texts)
+    assert {k: (r.n_shingles, r.component_id) for k, r in by_id(mh.near_duplicates(df, "doc_id", exact=True)).items()} == want
+    for name, value in {"SIDE": 16, "SIDE_SHINGLES": 700, "GROUP": 64, "GROUP_SHINGLES": 2000}.items():
+        monkeypatch.setattr(mh, name, value)
+    assert {k: (r.n_shingles, r.component_id) for k, r in by_id(mh.near_duplicates(df, "doc_id")).items()} == want
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = mh.near_duplicates(odd[0], "doc_id").collect()
     assert len(rows) == len(odd[1])
@@ -370,7 +407,7 @@ def test_components(spark):
 
 
 def test_shingles():
-    words = word_hashes("A b\tC a B c d".encode())
+    words = word_hashes(words_of("A b\tC a B c d"))
     assert words[0] == words[3] and words[1] == words[4] and len(set(words.tolist())) == 4
     assert len(shingle_set(words)) == 3 and len(shingle_set(words[:4])) == 1 and len(shingle_set(words[:0])) == 0
 
@@ -408,6 +445,26 @@ def test_near_vectors(spark):
     assert emb.near_vectors(df.limit(0), "vec_id").count() == 0
 
 
+def test_near_vectors_in_cut_blocks(spark, monkeypatch):
+    """A large group of near vectors in blocks of few classes, labels of any type, counted over a sample, and the exact mode."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(32)
+    near = [centre + 0.12 * rng.standard_normal(32) for _ in range(300)] + [rng.standard_normal(32) for _ in range(200)]
+    data = [(k, [float(np.float32(x)) for x in v], "ab"[k % 2]) for k, v in enumerate(near)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label string")
+    m = np.array([v for _, v, _ in data])
+    m = m / np.sqrt((m * m).sum(1, keepdims=True))
+    linked = (m @ m.T >= 0.98) & (np.arange(500)[:, None] % 2 == np.arange(500) % 2) & ~np.eye(500, dtype=bool)
+    want = linked.sum(1).tolist()
+    assert sum(want) > 1000
+    links = lambda found: [r.n_links for r in sorted(found.collect(), key=lambda r: r.vec_id)]
+    assert links(emb.near_vectors(df, "vec_id", exact=True)) == want
+    for name, value in {"CHUNK": 16, "COUNTED": 200, "GROUP": 64, "BUCKET": 8}.items():
+        monkeypatch.setattr(emb, name, value)
+    assert sum(links(emb.near_vectors(df, "vec_id"))) >= 0.999 * sum(want)
+    assert links(emb.near_vectors(df, "vec_id", exact=True)) == want
+
+
 # 8
 
 

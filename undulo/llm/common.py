@@ -6,24 +6,32 @@ import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a key table (16 to 40 bytes a row) up to which a join may broadcast it.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 50_000
+
+
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="undulo-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session takes a temporary
+    one, in which driver and executors are one process; on a cluster there is none, and it raises."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="undulo-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_dir(spark.conf.get("spark.app.id", ""))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -44,10 +52,42 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500, megabytes: int = 4) -> None:
-    """Bounds an Arrow batch by rows and bytes, so that Python workers hold little text at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+class Tables:
+    """Written tables of one job, by name, in a folder of their own below the shared one."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.names = spark, scratch(spark, name), set()
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        name = f"{name}-{len(self.names)}" if name in self.names else name
+        self.names.add(name)
+        return stored(df, name, f"{self.path}/{name}")
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these, which a result still reads."""
+        for name in self.names - set(names):
+            remove(self.spark, f"{self.path}/{name}")
+        self.names &= set(names)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500, megabytes: int = 4):
+    """Bounds an Arrow batch by rows and bytes for what runs inside, so that Python workers hold little text at once."""
+    options = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": f"{megabytes}m"}
+    before = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def pieces_of(batch: pa.RecordBatch, rows: int = 500):
+    """A batch in pieces of a few rows, for plans that run after their options are gone."""
+    for k in range(0, len(batch), rows):
+        yield batch.slice(k, rows)
 
 
 @contextmanager
@@ -61,8 +101,9 @@ def without_gc():
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has ``rows`` rows, counted beforehand, within the bound; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """``df`` marked for broadcast if it has ``rows`` rows, counted beforehand, within the bound; else for a sort-merge join, whose
+    hot keys Spark splits."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def hold(df: DataFrame, **columns: Column | str) -> DataFrame:
@@ -84,28 +125,13 @@ def release(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(*kept, *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
-# --- words and shingles, hashed in numpy over the bytes of one text -------------------------------------
+# --- words and shingles ----------------------------------------------------------------------------------
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _EMPTY = np.empty(0, np.uint64)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            factors = np.full(size, base)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers[0], _powers[1]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -113,23 +139,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, A-Z lower-cased, in order."""
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return _EMPTY
-    word = np.empty(len(raw) + 2, bool)
-    word[0] = word[-1] = False
-    np.logical_not(_SPACE[raw], out=word[1:-1])
-    edges = np.flatnonzero(word[1:] != word[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return _EMPTY
-    up, down = _power(len(raw) + 1)
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def words_of(text: str | None) -> list[bytes]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` in UTF-8, A-Z lower-cased."""
+    return (text or "").encode().translate(_LOWER).split()  # these are the bytes that split at, too
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:

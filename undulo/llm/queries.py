@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from undulo.llm import chat_format, embedding_dedup, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts
+from undulo.llm import chat_format, embedding_dedup, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, sql, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.ORACLES)
