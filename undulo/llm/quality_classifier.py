@@ -5,8 +5,9 @@ indicators of how far its n-grams and words repeat. Each is scaled by the log of
 length, and dual coordinate descent fits the weights; logistic scaling of margins on a part of the sample that the
 weights did not see turns margins into scores between 0 and 1.
 
-It is fitted in one task on at most ``SAMPLE`` labelled rows, those whose keys have the smallest hashes; every
-row is scored, on its executor, from the weights, whose size is fixed.
+It is fitted in one task on at most ``SAMPLE`` labelled rows, those whose keys have the smallest hashes, of rows that share a key the one with the
+smallest text. Their n-grams are found where the rows are; the fit gets places, or for long texts a bitmap of them, so it holds 33 KB a row at most,
+however long texts are. Every row is scored, on its executor, from the weights, whose size is fixed.
 
 Null and empty texts have no features and get the score of the model's constant term. Labels other than 0
 and 1, null labels, and keys with both labels are not used. Without any label every score is 0.5;
@@ -20,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import small_batches, word_hashes
+from undulo.llm.common import small_batches, words_of
 
 #: Labelled rows that a fit uses at most.
 SAMPLE = 6000
@@ -57,36 +59,50 @@ class Grams:
         self.seen[found] = False
         if len(raw):  # two more indicators: how many n-grams are new, and how many words repeat the one before
             share = int(31 * min(1.0, len(found) / (ORDERS * len(raw))))
-            words = word_hashes(raw.tobytes())
-            again = int(31 * np.mean(words[1:] == words[:-1])) if len(words) > 1 else 0
+            words = words_of(text)
+            again = 31 * sum(a == b for a, b in zip(words, words[1:], strict=False)) // (len(words) - 1) if len(words) > 1 else 0
             found = np.append(found, [PLACES + share, PLACES + 32 + again])
         return found.astype(np.int32)
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Places as they stand, or as a bitmap where that is shorter."""
+    if len(places) * 4 < WIDTH // 8:
+        return places.tobytes()
+    seen = np.zeros(WIDTH, bool)
+    seen[places] = True
+    return np.packbits(seen).tobytes()
+
+
+def unpacked(row: bytes) -> np.ndarray:
+    return np.frombuffer(row, np.int32) if len(row) < WIDTH // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8)))
+
+
 def _length(square: float) -> float:
     """What a vector is divided by: nearly its length, but short texts, which say little, stay near zero."""
     return float(square + SHORT) ** 0.5
 
 
-def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def log_count_ratio(rows: list[bytes], labels: np.ndarray) -> np.ndarray:
     """Log of the ratio of the classes' shares of each place, each count raised by one."""
     counts = np.ones((2, WIDTH))
-    for places, label in zip(rows, labels, strict=True):
-        counts[int(label), places] += 1
+    for row, label in zip(rows, labels, strict=True):
+        counts[int(label), unpacked(row)] += 1
     shares = np.log(counts) - np.log(counts.sum(1, keepdims=True))
     return (shares[1] - shares[0]).astype(np.float32)
 
 
-def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
+def dual_descent(rows: list[bytes], labels: np.ndarray, ratio: np.ndarray, cost: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
     """Weights and constant term that minimise half their square plus ``cost`` times the hinge losses."""
     weights, bias, sign = np.zeros(WIDTH, np.float32), 0.0, np.where(labels > 0, 1.0, -1.0)
-    scale = np.array([1 / _length(ratio[p] @ ratio[p]) for p in rows], np.float32)
-    square = np.array([float(ratio[p] @ ratio[p]) for p in rows]) * scale**2 + 1
+    square = np.array([float(ratio[p] @ ratio[p]) for p in map(unpacked, rows)])
+    scale = np.array([1 / _length(x) for x in square], np.float32)
+    square = square * scale**2 + 1
     alpha, order = np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0
         for i in order.permutation(len(rows)):
-            p = rows[i]
+            p = unpacked(rows[i])
             v = ratio[p] * scale[i]
             slope = sign[i] * (float(weights[p] @ v) + bias) - 1
             moved = min(max(alpha[i] - slope / square[i], 0.0), cost) - alpha[i]
@@ -122,13 +138,9 @@ def _margin(places: np.ndarray, scaled: np.ndarray, squares: np.ndarray, bias: f
     return float(scaled[places].sum(dtype=np.float64)) / _length(squares[places].sum(dtype=np.float64)) + bias
 
 
-def fit_arrays(texts: list[str | None], labels: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 7) -> tuple:
-    """The fields of a model, fitted on rows held in memory."""
-    grams, rows, n, good = Grams(), [], len(labels), int((labels > 0).sum())
-    for k in range(0, n, 256):  # many small arrays would stay with the worker's allocator
-        found = [grams(t) for t in texts[k : k + 256]]
-        ends = np.cumsum([len(f) for f in found])
-        rows += np.split(np.concatenate(found), ends[:-1])
+def fit_arrays(rows: list[bytes], labels: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 7) -> tuple:
+    """The fields of a model, fitted on the packed places of rows."""
+    n, good = len(labels), int((labels > 0).sum())
     flat = np.zeros(WIDTH, np.float32).tobytes()
     if not 0 < good < n:
         share = (good + 1) / (n + 2) if n else 0.5
@@ -140,32 +152,38 @@ def fit_arrays(texts: list[str | None], labels: np.ndarray, cost: float = 1.0, r
     ratio = log_count_ratio([rows[i] for i in fit], labels[fit])
     weights, bias = dual_descent([rows[i] for i in fit], labels[fit], ratio, cost, rounds, seed)
     scaled, squares = weights * ratio, ratio**2
-    margins = np.array([_margin(rows[i], scaled, squares, bias) for i in rest])
+    margins = np.array([_margin(unpacked(rows[i]), scaled, squares, bias) for i in rest])
     slope, shift = logistic_scaling(margins, labels[rest])
     return scaled.tobytes(), squares.tobytes(), bias, slope, shift
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str = "text", sample: int = SAMPLE) -> tuple:
     """A model fitted on at most ``sample`` rows of ``labels`` (key, label), with the texts that ``docs`` has for them."""
-    spark = docs.sparkSession
-    small_batches(spark)
     clean = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key"))
     clean = clean.agg(F.min(label).alias("label"), F.max(label).alias("most")).filter("label = most")
     chosen = clean.select("key", "label", F.xxhash64(F.col("key").cast("string")).alias("place")).orderBy("place", "key").limit(sample)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    rows = rows.groupBy("place", "key", "label").agg(F.min("text").alias("text")).select("place", F.col("label").cast("int").alias("label"), "text")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for b in batches:
+            found = pa.array([packed(grams(t)) for t in b["text"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["place"], b["label"], found], ["place", "label", "row"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"place": [], "text": [], "label": []}), *batches])
-        rows = rows.sort_values(["place", "text"]).reset_index(drop=True).head(sample)
-        yield pd.DataFrame([fit_arrays(list(rows["text"]), rows["label"].to_numpy(dtype=np.int64))], columns=["weights", "squares", "bias", "slope", "shift"])
+        rows = pd.concat([pd.DataFrame({"place": [], "label": [], "row": []}), *batches])
+        rows = rows.sort_values(["place", "row"])  # two keys may share a hash
+        yield pd.DataFrame([fit_arrays(list(rows["row"]), rows["label"].to_numpy(dtype=np.int64))], columns=["weights", "squares", "bias", "slope", "shift"])
 
-    found = rows.select("place", "text", "label").repartition(1).mapInPandas(run, _FIT).first()
+    with small_batches(docs.sparkSession):
+        rows = rows.mapInArrow(features, "place long, label int, row binary")
+        found = rows.repartition(1).mapInPandas(run, _FIT).first()
     return tuple(found) if found else fit_arrays([], np.zeros(0))  # without rows there may be no partition to run in
 
 
 def with_score(df: DataFrame, model: tuple, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the score of every whole text."""
-    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(tuple(model))
 
     @F.pandas_udf("double")
