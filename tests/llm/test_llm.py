@@ -102,16 +102,26 @@ def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     at = [(k, label) for k in range(len(words)) for p, label in lic.BASE.items() if words[k : k + len(p.split())] == p.split()]
     norm, hits = f" {' '.join(words)} ", []
-    if re.search(lic.ANCHORS, norm):
-        for key, pattern, label, level, place, sure in lic.rules():
-            if key in norm:
-                for m in re.finditer(pattern, norm):
-                    start = norm[: m.start()].count(" ") - 1
-                    hits.append((start, start + m[0].count(" ") + 1, level, place, label, sure))
+    for _, pattern, label, level, place, sure in lic.rules():  # all of them, none behind a gate
+        for m in re.finditer(pattern, norm):
+            start = norm[: m.start()].count(" ") - 1
+            hits.append((start, start + m[0].count(" ") + 1, level, place, label, sure))
     rank = lambda h: (h[2], h[0] - h[1], h[3])
     kept = [h for h in hits if not any(o is not h and o[0] <= h[0] and o[1] >= h[1] and rank(o) < rank(h) for o in hits)]
     base = {label for _, label in at}
-    return (len(words), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted(base)), ",".join(sorted(base | {h[4] for h in kept})), sorted((h[0], h[1], h[4]) for h in kept))
+    sure = max([h[5] for h in kept] + [0.75] * bool(at), default=0.0)
+    return (len(words), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted(base)), ",".join(sorted(base | {h[4] for h in kept})), sure, sorted((h[0], h[1], h[4]) for h in kept))
+
+
+def found_licenses(spark, said):
+    """Labels of texts, checked against brute force."""
+    out = {}
+    for r in lic.with_licenses(spark.createDataFrame(list(enumerate(said)), "id long, text string")).collect():
+        x = r.licenses
+        got = (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, x.score, sorted((d.start, d.end, d.label) for d in x.detections))
+        assert got == brute_licenses(r.text), r.text
+        out[r.text] = x.labels.split(",") if x.labels else []
+    return out
 
 
 def test_licenses(spark, docs, odd):
@@ -120,35 +130,9 @@ def test_licenses(spark, docs, odd):
         "Released under the terms of the GNU Lesser General Public License v3 or the GNU General Public License version 2",
         "CC-BY " * 50 + "mit licence MIT LICENSE apache license apache",
     ]
-    rows = [(k, t) for k, t in enumerate([*said, *(r[1] for r in odd[1]), *docs[1].values()])]
-    for r in lic.with_licenses(spark.createDataFrame(rows, "id long, text string")).collect():
-        x = r.licenses
-        got = (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, sorted((d.start, d.end, d.label) for d in x.detections))
-        assert got == brute_licenses(r.text), r.text
+    found_licenses(spark, [*said, *(r[1] for r in odd[1]), *docs[1].values()])
     assert lic.with_licenses(odd[0]).filter("licenses.n_base > 0").count() == 0
-    assert 200 < len(lic.rules())
-
-
-def all_licenses(text):
-    """The labels and detections of all rules, none of them behind a gate."""
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
-    norm, hits = f" {' '.join(words)} ", []
-    for _, pattern, label, level, place, _ in lic.rules():
-        for m in re.finditer(pattern, norm):
-            start = norm[: m.start()].count(" ") - 1
-            hits.append((start, start + m[0].count(" ") + 1, level, place, label))
-    rank = lambda h: (h[2], h[0] - h[1], h[3])
-    kept = [h for h in hits if not any(o is not h and o[0] <= h[0] and o[1] >= h[1] and rank(o) < rank(h) for o in hits)]
-    return sorted({h[4] for h in kept}), sorted((h[0], h[1], h[4]) for h in kept)
-
-
-def check_licenses(spark, said):
-    rows = [(k, t) for k, t in enumerate(said)]
-    for r in lic.with_licenses(spark.createDataFrame(rows, "id long, text string")).collect():
-        labels, found = all_licenses(r.text)
-        assert sorted((d.start, d.end, d.label) for d in r.licenses.detections) == found, r.text
-        assert set(labels) <= set(r.licenses.labels.split(",")), r.text
-        yield r.text, labels
+    assert 200 < len(lic.NAMES) + len(lic.SENTENCES)
 
 
 def wordings(pattern):
@@ -174,18 +158,10 @@ def wordings(pattern):
 
 
 def test_license_keywords():
-    for _, key, names in lic.FAMILIES:
-        for text in wordings(names):
-            assert f" {key}" in f" {text} ", (key, text)
-    for label, key, sentence, level, _ in lic.SENTENCES:
-        assert lic.need(f" {key}", level) in f" {key}"
-        for text in wordings(sentence):
-            assert f" {key}" in f" {text} ", (label, key, text)
-
-
-def test_licenses_expat(spark):
-    said = ["Distributed under the Expat License", "Expat licence, see COPYING", "SPDX-License-Identifier: Expat", "the expat 2.1", "the MIT/Expat licence"]
-    assert all(labels == ["mit"] for _, labels in check_licenses(spark, said))
+    for keyword, pattern, _, level, _, _ in lic.rules():
+        assert lic.need(keyword, pattern) in (pattern if "spdx" in pattern else keyword) and level in lic.LEVELS
+        for text in wordings(pattern[6:-5]):
+            assert keyword in f" {text} ", (keyword, text)
 
 
 def test_licenses_by_identifier_and_text(spark):
@@ -199,24 +175,59 @@ def test_licenses_by_identifier_and_text(spark):
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation": "boost",
         "see https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa",
     }
-    found = dict(check_licenses(spark, [*said, *[s for _, _, s, _, _ in lic.SENTENCES]]))
+    sentences = [text for _, _, sentence, _, _ in lic.SENTENCES for text in wordings(sentence)[-1:]]
+    found = found_licenses(spark, [*said, *sentences])
     for text, label in said.items():
-        assert found[text] == [label], text
+        assert label in found[text], text
+    assert not [text for text in sentences if not found[text]]
 
 
-def test_licenses_named_without_the_word(spark, docs):
+def test_licenses_by_name(spark):
     said = {
         "Distributed under the Apache 2.0": "apache",
         "available under the MIT": "mit",
         "Released under the terms of the BSD 3-clause": "bsd",
+        "Distributed under BSD 3-clause terms": "bsd",
         "Published under Creative Commons Attribution 4.0 International": "cc-by",
         "Mozilla Public 2.0": "mpl",
-        "php 7": "php",
+        "MPL 2.0": "mpl",
+        "Released under Mozilla Public v2": "mpl",
+        "Distributed under the Expat License": "mit",
+        "GNU Affero General Public License v3": "agpl",
+        "GNU Lesser General Public License version 2.1 or later": "lgpl",
+        "This is LGPLv3": "lgpl",
+        "GPLv2+ or newer": "gpl",
+        "two clause BSD": "bsd",
+        "under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0": "cc-by-nc-sa",
+        "CC BY-NC-ND 3.0": "cc-by-nc-nd",
     }
-    found = dict(check_licenses(spark, [*said, *docs[1].values()]))
+    found = found_licenses(spark, said)
     for text, label in said.items():
-        assert found[text] == [label], text
-    assert dict(check_licenses(spark, ["licensed to the general public"])) == {"licensed to the general public": []}
+        assert set(found[text]) - {"cc-by"} <= {label} and label in found[text], (text, found[text])
+
+
+def test_licenses_not_meant(spark):
+    said = [
+        "licensed to the general public",
+        "Python 3 is required. See license.",
+        "PHP 7 and Ruby 2, driver's license",
+        "MIT 2019 admission license",
+        "Apache helicopters, version 2, need a licence",
+        "boost 2 your sales. fishing license 3",
+        "Vim 8 and zlib 1.2.11; licence plate 12",
+        "the artistic 2 dancers, open font 12, postgresql 14, openssl 3",
+    ]
+    assert not any(found_licenses(spark, said).values())
+
+
+def test_licenses_of_a_text_with_very_many(spark):
+    """Hits in a row, nested and repeated: suppression holds each against all before."""
+    rng = np.random.default_rng(4)
+    said = ["MIT License", "CC BY-SA 4.0", "GNU Lesser General Public License v3", "licensed under the BSD", "general public licence 2", "word", "spdx license identifier mit"]
+    texts = [" ".join(rng.choice(said, n)) for n in (1, 2, 3, 60)]
+    found_licenses(spark, texts)
+    many = lic.with_licenses(spark.createDataFrame([("MIT License or else. " * 20_000,)], "text string")).first().licenses
+    assert (many.n_base, len(many.detections), many.labels) == (20_000, 20_000, "mit")
 
 
 # 3

@@ -1,11 +1,10 @@
 """Licence detection by ordered signature rules, in DataFrame functions only.
 
-A text becomes its words in lower case between single spaces. Every licence family below is written out once, with
-its names as a regular expression; five ways of speaking of a licence make it into five rules of a level each, 1 the surest.
-Rules of their own follow for SPDX identifiers, and for sentences of notices and of the licences themselves.
-A rule is tried on a text only if the text has the anchor of its way of speaking and its own keyword; any hit of the rule, with the spaces
-around it, contains both, so no hit is lost. Its hits become intervals of words. A hit that lies within another of a better level, or of the same level and longer, or equal and earlier in
-the order of rules, is suppressed: it suffices to go through the hits by start and falling end and to keep the farthest end of each level.
+A text becomes its words in lower case between single spaces. The rules are written out below: names of licences with the versions that they have, SPDX
+identifiers, and sentences of notices and of the licences themselves; each has a level, 1 the surest.
+A rule is tried on a text only if the text has its keyword; any hit of the rule, with the spaces
+around it, contains it, so no hit is lost. Its hits become intervals of words. A hit that lies within another of a better level, or of the same level and longer, or equal and earlier in
+the order of rules, is suppressed: it suffices to hold each hit's end against the farthest end of the hits before it in the order of start and falling end.
 
 Beside the rules stand four base phrases, all places of which are counted.
 
@@ -15,6 +14,8 @@ columns stay; a column named licenses is replaced.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,63 +24,162 @@ from undulo.llm.common import hold, release, settle
 #: The base phrases and their labels.
 BASE = {"apache license": "apache", "cc by": "cc-by", "gnu general public license": "gpl", "mit license": "mit"}
 
-#: Label; keyword that each of the names contains, at the start of a word; the licence's names.
-FAMILIES = [
-    ("afl", "academic", "academic free"),
-    ("agpl", "agpl", "agpl(?:v?3)?"),
-    ("agpl", "affero", "(?:gnu )?affero general public"),
-    ("apache", "apache", "apache(?: software)?"),
-    ("apsl", "apple", "apple public source"),
-    ("artistic", "artistic", "(?:the )?artistic"),
-    ("blueoak", "blue oak", "blue oak model"),
-    ("boost", "boost", "boost(?: software)?"),
-    ("bsd", "bsd", "(?:new |simplified |modified |revised |original )?(?:[0-4234] clause )?bsd(?: [0234] clause)?"),
-    ("cc-by", "cc by", "cc by"),
-    ("cc-by", "creative commons", "creative commons attribution"),
-    ("cc-by-nc", "cc by nc", "cc by nc"),
-    ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial"),
-    ("cc-by-nd", "cc by nd", "cc by nd"),
-    ("cc-by-nd", "noderivatives", "creative commons attribution noderivatives"),
-    ("cc-by-sa", "cc by sa", "cc by sa"),
-    ("cc-by-sa", "sharealike", "creative commons attribution sharealike"),
-    ("cc0", "cc0", "(?:creative commons )?cc0"),
-    ("cddl", "cddl ", "cddl"),
-    ("cddl", "development and distribution", "common development and distribution"),
-    ("cecill", "cecill", "cecill(?: [bc])?"),
-    ("cpl", "common public", "common public"),
-    ("ecl", "educational community", "educational community"),
-    ("epl", "eclipse", "eclipse public"),
-    ("eupl", "european union", "european union public"),
-    ("eupl", "eupl ", "eupl"),
-    ("gfdl", "free documentation", "(?:gnu )?free documentation"),
-    ("gpl", "general public", "gnu general public|general public"),
-    ("gpl", "gpl", "(?:gnu )?gpl(?:v?[23])?"),
-    ("isc", "isc ", "isc"),
-    ("lgpl", "lesser general", "(?:gnu )?lesser general public"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl(?:v?[23])?"),
-    ("lgpl", "library general", "(?:gnu )?library general public"),
-    ("mit", "expat", "expat"),
-    ("mit", "mit ", "mit"),
-    ("mpl", "mozilla", "mozilla public"),
-    ("mpl", "mpl ", "mpl"),
-    ("ms-pl", "microsoft public", "microsoft public"),
-    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal"),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
-    ("odbl", "open database", "open database"),
-    ("ofl", "open font", "(?:sil )?open font"),
-    ("openssl", "openssl", "openssl"),
-    ("osl", "open software", "open software"),
-    ("php", "php ", "php"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("psf", "python", "python(?: software foundation)?"),
-    ("ruby", "ruby ", "ruby"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("upl", "universal permissive", "universal permissive"),
-    ("vim", "vim ", "vim"),
-    ("wtfpl", "wtfpl ", "wtfpl"),
-    ("x11", "x11 ", "x11"),
-    ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("zpl", "zope", "zope public"),
+_LIC = "licen[cs]e"
+_UNDER = "(?:licensed|released|distributed|published|provided|available|covered|offered) under (?:the )?(?:terms of )?(?:the )?"
+_LATER = "(?: only| or later| or any later version| or newer)?"
+
+#: Label; keyword that any hit contains, at the start of a word; how a licence is named; level and how sure a hit is. Bare names that are words, people,
+#: products or places of their own count only beside a licence word, and versions only where the licence has them.
+NAMES = [
+    ("afl", "academic free", f"academic free {_LIC}(?: version)?(?: v?[123] [0-9])?", 4, 0.85),
+    ("afl", "afl", "afl v?(?:1 1|1 2|2 0|2 1|3 0)", 3, 0.7),
+    ("agpl", "affero", f"(?:gnu )?affero (?:general )?public {_LIC}(?: version)?(?: v?[13](?: 0)?)?{_LATER}", 3, 0.9),
+    ("agpl", "affero", "(?:gnu )?affero gpl(?: version)?(?: v?[13](?: 0)?)?", 4, 0.85),
+    ("agpl", "agpl", f"(?:gnu )?agpl(?: version)? v?(?:1|3)(?: 0)?{_LATER}", 3, 0.85),
+    ("agpl", "agplv", f"(?:gnu )?agplv[13](?: 0)?{_LATER}", 3, 0.85),
+    ("agpl", "agpl", f"(?:gnu )?agpl(?:v[13])? {_LIC}d?", 4, 0.8),
+    ("agpl", "agpl", "agpl", 5, 0.6),
+    ("apache", "apache", f"apache (?:software )?{_LIC}", 4, 0.75),
+    ("apache", "apache", f"apache (?:software )?{_LIC}(?: version)? v?2(?: 0)?", 3, 0.9),
+    ("apache", "apache", f"apache (?:software )?{_LIC}(?: version)? v?1 [01]", 3, 0.85),
+    ("apache", "apache", f"apache (?:version )?v?(?:1 0|1 1|2 0) {_LIC}d?", 3, 0.85),
+    ("apache", "apache", f"{_UNDER}apache(?: software)?(?: {_LIC})?(?:(?: version)? v?2(?: 0)?)?", 2, 0.95),
+    ("apache", "apache", f"{_LIC}s? (?:is |type |name )?(?:the )?apache(?: 2(?: 0)?)?", 5, 0.6),
+    ("apache", "apache2", f"apache2 {_LIC}", 4, 0.75),
+    ("apache", "asl", f"asl 2 0|{_LIC} asl2", 4, 0.7),
+    ("apsl", "apple public source", f"apple public source {_LIC}(?: version)?(?: v?[12](?: [012])?)?", 4, 0.9),
+    ("apsl", "apsl", "apsl v?(?:1 [0-2]|2(?: 0)?)", 3, 0.75),
+    ("artistic", "artistic", f"(?:perl |clarified )?artistic {_LIC}", 4, 0.75),
+    ("artistic", "artistic", f"(?:perl |clarified )?artistic {_LIC}(?: version)? v?[12](?: 0)?", 3, 0.85),
+    ("artistic", "artistic", f"{_UNDER}artistic(?: {_LIC})?(?: v?[12](?: 0)?)?", 2, 0.9),
+    ("artistic", "same terms as perl", "same terms as perl itself", 4, 0.75),
+    ("beerware", "beer", f"beer ?ware {_LIC}", 4, 0.8),
+    ("blueoak", "blue oak model", f"blue oak model {_LIC}(?: 1 0 0)?", 4, 0.9),
+    ("boost", "boost", f"boost (?:software )?{_LIC}", 4, 0.8),
+    ("boost", "boost", f"boost (?:software )?{_LIC}(?: version)? v?1(?: 0)?", 3, 0.9),
+    ("boost", "boost", f"{_UNDER}boost(?: software)?(?: {_LIC})?(?:(?: version)? v?1(?: 0)?)?", 2, 0.9),
+    ("boost", "boost org license", "boost org license 1 0(?: txt)?", 3, 0.85),
+    ("bsd", "bsd", f"bsd {_LIC}", 4, 0.75),
+    ("bsd", "bsd", f"bsd(?: style| like| type) {_LIC}", 4, 0.7),
+    ("bsd", "bsd", f"(?:new|simplified|modified|revised|original|old) bsd(?: {_LIC})?", 4, 0.75),
+    ("bsd", "bsd", f"bsd [0-4] clause(?: {_LIC})?", 3, 0.85),
+    ("bsd", "bsd", f"(?:[0-4]|zero|one|two|three|four) clause bsd(?: {_LIC})?", 3, 0.85),
+    ("bsd", "bsd", f"{_UNDER}(?:(?:new|simplified|modified|revised|original|[0-4] clause) )?bsd(?: [0-4] clause)?(?: {_LIC}| terms)?", 2, 0.95),
+    ("bsd", "bsd", f"{_LIC}s? (?:is |type |name )?(?:the )?bsd(?: [0-4] clause)?", 5, 0.6),
+    ("bsd", "freebsd", f"freebsd {_LIC}", 4, 0.75),
+    ("bsd", "berkeley", f"berkeley software distribution {_LIC}", 4, 0.8),
+    ("busl", "business source", f"business source {_LIC}(?: version)?(?: 1 [01])?", 4, 0.9),
+    ("cc-by", "cc by", "cc by", 4, 0.75),
+    ("cc-by", "cc by", "cc by (?:[12] [05]|[34] 0)(?: international| unported| generic)?", 3, 0.9),
+    ("cc-by", "creative commons attribution", f"creative commons attribution(?: (?:[12] [05]|[34] 0))?(?: international| unported| generic)?(?: public)? {_LIC}", 3, 0.9),
+    ("cc-by", "creative commons attribution", "creative commons attribution (?:[12] [05]|[34] 0)(?: international| unported| generic)?", 3, 0.85),
+    ("cc-by", "creative commons attribution", f"{_UNDER}(?:a )?creative commons attribution(?: (?:[12] [05]|[34] 0))?(?: international| unported| generic)?", 2, 0.95),
+    ("cc-by-nc", "cc by nc", "cc by nc(?: (?:[12] [05]|[34] 0))?", 3, 0.9),
+    ("cc-by-nc", "creative commons attribution non", f"creative commons attribution non ?commercial(?: (?:[12] [05]|[34] 0))?(?: international| unported| generic)?(?: public)?(?: {_LIC})?", 2, 0.95),
+    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd(?: (?:[12] [05]|[34] 0))?", 3, 0.9),
+    ("cc-by-nc-nd", "creative commons attribution non", f"creative commons attribution non ?commercial no ?deriv(?:s|atives|ative works)(?: (?:[12] [05]|[34] 0))?(?: international| unported| generic)?(?: public)?(?: {_LIC})?", 2, 0.95),
+    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa(?: (?:[12] [05]|[34] 0))?", 3, 0.9),
+    ("cc-by-nc-sa", "creative commons attribution non", f"creative commons attribution non ?commercial share ?alike(?: (?:[12] [05]|[34] 0))?(?: international| unported| generic)?(?: public)?(?: {_LIC})?", 2, 0.95),
+    ("cc-by-nd", "cc by nd", "cc by nd(?: (?:[12] [05]|[34] 0))?", 3, 0.9),
+    ("cc-by-nd", "creative commons attribution no", f"creative commons attribution no ?deriv(?:s|atives|ative works)(?: (?:[12] [05]|[34] 0))?(?: international| unported| generic)?(?: public)?(?: {_LIC})?", 2, 0.95),
+    ("cc-by-sa", "cc by sa", "cc by sa(?: (?:[12] [05]|[34] 0))?", 3, 0.9),
+    ("cc-by-sa", "creative commons attribution share", f"creative commons attribution share ?alike(?: (?:[12] [05]|[34] 0))?(?: international| unported| generic)?(?: public)?(?: {_LIC})?", 2, 0.95),
+    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?", 4, 0.8),
+    ("cc0", "creative commons", f"creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?(?: {_LIC})?", 2, 0.95),
+    ("cddl", "common development and distribution", f"common development and distribution {_LIC}(?: version)?(?: v?1 [01])?", 4, 0.9),
+    ("cddl", "cddl", "cddl v?1(?: [01])?", 3, 0.8),
+    ("cddl", "cddl", f"{_UNDER}cddl|cddl {_LIC}", 4, 0.8),
+    ("cecill", "cecill", f"cecill(?: [bc])?(?: v?[12](?: [01])?)?(?: {_LIC})?", 4, 0.8),
+    ("cpl", "common public", f"common public {_LIC}(?: version)?(?: v?1(?: 0)?)?", 4, 0.85),
+    ("cpl", "ibm public", f"ibm public {_LIC}(?: version)?(?: v?1(?: 0)?)?", 4, 0.85),
+    ("ecl", "educational community", f"educational community {_LIC}(?: version)?(?: v?[12](?: 0)?)?", 4, 0.9),
+    ("epl", "eclipse public", f"eclipse public {_LIC}", 4, 0.8),
+    ("epl", "eclipse public", f"eclipse public {_LIC}(?: version)?(?: v)? ?[12](?: 0)?", 3, 0.9),
+    ("epl", "eclipse public", f"{_UNDER}eclipse public(?: {_LIC})?(?:(?: version)? v?[12](?: 0)?)?", 2, 0.95),
+    ("epl", "epl", "epl v?(?:1|2) 0", 3, 0.75),
+    ("epl", "eclipse distribution", f"eclipse distribution {_LIC}(?: v)?(?: ?1 0)?", 4, 0.8),
+    ("eupl", "european union public", f"european union public {_LIC}(?: version)?(?: v?1(?: [012])?)?", 4, 0.9),
+    ("eupl", "eupl", "eupl(?: v?1 [012])?", 4, 0.75),
+    ("ftl", "freetype", f"freetype(?: project)? {_LIC}", 4, 0.85),
+    ("gfdl", "free documentation", f"(?:gnu )?free documentation {_LIC}(?: version)?(?: v?1 [123])?{_LATER}", 4, 0.9),
+    ("gfdl", "gfdl", "(?:gnu )?gfdl(?: v?1 [123])?", 4, 0.8),
+    ("gpl", "gnu", f"gnu general public {_LIC}", 4, 0.75),
+    ("gpl", "general public", f"(?:gnu )?general public {_LIC}(?: version)? v?[123](?: 0)?{_LATER}", 3, 0.9),
+    ("gpl", "general public", f"{_UNDER}(?:gnu )?general public {_LIC}(?:(?: version)? v?[123](?: 0)?)?{_LATER}", 2, 0.95),
+    ("gpl", "gpl", f"(?:gnu )?gpl(?: version)? v?[123](?: 0)?{_LATER}", 3, 0.85),
+    ("gpl", "gplv", f"(?:gnu )?gplv[123](?: 0)?{_LATER}", 3, 0.85),
+    ("gpl", "gpl", f"(?:gnu )?gpl(?:v[123])? {_LIC}d?", 4, 0.8),
+    ("gpl", "gpl", f"{_UNDER}(?:gnu )?gpl(?:v[123])?", 2, 0.9),
+    ("gpl", "gnu", "gnu gpl", 4, 0.75),
+    ("gpl", "gnu", f"gnu public {_LIC}", 4, 0.7),
+    ("gpl", "gpl", f"{_LIC}s? (?:is |type |name )?(?:the )?(?:gnu )?gpl(?:v[123])?", 5, 0.6),
+    ("hpnd", "historical permission notice", "historical permission notice and disclaimer", 4, 0.85),
+    ("ijg", "independent jpeg group", f"independent jpeg group {_LIC}", 4, 0.85),
+    ("isc", "isc", f"isc {_LIC}", 4, 0.8),
+    ("isc", "isc", f"{_UNDER}isc(?: {_LIC})?", 2, 0.9),
+    ("isc", "isc", f"{_LIC} (?:is |type |name )?isc", 5, 0.6),
+    ("lgpl", "lesser general public", f"(?:gnu )?lesser general public {_LIC}", 4, 0.85),
+    ("lgpl", "lesser general public", f"(?:gnu )?lesser general public {_LIC}(?: version)? v?(?:2 1|3(?: 0)?){_LATER}", 3, 0.9),
+    ("lgpl", "lesser general public", f"{_UNDER}(?:gnu )?lesser general public {_LIC}(?:(?: version)? v?(?:2 1|3(?: 0)?))?{_LATER}", 2, 0.95),
+    ("lgpl", "library general public", f"(?:gnu )?library general public {_LIC}(?: version)?(?: v?2(?: 0)?)?{_LATER}", 3, 0.9),
+    ("lgpl", "lgpl", f"(?:gnu )?lgpl(?: version)? v?(?:2(?: [01])?|3(?: 0)?){_LATER}", 3, 0.85),
+    ("lgpl", "lgplv", f"(?:gnu )?lgplv(?:2(?: 1)?|3){_LATER}", 3, 0.85),
+    ("lgpl", "lgpl", f"(?:gnu )?lgpl(?:v[23])? {_LIC}d?", 4, 0.8),
+    ("lgpl", "lgpl", f"{_UNDER}(?:gnu )?lgpl(?:v[23])?", 2, 0.9),
+    ("lgpl", "lgpl", "lgpl", 5, 0.6),
+    ("lppl", "latex project public", f"latex project public {_LIC}(?: version)?(?: v?1(?: [0-3][ac]?)?)?", 4, 0.9),
+    ("mit", "mit", f"mit {_LIC}", 4, 0.75),
+    ("mit", "mit", f"mit(?: style| like| x11| expat) {_LIC}", 4, 0.75),
+    ("mit", "mit", f"{_UNDER}mit(?: {_LIC})?", 2, 0.95),
+    ("mit", "mit", f"{_LIC}s? (?:is |type |name )?(?:the )?mit", 5, 0.6),
+    ("mit", "mit licensed", "mit licensed", 4, 0.75),
+    ("mit", "expat", f"expat {_LIC}", 4, 0.8),
+    ("mit", "expat", f"{_UNDER}expat(?: {_LIC})?", 2, 0.9),
+    ("mpl", "mozilla public", f"mozilla public {_LIC}", 4, 0.8),
+    ("mpl", "mozilla public", f"mozilla public {_LIC}(?: version)? v?(?:1 [01]|2(?: 0)?)", 3, 0.9),
+    ("mpl", "mozilla public", "mozilla public(?: version)? v?(?:1 [01]|2(?: 0)?)", 3, 0.8),
+    ("mpl", "mozilla public", f"{_UNDER}mozilla public(?: {_LIC})?(?:(?: version)? v?(?:1 [01]|2(?: 0)?))?", 2, 0.95),
+    ("mpl", "mpl", "mpl v?(?:1 [01]|2 0)", 3, 0.8),
+    ("mpl", "mplv", "mplv2(?: 0)?", 3, 0.8),
+    ("mpl", "mpl", f"mpl {_LIC}|{_UNDER}mpl", 4, 0.8),
+    ("ms-pl", "microsoft public", f"microsoft public {_LIC}(?: ms pl)?", 4, 0.9),
+    ("ms-pl", "ms pl", f"ms pl {_LIC}|{_LIC} ms pl", 4, 0.7),
+    ("ms-rl", "microsoft reciprocal", f"microsoft reciprocal {_LIC}(?: ms rl)?", 4, 0.9),
+    ("mulan", "mulan", f"mulan (?:permissive|psl)(?: software)?(?: {_LIC})?(?: v?[12])?", 4, 0.85),
+    ("ncsa", "ncsa", f"(?:university of illinois )?ncsa(?: open source)? {_LIC}", 4, 0.85),
+    ("odbl", "open database", f"open (?:data commons open )?database {_LIC}(?: odbl)?(?: v?1 0)?", 4, 0.85),
+    ("odbl", "odbl", "odbl(?: v?1 0)?", 4, 0.75),
+    ("odc-by", "open data commons attribution", f"open data commons attribution {_LIC}(?: odc by)?(?: v?1 0)?", 3, 0.9),
+    ("ofl", "open font", f"(?:sil )?open font {_LIC}", 4, 0.85),
+    ("ofl", "open font", f"(?:sil )?open font {_LIC}(?: version)? v?1 [01]", 3, 0.9),
+    ("ofl", "sil ofl", "sil ofl(?: 1 [01])?", 3, 0.85),
+    ("openssl", "openssl", f"openssl {_LIC}", 4, 0.8),
+    ("osl", "open software", f"open software {_LIC}(?: version)?(?: v?[123] [01])?", 4, 0.8),
+    ("osl", "osl", "osl v?(?:1 [01]|2 [01]|3 0)", 3, 0.7),
+    ("pddl", "public domain dedication", f"(?:open data commons )?public domain dedication and {_LIC}", 4, 0.85),
+    ("php", "php", f"php {_LIC}", 4, 0.75),
+    ("php", "php", f"php {_LIC}(?: version)? v?3(?: 0[01]?)?", 3, 0.85),
+    ("postgresql", "postgresql", f"postgresql {_LIC}", 4, 0.8),
+    ("psf", "python", f"python(?: software foundation)? {_LIC}", 4, 0.75),
+    ("psf", "python software foundation", f"python software foundation {_LIC}(?: version)? v?2(?: 0)?", 3, 0.9),
+    ("psf", "psf", f"psf {_LIC}|{_LIC} psf", 4, 0.75),
+    ("ruby", "ruby", f"ruby {_LIC}", 4, 0.7),
+    ("ruby", "ruby", f"{_UNDER}ruby {_LIC}|{_UNDER}same terms as ruby", 2, 0.9),
+    ("sspl", "server side public", f"server side public {_LIC}(?: version)?(?: v?1(?: 0)?)?", 4, 0.9),
+    ("sspl", "sspl", f"sspl v?1(?: 0)?|sspl {_LIC}", 4, 0.75),
+    ("unicode", "unicode", f"unicode(?: inc)? {_LIC}(?: agreement)?(?: v?3)?", 4, 0.8),
+    ("unlicense", "unlicense", f"{_UNDER}unlicense", 2, 0.95),
+    ("unlicense", "unlicense", "(?:the )?unlicense(?: org)?", 4, 0.75),
+    ("upl", "universal permissive", f"universal permissive {_LIC}(?: version)?(?: v?1 0)?", 4, 0.9),
+    ("vim", "vim", f"vim {_LIC}", 4, 0.75),
+    ("w3c", "w3c", f"w3c (?:software (?:and document )?(?:notice and )?)?{_LIC}", 4, 0.85),
+    ("wtfpl", "wtfpl", "wtfpl(?: v?(?:ersion )?[12])?", 4, 0.85),
+    ("x11", "x11", f"x11 {_LIC}", 4, 0.8),
+    ("x11", "x consortium", f"x consortium {_LIC}", 4, 0.8),
+    ("zlib", "zlib", f"zlib(?: libpng)? {_LIC}", 4, 0.8),
+    ("zlib", "zlib", f"{_UNDER}zlib(?: libpng)?(?: {_LIC})?", 2, 0.9),
+    ("zlib", "libpng", f"libpng {_LIC}(?: version)?(?: 2(?: 0)?)?", 4, 0.8),
+    ("zpl", "zope public", f"zope public {_LIC}(?: version)?(?: v?[12](?: [01])?)?", 4, 0.9),
 ]
 
 #: Label; SPDX identifiers as words. Versions that are written with only, or later or + are covered by those without.
@@ -155,7 +255,7 @@ SENTENCES = [
     ("x11", "the name of the x consortium shall not be used", "except as contained in this notice the name of the x consortium shall not be used in advertising", 2, 0.95),
     ("isc", "this software for any purpose with or without fee is hereby granted provided", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 2, 0.95),
     ("bsd", "this software for any purpose with or without fee is hereby granted", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", 3, 0.8),
-    ("hpnd", "this software and its documentation for any purpose", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:and without fee |is hereby granted without fee )(?:is hereby granted )?", 3, 0.8),
+    ("hpnd", "this software and its documentation for any purpose", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose(?: and without fee| is hereby granted without fee)(?: is hereby granted)?", 3, 0.8),
     ("postgresql", "without fee and without a written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 2, 0.95),
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms(?: with or without modification are permitted)?(?: provided that the following conditions are met)?", 2, 0.9),
     ("bsd", "redistributions of source code must retain the", "redistributions of source code must retain the (?:above )?copyright notice", 4, 0.75),
@@ -215,47 +315,31 @@ SENTENCES = [
     ("lppl", "under the conditions of the latex project public license", "this work may be distributed and or modified under the conditions of the latex project public license", 2, 0.95),
 ]
 
-_LICENCE, _VERSION = "(?: (?:public )?licen[cs]e)", "(?:,? (?:version|v))? v?[0-9]+(?: [0-9]+)?"
-#: Level: the way of speaking, and how sure a hit is.
-WAYS = {
-    1: ("spdx licen[cs]e identifier (?:{0})(?: [0-9]+){{0,3}}(?: only| or later)?", 1.0),
-    2: ("(?:licensed|released|distributed|published|provided|available|covered|offered) under (?:the )?(?:terms of )?(?:the )?(?:{0})" + f"{_LICENCE}?(?:{_VERSION})?", 0.95),
-    3: ("(?:{0})" + f"{_LICENCE}?{_VERSION}", 0.8),
-    4: ("(?:{0})" + _LICENCE, 0.75),
-    5: ("licen[cs]e(?:s| is| type| name)? (?:the )?(?:{0})", 0.6),
-}
-#: Level: what any hit of this way of speaking contains.
-NEEDS = {1: "spdx", 2: " under ", 3: "", 4: "licen", 5: "licen"}
-#: Stems of which each sentence's keyword has one.
-STEMS = ("licen", "softw", "redistributi", "permission", "")
-_SPELLED = {(f" {key}", level) for _, key, _, level, _ in SENTENCES}
+#: Levels of rules, 1 the surest.
+LEVELS = (1, 2, 3, 4, 5)
+#: Stems of which a rule's keyword may have one; texts without a stem are not searched for its keywords.
+STEMS = ("spdx", "licen", "public", "softw", "redistributi", "permission", "creative", "gpl", "gnu", "bsd", "apache")
 
 
+@cache
 def rules() -> list[tuple[str, str, str, int, int, float]]:
     """keyword, pattern, label, level, order, confidence. Any hit, with the spaces around it, contains the keyword."""
-    ways = [(level, way, sure, family) for level, (way, sure) in WAYS.items() for family in FAMILIES]
-    said = [(f" {key}", way.format(names), label, level, sure) for level, way, sure, (label, key, names) in ways]
+    said = [(f" {key}", named, label, level, sure) for label, key, named, level, sure in NAMES]
     tags = [(f" {name} ", f"spdx licen[cs]e identifier {name}(?: only| or later)?", label, 1, 1.0) for label, names in IDS.items() for name in names.split("|")]
     spelled = [(f" {key}", sentence, label, level, sure) for label, key, sentence, level, sure in SENTENCES]
-    return [(key, f"(?<= ){pattern.removesuffix(' ')}(?= )", label, level, k, sure) for k, (key, pattern, label, level, sure) in enumerate(said + tags + spelled)]
-
-
-def need(keyword: str, level: int) -> str:
-    """The anchor of a rule: of a sentence, a stem that its keyword contains; else that of its way of speaking."""
-    if (keyword, level) in _SPELLED:
-        return next(stem for stem in STEMS if stem in keyword)
-    return NEEDS[level]
+    return [(key, f"(?<= )(?:{pattern})(?= )", label, level, k, sure) for k, (key, pattern, label, level, sure) in enumerate(said + tags + spelled)]
 
 
-#: The keywords of all rules: a text without any has no hit.
-ANCHORS = "|".join(sorted({r[0] for r in rules()}))
+def need(keyword: str, pattern: str) -> str:
+    """What a text must contain, cheaper to look for than each of the keywords: the tag of an identifier, or a stem of the keyword."""
+    return "spdx" if "spdx" in pattern else next((stem for stem in STEMS if stem in keyword), "")
 
 
 def _rule_table() -> list[tuple[str, str, list[tuple]]]:
     """The rules by anchor and keyword."""
     groups: dict[tuple[str, str], list[tuple]] = {}
     for keyword, pattern, label, level, place, sure in rules():
-        groups.setdefault((need(keyword, level), keyword), []).append((place, pattern, label, level, sure))
+        groups.setdefault((need(keyword, pattern), keyword), []).append((place, pattern, label, level, sure))
     return [(*both, group) for both, group in groups.items()]
 
 
@@ -264,36 +348,31 @@ def _spaces(text: Column) -> Column:
 
 
 def _hits(text: Column, rule: Column) -> Column:
-    """Start and end words of a rule's hits, with what is needed to rank them."""
-    gaps, hits = F.split(text, rule["pattern"], -1), F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    kind = "struct<at:int,found:array<struct<start:int,behind:int,level:int,place:int,label:string,sure:double>>>"
+    """Start and end words of a rule's hits, with what is needed to rank them: the hits are put between marks, which the words of the marked text
+    then carry."""
+    words = F.split(F.trim(F.call_function("regexp_replace", text, rule["pattern"], F.lit("\u0001$0\u0002"))), " ")
+    at = lambda marked: F.array_compact(F.transform(words, lambda w, k: F.when(marked(w), k)))
+    starts, ends = at(lambda w: F.startswith(w, F.lit("\u0001"))), at(lambda w: F.endswith(w, F.lit("\u0002")))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + _spaces(pair["gap"])
-        end = start + _spaces(pair["hit"]) + 1
-        hit = F.struct(start.alias("start"), (-end).alias("behind"), rule["level"].alias("level"), rule["place"].alias("place"), rule["label"].alias("label"), rule["sure"].alias("sure"))
-        return F.struct((end - 1).alias("at"), F.concat(state["found"], F.array(hit)).alias("found")).cast(kind)
+    def hit(start: Column, last: Column) -> Column:
+        return F.struct(start.alias("start"), (-last - 1).alias("behind"), rule["level"].alias("level"), rule["place"].alias("place"), rule["label"].alias("label"), rule["sure"].alias("sure"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    first = F.struct(F.lit(-1).alias("at"), F.array().alias("found")).cast(kind)
-    return F.aggregate(pairs, first, step, lambda state: state["found"])
+    return F.when(F.call_function("rlike", text, rule["pattern"]), F.zip_with(starts, ends, hit))
 
 
 def _unsuppressed(found: Column) -> Column:
-    """The hits that no other suppresses, by start."""
-    one = "struct<start:int,behind:int,level:int,place:int,label:string,sure:double>"
-    levels = list(WAYS)
-    kind = f"struct<{','.join(f'l{k}:int' for k in levels)},kept:array<{one}>>"
+    """The hits, sorted by start and falling end, that no other suppresses: for each level the farthest end of the hits before, of this level or a better one, is
+    a running maximum, made in rounds that look back 1, 2, 4 ... places."""
+    ends = F.transform(found, lambda h, k: F.struct(*[F.when(F.get(found, k - 1)["level"] <= level, -F.get(found, k - 1)["behind"]).otherwise(-1).alias(f"l{level}") for level in LEVELS]))
 
-    def step(state: Column, hit: Column) -> Column:
-        end = -hit["behind"]
-        farthest = F.greatest(*[F.when(hit["level"] >= k, state[f"l{k}"]).otherwise(-1) for k in levels])
-        kept = F.when(farthest >= end, state["kept"]).otherwise(F.concat(state["kept"], F.array(hit)))
-        ends = [F.when(hit["level"] == k, F.greatest(state[f"l{k}"], end)).otherwise(state[f"l{k}"]).alias(f"l{k}") for k in levels]
-        return F.struct(*ends, kept.alias("kept")).cast(kind)
+    def back(state: Column, by: Column) -> Column:
+        return F.transform(state, lambda x, k: F.struct(*[F.greatest(x[f"l{n}"], F.coalesce(F.get(state, k - by)[f"l{n}"], F.lit(-1))).alias(f"l{n}") for n in LEVELS]))
 
-    first = F.struct(*[F.lit(-1).alias(f"l{k}") for k in levels], F.array().alias("kept")).cast(kind)
-    return F.aggregate(F.sort_array(found), first, step, lambda state: state["kept"])
+    rounds = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(found) + 1)).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    farthest = F.aggregate(rounds, ends, back)
+    own = F.transform(farthest, lambda x: F.array(*[x[f"l{n}"] for n in LEVELS]))
+    kept = F.zip_with(found, own, lambda h, ends: F.when(F.element_at(ends, h["level"]) < -h["behind"], h))
+    return F.array_compact(kept)
 
 
 def with_licenses(df: DataFrame, text: str = "text") -> DataFrame:
@@ -308,8 +387,9 @@ def with_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     needed = F.filter("license_rules", lambda g: F.contains(whole, g["need"]))
     keyed = F.flatten(F.transform(needed, lambda g: F.filter(g["keys"], lambda k: F.contains(whole, k["keyword"]))))
     tried = F.flatten(F.transform(keyed, lambda k: k["rules"]))
-    hits = _unsuppressed(F.flatten(F.transform(tried, lambda r: _hits(whole, r))))
-    df = hold(df, license_text=words).withColumn("license_rules", table).withColumn("license_hits", hits)
+    df = hold(df, license_text=words).withColumn("license_rules", table)
+    df = df.withColumn("license_found", F.sort_array(F.flatten(F.array_compact(F.transform(tried, lambda r: _hits(whole, r))))))
+    df = df.withColumn("license_hits", F.when(F.size("license_found") > 0, _unsuppressed(F.col("license_found"))))
 
     phrases = "|".join(BASE)
     parts = F.split(whole, f"(?<= )(?=(?:{phrases}) )", -1)

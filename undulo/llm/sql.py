@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from undulo.llm import license_scan
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -30,4 +32,26 @@ VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embeddin
     n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
     SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id"""
 
-ORACLES = {"op6_minhash_dedup": MINHASH, "op7_embedding_dedup": VECTORS}
+
+
+def _licenses() -> str:
+    """Words stand between two spaces each, so that hits in a row share none; a hit takes one on either side."""
+    rules = ",\n".join(f"('{key}', ' (?:{pattern[6:-5].replace(' ', '  ')}) ', '{label}', {level}, {place}, {sure})" for key, pattern, label, level, place, sure in license_scan.rules())
+    longest = " WHEN ".join(f"array_to_string(w[i + 1:i + {phrase.count(' ') + 1}], ' ') = '{phrase}' THEN '{label}'" for phrase, label in license_scan.BASE.items())
+    return rf"""WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) || ' ' AS x FROM documents),
+    d AS (SELECT doc_id, x, replace(x, ' ', '  ') AS y, regexp_extract_all(x, '[^ ]+') AS w FROM t),
+    rules(keyword, pattern, label, level, place, sure) AS (VALUES {rules}),
+    f AS (SELECT doc_id, level, place, label, sure, string_split_regex(y, pattern) AS gaps, regexp_extract_all(y, pattern) AS found FROM d JOIN rules ON contains(x, keyword) AND regexp_matches(y, pattern)),
+    n AS (SELECT doc_id, level, place, label, sure, unnest(range(1, len(found) + 1)) AS k, list_transform(gaps, lambda g: len(regexp_extract_all(g, '[^ ]+'))) AS between,
+        list_transform(found, lambda g: len(regexp_extract_all(g, '[^ ]+'))) AS inside FROM f),
+    h AS (SELECT *, list_sum(between[1:k]) + coalesce(list_sum(inside[1:k - 1]), 0) AS s, list_sum(between[1:k]) + list_sum(inside[1:k]) AS e FROM n),
+    kept AS (SELECT doc_id, label, sure FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.s <= h.s AND o.e >= h.e
+        AND (o.level < h.level OR (o.level = h.level AND (o.e - o.s > h.e - h.s OR (o.e - o.s = h.e - h.s AND o.place < h.place)))))),
+    b AS (SELECT doc_id, i, CASE WHEN {longest} END AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d) WHERE label IS NOT NULL),
+    based AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+    every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(sure) AS score FROM (SELECT doc_id, label, sure FROM kept UNION ALL SELECT doc_id, label, 0.75 FROM b) GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN based USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
+ORACLES = {"op2_license_scan": _licenses(), "op6_minhash_dedup": MINHASH, "op7_embedding_dedup": VECTORS}
