@@ -4,6 +4,7 @@ clashing names."""
 import hashlib
 import re
 import re._parser as sre
+import struct
 import zlib
 from collections import Counter
 from itertools import product
@@ -255,6 +256,12 @@ def test_written_shards(spark, docs, tmp_path):
 # 4
 
 
+def spans(lib, text):
+    """Ids and bounds as the library gives them."""
+    found = lib.encode(text, return_type="proto").pieces
+    return [p.id for p in found], [p.begin for p in found] + [p.end for p in found[-1:]]
+
+
 def test_pieces(spark, docs, odd):
     import sentencepiece
 
@@ -262,40 +269,60 @@ def test_pieces(spark, docs, odd):
     texts = [*HARD, *list(docs[1].values())[:60]]
     model = sp.codec(PIECES)
     assert model.by_part
-    for t, ids in zip(texts, model.encode(texts), strict=True):
-        assert ids == lib.encode(t)
-        assert model.decode(ids) == lib.decode(ids)
-        ends = model.span_ends(t, ids)
-        assert ends == model._ends(t, ids) and (not ends or ends[-1] == len(t.encode()))
-        for k, e in zip(ids, zip([0, *ends], ends, strict=False), strict=True):
-            if not lib.is_byte(k) and k != lib.unk_id():
-                assert t.encode()[e[0] : e[1]].decode().replace(" ", sp.SPACE) in (lib.id_to_piece(k), lib.id_to_piece(k)[1:])
+    for t, (ids, bounds) in zip(texts, model.encode(texts), strict=True):
+        want, at = spans(lib, t)
+        assert (ids, bounds.tolist() if ids else []) == (want, at), t
+        assert ids == lib.encode(t) and model.decode(ids) == lib.decode(ids)
     for r in sp.with_pieces(odd[0], PIECES).collect():
         ids = lib.encode(r.text) if r.text else []
         assert (r.pieces.ids, r.pieces.decoded) == (ids, lib.decode(ids) if ids else "")
         assert r.pieces.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
-def test_character_map():
-    """A hand-made double array for the keys "a" -> "x" and "ab" -> "yz"."""
-    units = [0] * 1024
-    leaf, label = 1 << 8, lambda c: ord(c)
-    base = 256
-    units[0] = base << 10
-    a = base ^ ord("a")
-    off_a = 2
-    units[a] = label("a") | leaf | off_a << 10
-    units[a ^ off_a] = 1 << 31 | 0
-    b = a ^ off_a ^ ord("b")
-    off_b = 4
-    units[b] = label("b") | leaf | off_b << 10
-    units[b ^ off_b] = 1 << 31 | 2
+def character_map(keys):
+    """A double array by hand for keys that begin with different bytes or extend one another: texts to texts."""
+    units, texts, free = [0] * (1 << 14), b"", 1
+    nodes = {}  # prefix -> offset of its children
+    prefixes = sorted({k[:n] for k in keys for n in range(len(k) + 1)}, key=lambda p: (len(p), p))
+    for k in prefixes:
+        nodes[k] = free << 8
+        free += 1
+    at = {b"": 0}
+    for p in prefixes[1:]:
+        at[p] = nodes[p[:-1]] ^ p[-1]
+    for p in prefixes:
+        leaf = p in keys
+        units[at[p]] = (p[-1] if p else 0) | leaf << 8 | (nodes[p] ^ at[p]) << 10
+        if leaf:
+            units[nodes[p]] = 1 << 31 | len(texts)
+            texts += keys[p] + b"\0"
     trie = np.array(units, np.uint32).astype("<u4").tobytes()
-    blob = len(trie).to_bytes(4, "little") + trie + b"x\0yz\0"
-    norm = sp.Normalizer(blob, dummy_prefix=True, squeeze=True)
-    out, origin = norm("  ab  aca ".encode())
-    assert out.decode() == "▁yz▁xcx"
-    assert origin.tolist() == [0, 0, 0, 2, 2, 4, 4, 4, 6, 7, 8, 10]
+    return len(trie).to_bytes(4, "little") + trie + texts
+
+
+@pytest.mark.parametrize("options", [{}, {"dummy_prefix": 0}, {"squeeze": 0}, {"squeeze": 0, "dummy_prefix": 0}])
+def test_pieces_by_character_map(options):
+    """Another normaliser, a user-defined symbol, no bytes to fall back to: ids and spans are the library's."""
+    import sentencepiece
+
+    keys = {b"a": b"x", b"ab": b"yz", "é".encode(): b"e", "　".encode(): b" ", b"\t": b" ", "…".encode(): b" . . ", b"q": b"", "ﬁ".encode(): b"fi"}
+    with open(PIECES, "rb") as f:
+        model = f.read()
+    symbol = sp._field(1, sp._field(1, b"abba") + b"\x15" + struct.pack("<f", 0.0) + sp._field(3, 4))
+    kept = []
+    for number, value in sp._fields(model):  # without the pieces for bytes, and so without the option that asks for them
+        piece = dict(sp._fields(value)) if number == 1 else {}
+        if number == 1 and piece.get(3) != 6:
+            kept.append(sp._field(1, value))
+        elif number == 2:
+            kept.append(sp._field(2, b"".join(sp._field(k, v) for k, v in sp._fields(value) if k in (3, 4, 40, 41, 42, 43))))
+    model = sp.with_normalizer(b"".join([*kept, symbol]), charsmap=character_map(keys), **{"dummy_prefix": 1, "squeeze": 1} | options)
+    lib, codec = sentencepiece.SentencePieceProcessor(model_proto=model), sp.Codec(model)
+    assert codec.normalize.map and codec.normalize.symbols
+    texts = [*HARD, "  ab  aca ", "abbab abba", "é…é  ﬁ q qq", "x　　y\t\tz", "你好吗 ab 你", "… a …", "q", " q ", "日本 日本語 ☃☃ a☃"]
+    for t, (ids, bounds) in zip(texts, codec.encode(texts), strict=True):
+        want, at = spans(lib, t)
+        assert (ids, bounds.tolist() if ids else []) == (want, at), t
 
 
 # 5

@@ -1,15 +1,16 @@
 """SentencePiece encoding that keeps the byte span of every piece, and decoding.
 
-Normalisation walks the model's compiled character map (a double-array trie) by longest prefix and
-records for every normalised byte the original byte it came from. Pieces are cut from the normalised
-text, so the running sum of their lengths, sent through that record, gives each piece's span in the
-original bytes; spans of a text join up without gaps and end at its last byte.
+Every text is normalised here: the model's compiled character map (a double-array trie) is walked by longest prefix, user-defined symbols stay as they
+are, spaces are squeezed, put in front and marked as the model's options say, and for every normalised byte the offset of the original character that it
+came from is recorded. Stretches without a byte that begins a key of the map or a symbol are copied in numpy. The normalised text is encoded
+by the library, with a copy of the model that leaves texts as they are, and the running sum of the pieces' lengths, sent through the record, projects every piece to its span in the
+original bytes, as the library gives it: spans join up without gaps; leading and trailing spaces that the model strips are in none.
 
 Encoding is cut at spaces: where no piece of the vocabulary goes on with a space after another character
-(checked at load), no merge crosses such a place, and the parts of a text can be encoded on their own
+(checked at load), no merge crosses such a place, and the parts of a normalised text can be encoded on their own
 and kept in a bounded cache. A model that doesn't meet this is given whole texts.
 
-Null and empty texts have no pieces and decode to the empty string. Texts are never cut short. Rows,
+Null and empty texts have no pieces and decode to the empty string. Texts, very long ones too, are never cut short. Rows,
 their order, repeats and other columns stay as they are; a column named pieces is replaced.
 """
 
@@ -18,27 +19,29 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import small_batches, without_gc
+from undulo.llm.common import without_gc
 
 SPACE = "▁"
-#: Distinct parts of texts that a Python worker keeps.
-CACHE_PARTS = 100_000
+MARK = SPACE.encode()
+#: Distinct parts of texts that a Python worker keeps, and texts that it encodes at once.
+CACHE_PARTS, TEXTS = 100_000, 500
 
-_CUT = re.compile(r"(?<=[^ ▁]) (?=.)", re.S)
+_ODD = "\0"
+_CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
 def _cut(text: str) -> list[str]:
-    if not text:
-        return []
-    simple = text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text
-    return text.split(" ") if simple else _CUT.split(text)
+    """The parts of a normalised text without the mark before each; parts that would be mistaken are written out behind a NUL."""
+    if text[:1] == SPACE and SPACE + SPACE not in text and text[-1:] != SPACE and _ODD not in text:
+        return text[1:].split(SPACE)
+    return [_ODD + p for p in _CUT.split(text)] if text else []
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -63,6 +66,29 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+def _field(number: int, value: bytes | int) -> bytes:
+    """A field of a serialised message."""
+
+    def varint(n: int) -> bytes:
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def with_normalizer(model: bytes, **options: bytes | int) -> bytes:
+    """A serialised model with another normaliser."""
+    numbers = {"charsmap": 2, "dummy_prefix": 3, "squeeze": 4, "escape": 5}
+    spec = b"".join(_field(numbers[k], v) for k, v in options.items())
+    out, i = [], 0
+    while i < len(model):
+        key, after = _varint(model, i)
+        n, after = _varint(model, after)  # all fields of a model are messages
+        if key >> 3 != 3:
+            out.append(model[i : after + n])
+        i = after + n
+    return b"".join(out) + _field(3, spec)
+
+
 class CharMap:
     """A compiled character map: a trie from byte sequences to their replacements."""
 
@@ -75,6 +101,12 @@ class CharMap:
     def __bool__(self) -> bool:
         return len(self.units) > 0
 
+    def begins(self, byte: int) -> bool:
+        """Whether keys begin with a byte."""
+        unit = int(self.units[0])
+        node = (unit >> 10) << ((unit & 512) >> 6) ^ byte
+        return node < len(self.units) and int(self.units[node]) & 0x800000FF == byte
+
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length and replacement of the longest key that ``data`` has at ``at``."""
         found, unit = None, int(self.units[0])
@@ -96,94 +128,121 @@ class CharMap:
 class Normalizer:
     """The model's normalisation with its alignment."""
 
-    def __init__(self, blob: bytes, dummy_prefix: bool, squeeze: bool):
-        self.map, self.dummy_prefix, self.squeeze = CharMap(blob), dummy_prefix, squeeze
+    def __init__(self, blob: bytes = b"", dummy_prefix: bool = True, squeeze: bool = True, escape: bool = True, suffix: bool = False, symbols: tuple[bytes, ...] = ()):
+        self.map, self.dummy_prefix, self.squeeze, self.suffix = CharMap(blob), dummy_prefix, squeeze, suffix
+        self.space = MARK if escape else b" "
+        self.symbols = re.compile(b"|".join(map(re.escape, sorted(symbols, key=len, reverse=True)))) if symbols else None
+        #: Whether a byte may begin a key of the map or a symbol.
+        self.first = np.zeros(256, bool)
+        self.first[[x[0] for x in symbols]] = True
+        if self.map:
+            self.first |= [self.map.begins(k) for k in range(256)]
+
+    def _replaced(self, data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text after the map, the original character of each byte, and whether a space stands only behind spaces of its replacement."""
+        start = (raw & 0xC0) != 0x80
+        origin = np.maximum.accumulate(np.where(start, np.arange(len(raw)), 0))
+        special = np.flatnonzero(self.first[raw] & start) if self.first.any() else []
+        if not len(special):
+            return raw, origin, np.ones(len(raw), bool)
+        parts, at = [], 0
+        for k in special.tolist():
+            if k < at:
+                continue
+            symbol = self.symbols.match(data, k) if self.symbols else None
+            found = (len(symbol[0]), symbol[0]) if symbol else self.map.longest(data, k) if self.map else None
+            if found:
+                own, lead = np.frombuffer(found[1], np.uint8), len(found[1]) - len(found[1].lstrip(b" "))
+                parts.append((raw[at:k], origin[at:k], np.ones(k - at, bool)))
+                parts.append((own, np.full(len(own), k), np.arange(len(own)) < lead))
+                at = k + found[0]
+        parts.append((raw[at:], origin[at:], np.ones(len(raw) - at, bool)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """Normalised bytes, spaces as U+2581, and for each of them and the end the original offset."""
-        out, origin = bytearray(), []
+        """Normalised bytes, and for each of them and the end the original offset."""
         if not data:
             return b"", np.zeros(1, np.int64)
-        mark, at, after_space = SPACE.encode(), 0, self.squeeze
-        if self.dummy_prefix:
-            out += mark
-            origin += [0] * len(mark)
-        while at < len(data):
-            found = self.map.longest(data, at) if self.map else None
-            if found:
-                n, text = found
-            else:
-                n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-                text = data[at : at + n]
-            for piece in re.findall(rb" |[^ ]+", text):
-                if piece == b" ":
-                    if self.squeeze and after_space:
-                        continue
-                    piece, after_space = mark, True
-                else:
-                    after_space = False
-                out += piece
-                origin += [at] * len(piece)
-            at += n
-        while self.squeeze and bytes(out[-3:]) == mark:
-            del out[-3:], origin[-3:]
-        return bytes(out), np.array([*origin, len(data)], np.int64)
+        out, origin, lead = self._replaced(data, np.frombuffer(data, np.uint8))
+        blank = out == 0x20
+        end = len(data)
+        if self.squeeze:
+            kept = ~(blank & lead & np.r_[True, blank[:-1]])
+            out, origin, blank = out[kept], origin[kept], blank[kept]
+            if not len(out):
+                return b"", np.full(1, end)
+        begin = int(origin[0]) if len(origin) else 0
+        if len(self.space) > 1:
+            times = np.where(blank, len(self.space), 1)
+            out, origin, blank = np.repeat(out, times), np.repeat(origin, times), np.repeat(blank, times)
+            out[blank] = np.tile(np.frombuffer(self.space, np.uint8), int(blank.sum()) // len(self.space))
+        text = out.tobytes()
+        if self.dummy_prefix and not self.suffix:
+            text, origin = self.space + text, np.r_[np.full(len(self.space), begin), origin]
+        if self.squeeze:
+            while text.endswith(self.space):
+                text = text[: -len(self.space)]
+                end = int(origin[len(text)])
+            origin = origin[: len(text)]
+        if self.dummy_prefix and self.suffix:
+            text, origin = text + self.space, np.r_[origin, np.full(len(self.space), end)]
+        return text, np.r_[origin, end]
 
 
 class Codec:
     """A loaded model."""
 
-    def __init__(self, path: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        with open(path, "rb") as f:
-            model = f.read()
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
-        options: dict[int, object] = {3: 1, 4: 1}
+        #: Encodes what is normalised.
+        self.plain = sentencepiece.SentencePieceProcessor(model_proto=with_normalizer(model, dummy_prefix=0, squeeze=0, escape=0))
+        options, training, symbols = {3: 1, 4: 1, 5: 1}, {}, []
         for number, value in _fields(model):
-            if number == 3:
+            if number == 1 and (piece := dict(_fields(value))).get(3) == 4:
+                symbols.append(piece[1])
+            elif number == 2:
+                training = dict(_fields(value))
+            elif number == 3:
                 options |= dict(_fields(value))
-        self.normalize = Normalizer(options.get(2, b""), bool(options[3]), bool(options[4]))
+        flags = [bool(options[k]) for k in (3, 4, 5)]
+        self.normalize = Normalizer(options.get(2, b""), *flags, bool(training.get(24, 0)), tuple(symbols))
         size = self.lib.get_piece_size()
         pieces = [self.lib.id_to_piece(k) for k in range(size)]
-        #: Bytes of the normalised text that a piece covers, and of the original where spaces are spaces.
-        self.width = [1 if self.lib.is_byte(k) else len(p.encode()) for k, p in enumerate(pieces)]
-        self.source_width = [1 if self.lib.is_byte(k) else len(p.encode()) - 2 * p.count(SPACE) for k, p in enumerate(pieces)]
+        #: Bytes of the normalised text that a piece covers.
+        self.width = np.array([1 if self.lib.is_byte(k) else len(p.encode()) for k, p in enumerate(pieces)])
         self.unknown = self.lib.unk_id()
-        plain = not self.normalize.map and self.normalize.dummy_prefix and not self.normalize.squeeze
-        self.by_part = plain and not any(re.search(rf"[^{SPACE}]{SPACE}", p) for p in pieces)
+        self.by_part = self.lib.piece_to_id(SPACE) != self.unknown and not any(re.search(rf"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.decimal = [str(k) for k in range(size)]
         self.parts: dict[str, list[int]] = {}
 
-    def _ends(self, text: str, ids: list[int]) -> list[int]:
-        """Ends of the pieces' spans, by the alignment that normalising the text records."""
-        if self.unknown in ids:  # an unknown piece covers as many bytes as the library says
-            found = self.lib.encode(text, return_type="proto")
-            widths = [len(p.piece.encode()) if p.id == self.unknown else self.width[p.id] for p in found.pieces]
-        else:
-            widths = [self.width[k] for k in ids]
-        _, origin = self.normalize(text.encode())
-        return [int(origin[e]) for e in accumulate(widths)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of normalised texts."""
         if not self.by_part:
-            return self.lib.encode(texts, num_threads=1)
+            return self.plain.encode(texts, num_threads=1)
         cut = [_cut(t) for t in texts]
         every = set(chain.from_iterable(cut))
         missing = [p for p in every if p not in self.parts]
         if len(self.parts) + len(missing) > CACHE_PARTS:
             self.parts.clear()
             missing = list(every)
-        self.parts.update(zip(missing, self.lib.encode(missing, num_threads=1), strict=True))
+        whole = [p[1:] if p[:1] == _ODD else SPACE + p for p in missing]
+        self.parts.update(zip(missing, self.plain.encode(whole, num_threads=1), strict=True))
         return [list(chain.from_iterable(map(self.parts.__getitem__, parts))) for parts in cut]
 
-    def span_ends(self, text: str, ids: list[int]) -> list[int]:
-        """The end of each piece's span in the text's bytes."""
-        if not ids or not self.by_part or SPACE in text or self.unknown in ids:
-            return self._ends(text, ids)
-        # the same for an identity map: every piece has its own length, and the space put in front none
-        return list(accumulate(map(self.source_width.__getitem__, ids), initial=-1))[1:]
+    def encode(self, texts: list[str]) -> list[tuple[list[int], np.ndarray]]:
+        """The ids of each text, and the offsets in its bytes at which their spans begin, with that at which the last one ends."""
+        found = [self.normalize(t.encode()) for t in texts]
+        normalised = [t.decode() for t, _ in found]
+        return [(ids, self._bounds(ids, text, origin)) for ids, text, (_, origin) in zip(self._encode(normalised), normalised, found, strict=True)]
+
+    def _bounds(self, ids: list[int], text: str, origin: np.ndarray) -> np.ndarray:
+        width = self.width[ids] if ids else np.empty(0, np.int64)
+        if self.unknown in ids:  # the library alone knows how long they are
+            own = self.plain.encode(text, return_type="proto").pieces
+            width = np.array([len(p.piece.encode()) if p.id == self.unknown else self.width[p.id] for p in own])
+        return origin[np.r_[0, np.cumsum(width)]]
 
     def joined(self, ids: list[int]) -> str:
         return ",".join(map(self.decimal.__getitem__, ids))
@@ -197,33 +256,33 @@ _codecs: dict[str, Codec] = {}
 
 def codec(path: str) -> Codec:
     if path not in _codecs:
-        _codecs[path] = Codec(path)
+        with open(path, "rb") as f:
+            _codecs[path] = Codec(f.read())
     return _codecs[path]
 
 
 def with_pieces(df: DataFrame, path: str, text: str = "text", digests_only: bool = False) -> DataFrame:
-    """Adds ``pieces``: ids, span ends (a piece's span starts where the one before ends), the decoded text and digests.
+    """Adds ``pieces``: ids, bounds (where the pieces' spans begin, and where the last one ends), the decoded text and digests.
 
     digests_only leaves the arrays and the decoded text out of what is sent back: n_tokens, ids_sha256,
     decoded_sha256, and span_bytes, the end of the last span.
     """
-    small_batches(df.sparkSession, rows=500, megabytes=4)
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long"
     kind = f"struct<{', '.join(x.replace(' ', ':') for x in kind.split(', '))}"
-    kind += ">" if digests_only else ",ids:array<int>,span_ends:array<int>,decoded:string>"
+    kind += ">" if digests_only else ",ids:array<int>,bounds:array<int>,decoded:string>"
 
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.DataFrame:
-        model, rows, texts = codec(path), [], [t or "" for t in texts]
-        with without_gc():
-            encoded = model.encode(texts)
-        for text, ids in zip(texts, encoded, strict=True):
-            ends = model.span_ends(text, ids)
-            decoded = model.decode(ids)
-            row = (len(ids), hashlib.sha256(model.joined(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ends[-1] if ends else 0)
-            rows.append(row if digests_only else (*row, ids, ends, decoded))
+        model, rows = codec(path), []
+        for k in range(0, len(texts), TEXTS):
+            with without_gc():
+                encoded = model.encode([t or "" for t in texts.iloc[k : k + TEXTS]])
+            for ids, bounds in encoded:
+                decoded = model.decode(ids)
+                row = (len(ids), hashlib.sha256(model.joined(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), int(bounds[-1]))
+                rows.append(row if digests_only else (*row, ids, bounds, decoded))
         names = ["n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"]
-        return pd.DataFrame(rows, columns=names + ([] if digests_only else ["ids", "span_ends", "decoded"]))
+        return pd.DataFrame(rows, columns=names + ([] if digests_only else ["ids", "bounds", "decoded"]))
 
     return df.withColumn("pieces", run(F.col(text)))
 
