@@ -6,12 +6,13 @@ arrived, shuffles it by the Fisher-Yates method with a generator seeded by the b
 ended. Shard s of n takes the places from floor(s N / n) on: row counts differ by at most one, and nearly every bucket
 goes to one shard or two, so shards can be written straight from the second pass.
 
-The number of buckets follows from the bytes of the records. Bucket counts, one row for each of at most
-``MAX_BUCKETS`` buckets, are summed up on their own and broadcast.
+The number of buckets follows from the bytes of the records, at every size. Their counts are summed up in two steps, in spans of ``SPAN`` buckets, and broadcast
+only where they are few.
 
-Records with equal texts are dealt on their own. A record that repeats in every column shares its bucket with
-its copies, among which nothing can tell; the only ones to make a bucket larger than the others are they. Nulls are
-values like others. An empty table gives no rows. Columns named shard or slot are replaced.
+Records with equal texts are dealt on their own, and so are records that repeat in every column more than ``COPIES`` times: those are told by a cryptographic
+digest of the record, counted, and made again from one of them, each with a number of its own in its hash, so that no bucket holds many. Fewer copies share a
+bucket, among which nothing can tell. Nulls are
+values like others; maps are hashed by their JSON. An empty table gives no rows. Columns named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from undulo.llm.common import hold, release
+from undulo.llm.common import Tables, hold, release, small_side
 
 SHARDS, SEED = 40, 20_240_229
-#: Bytes of records that a bucket holds about, and the most buckets, beyond which they hold more.
-BUCKET_BYTES, MAX_BUCKETS = 4 << 20, 1 << 18
+#: Bytes of records that a bucket holds about; cells of the hash in which records are counted first, two to the power of; buckets whose counts are summed
+#: together; copies of a record that may share a bucket.
+BUCKET_BYTES, CELL_BITS, SPAN, COPIES = 4 << 20, 16, 4096, 1000
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -38,27 +40,64 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return order
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))
+
+
+def _dealt(df: DataFrame, tables: Tables, seed: int) -> DataFrame:
+    """held, deal (64 pseudorandom bits) and bytes of each record."""
+    one = lambda f: F.to_json(F.struct(f"`{f.name}`"), {"ignoreNullFields": "false"}) if _has_map(f.dataType) else F.col(f"`{f.name}`")
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    dealt = hold(df, deal=F.xxhash64(F.lit(seed), *map(one, df.schema)), bytes=sum(texts, F.lit(16 * len(df.columns))))
+    cells = dealt.groupBy(F.shiftrightunsigned("deal", 64 - CELL_BITS).alias("cell")).agg(F.count("*").alias("n"))
+    cells = tables.stored(cells, "cells")
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    full = [r.cell for r in cells.filter(F.col("n") > 2 * (total >> CELL_BITS) + COPIES).collect()]  # 2^CELL_BITS rows at most
+    if not full:
+        return dealt
+    in_full = F.shiftrightunsigned("deal", 64 - CELL_BITS).isin(full)
+    often = dealt.filter(in_full).groupBy("deal").agg(F.count("*").alias("n")).filter(F.col("n") > COPIES).select("deal")
+    often = tables.stored(often, "often")
+    n_often = often.count()
+    if not n_often:
+        return dealt
+    digest = F.sha2(F.to_json("held", {"ignoreNullFields": "false"}), 256)
+    copies = dealt.filter(in_full).join(small_side(often, n_often), "deal", "left_semi")
+    copies = copies.groupBy(digest.alias("digest")).agg(F.first("held").alias("held"), F.first("bytes").alias("bytes"), F.count("*").alias("n"))
+    copies = tables.stored(copies, "copies")
+    runs = copies.select("held", "bytes", "digest", "n", F.explode(F.expr("sequence(0L, n - 1, 4096L)")).alias("at"))
+    runs = runs.repartition(F.xxhash64("digest", "at"))
+    again = runs.select("held", "bytes", "digest", F.explode(F.expr("sequence(at, least(at + 4096L, n) - 1)")).alias("number"))
+    again = again.select("held", F.xxhash64(F.lit(seed), "digest", "number").alias("deal"), "bytes")
+    return dealt.join(small_side(often, n_often), "deal", "left_anti").select("held", "deal", "bytes").unionByName(again)
+
+
 def with_places(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """The rows of ``df``, each in the column ``held``, in shuffled order with ``place`` from 0; and their number."""
-    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
-    bytes_ = sum(texts, F.lit(16 * len(df.columns)))
-    dealt = hold(df, deal=F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), bytes=bytes_)
-    fine = dealt.groupBy(F.shiftrightunsigned("deal", 46).alias("fine"))  # 2^18 parts at most
-    fine = fine.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    total, size = fine.agg(F.sum("n"), F.sum("bytes")).first()
-    buckets = 1
-    while buckets < MAX_BUCKETS and buckets * bucket_bytes < (size or 0):
-        buckets *= 2
-    shift = 64 - (buckets.bit_length() - 1)
-
-    def bucket(value):  # the first bits of the hash
-        return (F.shiftrightunsigned(value, shift) if buckets > 1 else F.lit(0)).cast("int")
-
-    counts = fine.select(bucket(F.shiftleft("fine", 46)).alias("bucket"), "n").groupBy("bucket").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = counts.select("bucket", before.alias("place"))
-    rows = dealt.withColumn("bucket", bucket(F.col("deal"))).repartition("bucket").join(F.broadcast(start), "bucket")
+    tables = Tables(df.sparkSession, "shards")
+    dealt = _dealt(df, tables, seed)
+    cells = dealt.groupBy(F.shiftrightunsigned("deal", 64 - CELL_BITS).alias("cell")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    cells = tables.stored(cells, "dealt-cells")
+    total, size = cells.agg(F.sum("n"), F.sum("bytes")).first()
+    bits = max(0, ((size or 0) // bucket_bytes).bit_length())
+
+    def bucket(value, of: int):  # the first bits of the hash
+        return (F.shiftrightunsigned(value, of - bits) if bits else F.lit(0)).cast("long")
+
+    if bits <= CELL_BITS:
+        counts = cells.groupBy(bucket(F.col("cell"), CELL_BITS).alias("bucket")).agg(F.sum("n").alias("n"))
+    else:
+        counts = dealt.groupBy(bucket(F.col("deal"), 64).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = tables.stored(counts.withColumn("span", F.expr(f"bucket div {SPAN}")), "counts")
+    sums = lambda by: F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.groupBy("span").agg(F.sum("n").alias("n")).select("span", sums(Window.orderBy("span")).alias("before"))
+    start = counts.select("span", "bucket", sums(Window.partitionBy("span").orderBy("bucket")).alias("inside")).join(spans, "span")
+    start = tables.stored(start.select("bucket", (F.col("before") + F.col("inside")).alias("place")), "starts")
+    rows = dealt.withColumn("bucket", bucket(F.col("deal"), 64)).repartition("bucket").join(small_side(start, start.count()), "bucket")
     rows = rows.select("held", "place", "deal", "bucket")
+    tables.keep("starts", "often", "copies")
 
     def shuffle(table: pa.Table) -> pa.Table:
         number = table["bucket"][0].as_py()
