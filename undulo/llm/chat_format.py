@@ -2,13 +2,13 @@
 
 A turn is written as ``<|turn|>role<|text|>text<|end|>``; control strings and backslashes inside roles and texts are escaped
 reversibly, so no text can open or close a turn. A conversation is cut into windows of whole turns: prefix sums of the turns'
-tokens say where a window is full, and how many of the last turns, at most ``HISTORY`` and half the budget, the next window
+tokens, of what is repeated and then of each new turn, say where a window is full, and how many of the last turns, at most ``HISTORY`` and half the budget, the next window
 repeats. Every window starts with the conversation's leading system turn. Loss spans cover the texts of assistant turns where
 they are new; repeated ones have none, so each counts once. A turn above the budget stands whole in a window of its own, with
 what is repeated left out.
 
 Rows come sorted by conversation and turn, and one pass over the sorted partitions holds a window at a time, however
-long a conversation is. Rows of a conversation with equal turns are ordered by role and text; a null text or role counts as
+long a conversation is. A window's first turn follows from all windows before it, so a conversation is one task's work. Rows of a conversation with equal turns are ordered by role and text; a null text or role counts as
 empty; null turns come first; rows with a null conversation form one conversation. Windows of a conversation stand together and in order in
 their partition. An empty table gives no rows.
 """
@@ -19,13 +19,13 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import small_batches
+from undulo.llm.common import pieces_of
 
 BUDGET, HISTORY = 1024, 2
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -67,11 +67,12 @@ class Windows:
         self.system: list[tuple] = []
         self.kept: list[tuple] = []  # what the window repeats besides the system turn
         self.new: list[tuple] = []
+        self.sums: list[int] = []  # of the tokens of what is repeated, then with each new turn
         self.number = self.turns = 0
 
     def add(self, role: str, text: str, written: str, tokens: int) -> Iterator[tuple]:
         turn = (role, text, written, tokens)
-        if self.new and self._tokens() + tokens > self.budget:
+        if self.new and self.sums[-1] + tokens > self.budget:
             yield self._window()
             past = [*self.kept, *self.new][-self.history :] if self.history else []
             past = [t for t in past if t not in self.system]
@@ -79,14 +80,13 @@ class Windows:
             sums = [0, *accumulate(t[3] for t in past)]
             # the longest run of last turns that fits: sums[-1] - sums[k] <= room
             self.kept = past[bisect_left(sums, sums[-1] - room) :] if room >= 0 else []
-            self.new = []
+            self.new, self.sums = [], []
         if not self.turns and role == "system":
             self.system = [turn]
         self.turns += 1
         self.new.append(turn)
-
-    def _tokens(self) -> int:
-        return sum(t[3] for t in [*self._lead(), *self.kept, *self.new])
+        self.sums = self.sums or [sum(t[3] for t in [*self._lead(), *self.kept])]
+        self.sums.append(self.sums[-1] + tokens)
 
     def _lead(self) -> list[tuple]:
         """The system turn, from the second window on; left out before a turn that is too long with it."""
@@ -102,7 +102,7 @@ class Windows:
                 loss.append({"start": at + written.index(TEXT) + len(TEXT), "end": at + len(written) - len(END)})
             out.append(written)
             at += len(written)
-        row = (self.number, self.turns - len(self.new), len(again), self._tokens(), "".join(out), loss)
+        row = (self.number, self.turns - len(self.new), len(again), self.sums[-1], "".join(out), loss)
         self.number += 1
         return row
 
@@ -114,7 +114,6 @@ class Windows:
 def windows(df: DataFrame, tokenizer: str, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """The windows of all conversations: ``key``, number, first_turn (of the new ones), repeated (turns in front of them),
     tokens, formatted, and loss, the spans of characters that are trained on."""
-    small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     kind = pa.schema([("number", pa.int32()), ("first_turn", pa.int64()), ("repeated", pa.int32()), ("tokens", pa.int64()), ("formatted", pa.string()), ("loss", _LOSS)])
@@ -124,7 +123,7 @@ def windows(df: DataFrame, tokenizer: str, key: str = "conv_id", turn: str = "tu
 
         count = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
         conv, state = None, None
-        for b in batches:
+        for b in chain.from_iterable(map(pieces_of, batches)):
             roles, texts, out = b["role"].to_pylist(), b["text"].to_pylist(), []
             schema = kind.insert(0, b.schema.field("conv"))
             written = [f"{TURN}{escape(r)}{TEXT}{escape(t)}{END}" for r, t in zip(roles, texts, strict=True)]
@@ -145,7 +144,6 @@ def windows(df: DataFrame, tokenizer: str, key: str = "conv_id", turn: str = "tu
 
 def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
     """What can be read back from windows as ``windows`` gives them, one row for each conversation."""
-    small_batches(formatted.sparkSession)
     fields = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
     kinds = [(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in fields.split(", ")]
 
@@ -155,7 +153,7 @@ def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
         def row() -> tuple:
             return (state["conv"], state["turns"], state["all"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["formatted"], state["windows"])
 
-        for b in batches:
+        for b in chain.from_iterable(map(pieces_of, batches)):
             out, schema = [], pa.schema([b.schema.field("conv"), *(pa.field(*k) for k in kinds)])
             columns = (b[c].to_pylist() for c in ("conv", "number", "repeated", "formatted", "loss"))
             for conv, number, repeated, text, loss in zip(*columns, strict=True):
