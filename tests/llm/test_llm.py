@@ -247,6 +247,49 @@ def test_sharding(spark, docs, odd):
     assert sorted(sharding.fisher_yates(100, 3)) == list(range(100))
 
 
+def test_sharding_of_copies_and_maps(spark, monkeypatch):
+    """A third of all rows equal in every column, a map among them: no bucket grows, and no row is lost."""
+    monkeypatch.setattr(sharding, "COPIES", 50)
+    monkeypatch.setattr(sharding, "SPAN", 4)
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, -1, id) as doc_id", "if(id % 3 = 0, 'same text', concat('text ', id)) as text", "map('k', if(id % 3 = 0, null, id)) as m")
+    places, total = sharding.with_places(df, bucket_bytes=2000)
+    assert total == 3000 and sorted(r.place for r in places.collect()) == list(range(3000))
+    rows = sharding.with_shards(df, 7, bucket_bytes=2000).collect()
+    assert Counter((r.doc_id, r.text, r.m["k"]) for r in rows) == Counter((r.doc_id, r.text, r.m["k"]) for r in df.collect())
+    by_shard = Counter(r.shard for r in rows if r.doc_id == -1)
+    assert max(by_shard.values()) < 200 and max(Counter(r.shard for r in rows).values()) == 429
+    again = sharding.with_shards(df.repartition(5), 7, bucket_bytes=2000).collect()
+    of = lambda rows: sorted((r.shard, r.slot, r.doc_id) for r in rows)
+    assert of(again) == of(rows)
+    monkeypatch.setattr(sharding, "CELL_BITS", 3)
+    assert sorted(r.place for r in sharding.with_places(df, bucket_bytes=2000)[0].collect()) == list(range(3000))
+
+
+def brute_places(rows, deals, seed, bits):
+    """Places by the definition: buckets in order, each in the order of the hash, then swapped from the last place on."""
+    buckets = {}
+    for row, deal in zip(rows, deals, strict=True):
+        buckets.setdefault((deal % 2**64) >> (64 - bits) if bits else 0, []).append((deal, row))
+    out = []
+    for number in sorted(buckets):
+        own = [row for _, row in sorted(buckets[number])]
+        other = np.random.default_rng(seed * 1_000_003 + number).integers(0, np.arange(len(own), 0, -1)).tolist()
+        for k in range(len(own) - 1, 0, -1):
+            j = other[len(own) - 1 - k]
+            own[k], own[j] = own[j], own[k]
+        out += own
+    return out
+
+
+def test_places_by_definition(spark, docs):
+    df = docs[0].select("doc_id", "text")
+    dealt = {r.doc_id: r.deal for r in df.select("doc_id", F.xxhash64(F.lit(sharding.SEED), "doc_id", "text").alias("deal")).collect()}
+    size = sum(32 + len((t or "").encode()) for t in docs[1].values())
+    places, _ = sharding.with_places(df, bucket_bytes=50_000)
+    got = [r.held.doc_id for r in sorted(places.collect(), key=lambda r: r.place)]
+    assert got == brute_places(list(dealt), list(dealt.values()), sharding.SEED, (size // 50_000).bit_length())
+
+
 def test_written_shards(spark, docs, tmp_path):
     sharding.write_shards(docs[0], str(tmp_path / "shards"))
     read = spark.read.parquet(str(tmp_path / "shards"))
@@ -328,6 +371,43 @@ def test_pieces_by_character_map(options):
 # 5
 
 
+def brute_targets(sizes):
+    """By the definition: weights in the order of code points, what is above twice a size shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, left, found = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in order if s not in found]
+        share = {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * sizes[s]]
+        if not over:
+            return found | share
+        for s in over:
+            found[s] = 2 * sizes[s]
+            left -= 2 * sizes[s]
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Sources in several groups, and against the definition: what is taken of each row is what its blocks' draws say."""
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 7)
+    rows = [(k, f"s{k % 60:02d}" if k % 61 else None, " ".join(f"w{i}" for i in range(k * 7 % 50))) for k in range(600)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), "doc_id", block=8)
+    taken = mixing.with_taken(mixed).collect()
+    sizes, got = Counter(), Counter()
+    for r in taken:
+        sizes[r.source] += r.size
+        got[r.source] += r.taken
+    goal = brute_targets(sizes)
+    assert {r.source: r.target for r in taken} == {s: pytest.approx(g) for s, g in goal.items()}
+    assert all(abs(got[s] - goal[s]) <= 16 for s in goal) and len(goal) == 61
+    draws = Counter((r.number, r.block) for r in mixed.pieces.select("number", "block", "draw").distinct().collect())
+    for r in taken:
+        at = range(r.offset // 8, (r.offset + r.size - 1) // 8 + 1) if r.size else []
+        words = {b: min(r.offset + r.size, 8 * b + 8) - max(r.offset, 8 * b) for b in at}
+        assert r.taken == sum(n * draws[r.number, b] for b, n in words.items())
+    per_shard = Counter(r.shard for r in mixed.pieces.select("shard", "number", "draw").distinct().collect())
+    assert max(per_shard.values()) - min(per_shard.values()) <= len(goal)
+
+
 def test_mixing(spark, docs, odd):
     for df in (docs[0], odd[0], odd[0].limit(0)):
         rows = mixing.with_taken(mixing.mix(df, "doc_id", block=8)).collect()
@@ -341,6 +421,7 @@ def test_mixing(spark, docs, odd):
         for s in sizes:
             assert abs(taken[s] - goal[s]) <= 16 and goal[s] <= 2 * sizes[s] + 1e-9
         assert sum(goal.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert {s: pytest.approx(g) for s, g in brute_targets(sizes).items()} == goal
     again = mixing.with_taken(mixing.mix(docs[0].repartition(3), "doc_id", block=8)).select("key", "taken")
     assert sorted(again.collect()) == sorted(mixing.with_taken(mixing.mix(docs[0], "doc_id", block=8)).select("key", "taken").collect())
 

@@ -3,11 +3,12 @@
 A text's key is the SHA-256 of its normalised content (the tokenizer's own normalisation, applied where it
 has one) with the SHA-256 of the tokenizer file. Keys are joined to stored counts; of the keys without
 one, each distinct text is encoded once and its count appended to the cache, a folder of Parquet files
-in the shared folder or at a path given. Two runs that append the same key at once leave two equal rows, which reading merges.
+in the shared folder or at a path given, a subfolder for each tokenizer version, of which a run reads its own alone. Two runs that append the same key at once leave two equal rows, which reading merges.
+The registered query takes a fresh cache, so that each of its runs encodes every distinct text.
 
 Texts go through no shuffle as long as the keys that need no encoding in a row (cached ones, and repeated
-ones outside their first row) fit a broadcast; their number is checked, and beyond ``BROADCAST_ROWS`` a
-shuffled join takes over. A null text counts as empty: no tokens. Very long texts are encoded whole.
+ones outside their first row) fit a broadcast; their number is checked, and beyond ``BROADCAST_ROWS`` texts are shuffled once, by content and
+key, so that copies of a text don't meet. A null text counts as empty: no tokens. Very long texts are encoded whole.
 Repeated rows keep their number. Only the key is passed on, so other columns, whatever their names, change nothing.
 """
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import remove, scratch, small_batches, small_side, stored, without_gc
+from undulo.llm.common import BROADCAST_ROWS, Tables, scratch, small_batches, without_gc
 
 #: Distinct parts of texts whose counts a Python worker keeps.
 CACHE_PARTS = 200_000
@@ -38,6 +39,8 @@ def _cut(text: str) -> list[str]:
     if _FIRST in text or _NEXT in text or " " in text[:1] or "  " in text or text[-1:] == " ":
         parts = [_NEXT + p for p in parts]
     return [_FIRST + first, *parts]
+
+
 _FIELDS = "content binary, version string, n_tokens long"
 
 
@@ -112,26 +115,33 @@ def with_token_counts(df: DataFrame, path: str, key: str, text: str = "text", ca
 
     cache: the folder of stored counts, made if it isn't there. Without it the counts go to a fresh one.
     """
+    with small_batches(df.sparkSession, rows=2000, megabytes=8):
+        return _with_token_counts(df, path, key, text, cache)
+
+
+def _with_token_counts(df: DataFrame, path: str, key: str, text: str, cache: str | None) -> DataFrame:
     spark = df.sparkSession
-    small_batches(spark, rows=2000, megabytes=8)
+    tables = Tables(spark, "token-counts")
     cache = cache or scratch(spark, "token-cache")
     tag = version(path)
     keyed = df.select(F.col(key).alias("row_key"), F.col(text).alias("whole")).withColumn("content", _content(path, "whole"))
-    rows = stored(keyed.select("row_key", "content", F.coalesce(F.octet_length("whole"), F.lit(0)).cast("long").alias("n_bytes")), "token-rows")
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        spark.createDataFrame([], _FIELDS).write.mode("append").parquet(cache)
+    rows = tables.stored(keyed.select("row_key", "content", F.coalesce(F.octet_length("whole"), F.lit(0)).cast("long").alias("n_bytes")), "rows")
+    spark.createDataFrame([], _FIELDS).write.mode("append").partitionBy("version").parquet(cache)  # the folder, if it isn't there
 
     def counts() -> DataFrame:
         kept = spark.read.schema(_FIELDS).parquet(cache).filter(F.col("version") == tag)
         return kept.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
     groups = rows.groupBy("content").agg(F.min("row_key").alias("first_key"), F.count("*").alias("n"))
-    state = groups.join(counts().withColumnRenamed("n_tokens", "known"), "content", "left")
-    skip = stored(state.filter("n > 1 or known is not null"), "token-skip")
+    state = tables.stored(groups.join(counts().withColumnRenamed("n_tokens", "known"), "content", "left"), "state")
+    skip = state.filter("n > 1 or known is not null")
     n_skip = skip.count()
-    todo = keyed.join(small_side(skip.select("content", "first_key", "known"), n_skip), "content", "left")
-    todo = todo.filter("known is null and (first_key is null or first_key <=> row_key)").select("content", "whole")
+    if n_skip <= BROADCAST_ROWS:
+        todo = keyed.join(F.broadcast(skip.select("content", "first_key", "known")), "content", "left")
+        todo = todo.filter("known is null and (first_key is null or first_key <=> row_key)").select("content", "whole")
+    else:
+        wanted = state.filter("known is null").select(F.col("content").alias("wanted"), "first_key").hint("merge")
+        todo = keyed.join(wanted, (F.col("content") == F.col("wanted")) & F.col("row_key").eqNullSafe(F.col("first_key")), "left_semi").select("content", "whole")
     if not rows.groupBy("content", "row_key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         todo = todo.dropDuplicates(["content"])  # equal texts whose keys are equal too
 
@@ -144,8 +154,9 @@ def with_token_counts(df: DataFrame, path: str, key: str, text: str = "text", ca
                 counted = counter(path).counts([t or "" for t in b["whole"]])
             yield pd.DataFrame({"content": b["content"], "version": tag, "n_tokens": counted})
 
-    todo.mapInPandas(encode, _FIELDS).write.mode("append").parquet(cache)
-    known = stored(counts(), "token-counts")  # a table of its own, so that Spark can split a text with very many rows
+    todo.mapInPandas(encode, _FIELDS).write.mode("append").partitionBy("version").parquet(cache)
+    known = tables.stored(counts(), "known")  # a table of its own, so that Spark can split a text with very many rows
+    tables.keep("rows", "known")
     return rows.join(known, "content").select(F.col("row_key").alias(key), "n_bytes", "n_tokens")
 
 
