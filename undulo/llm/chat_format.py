@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import pieces_of
+from undulo.llm.common import pieces_of, small_batches, stored
 
 BUDGET, HISTORY = 1024, 2
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -185,4 +185,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    return digests(windows(said.unionByName(more), public_tokenizers.path("piece_bpe_32k.model")))
+    with small_batches(spark):
+        return stored(digests(windows(said.unionByName(more), public_tokenizers.path("piece_bpe_32k.model"))), "chat-digests")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import small_batches, words_of
+from undulo.llm.common import small_batches, stored, words_of
 
 #: Labelled rows that a fit uses at most.
 SAMPLE = 6000
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str = "t
 
 
 def with_score(df: DataFrame, model: tuple, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the score of every whole text."""
+    """Adds the score of every whole text, where the result is evaluated; inside ``small_batches`` workers hold few texts at once."""
     sent = df.sparkSession.sparkContext.broadcast(tuple(model))
 
     @F.pandas_udf("double")
@@ -205,4 +205,6 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out("doc_id"))
     scored = with_score(docs, fit(docs, labels, "doc_id", "quality"))
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    with small_batches(spark):
+        return stored(scored, "quality")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import without_gc
+from undulo.llm.common import small_batches, stored, without_gc
 
 SPACE = "▁"
 MARK = SPACE.encode()
@@ -291,4 +291,6 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), digests_only=True).select("doc_id", "pieces.*")
+    pieces = with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), digests_only=True).select("doc_id", "pieces.*")
+    with small_batches(spark):
+        return stored(pieces, "pieces")
