@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undulo.llm import minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
-from undulo.llm.common import hold, release, small_side, stored
+from undulo.llm.common import hold, release, small_batches, small_side, stored
 
 
 def _with_row_ids(docs: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~quality_classifier.held_out("doc_id"))
     model = quality_classifier.fit(docs, labels, "doc_id", "quality")
     scored = quality_classifier.with_score(hold(docs, text="text"), model)
-    return scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select("held.*")
+    with small_batches(spark):
+        return stored(scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select("held.*"), "scored")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,8 @@ def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     import public_tokenizers
 
     pieces = sentencepiece_codec.with_pieces(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), digests_only=True)
-    return pieces.select("doc_id", "pieces.*")
+    with small_batches(spark):
+        return stored(pieces.select("doc_id", "pieces.*"), "pieces")
 
 
 STAGES = [
