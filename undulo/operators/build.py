@@ -1,9 +1,11 @@
 """Wavelet trees and matrices.
 
 On level l of h, a tree orders symbols by their first l bits, then by position, a matrix by those bits in reverse; the bit stored
-is the next one. So each level follows from (pos, code) alone. A text is built in chunks: one pass counts each chunk's symbols, from which, with the nodes'
-starts, running sums over chunks say where a chunk's symbols go in every node; a second pass sorts a chunk by node in numpy and
-emits words of 64 bits. Only words at the edges of runs come from several chunks and are put together by OR.
+is the next one. So each level follows from (pos, code) alone, and where a chunk's symbols go in every node from how often each code stood before the chunk. Chunks
+carry that for their range, a row for each range has it for the ranges before, and one pass over the chunks, which move nowhere, emits words of 64 bits: level by level, a chunk's
+codes are parted by node, stably, and the bits of each node packed from where they start. Only words at the edges of runs come from several chunks; they are put together by OR.
+
+Alphabets of more than ``LARGEST`` symbols go another way: (level, node, position, bit) of all symbols are sorted by ranges, and words packed in that order.
 """
 
 from __future__ import annotations
@@ -11,109 +13,196 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undulo.functions.running import running_sum
-from undulo.plans.alphabet import Shape
+from undulo.functions.bits import bitrev, level_bit, node_of
+from undulo.plans.alphabet import Alphabet, carries_counts, effective_text, node_sizes, node_starts, part_counts, reversed_prefixes
+from undulo.sources.scratch import small_side, stored
+from undulo.sources.text import counted, symbols_of, unpack, with_starts
 
 TREE, MATRIX, NODES = "tree", "matrix", "nodes"
+#: Counts of symbols before ranges that are broadcast at most.
+MOST_COUNTS = 2_000_000
 
 
-def _coder(symbols: list[int] | None):
-    table = None if symbols is None else np.array(symbols, np.int64)
-    return lambda raw: raw.astype(np.int64) if table is None else np.searchsorted(table, raw)
+def _key(kind: str) -> tuple[str, str, pa.DataType]:
+    return ("node_id", "long", pa.int64()) if kind == NODES else ("level", "int", pa.int32())
 
 
-def chunk_counts(chunks: DataFrame, symbols: list[int] | None = None) -> DataFrame:
-    """(chunk, code, n). symbols: the sorted alphabet, where the text holds raw symbols."""
+def _coder(symbols: np.ndarray):
+    """From symbols to codes."""
+    if symbols[0] < 0 or symbols[-1] >= 1 << 21:
+        return lambda raw: np.searchsorted(symbols, raw)
+    table = np.zeros(int(symbols[-1]) + 1, np.uint32)
+    table[symbols] = np.arange(len(symbols))
+    return lambda raw: table[raw]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _coder(symbols)
-        for b in batches:
-            for chunk, data in zip(b["chunk"].to_pylist(), b["symbols"].to_pylist(), strict=True):
-                values, n = np.unique(code(np.frombuffer(data, "<u4")), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(values), pa.array(n)], ["chunk", "code", "n"])
 
-    return chunks.select("chunk", "symbols").mapInArrow(run, "chunk long, code long, n long")
+def counts_before(chunks: DataFrame) -> tuple[DataFrame, int]:
+    """(part, raws, earlier): how often each symbol stands in the parts before; and the number of parts."""
+    counts = stored(part_counts(chunks), "part-counts")
+    n_parts = (counts.agg(F.max("part")).first()[0] or 0) + 1
+
+    def run(table: pa.Table) -> pa.Table:  # one symbol
+        n = np.zeros(n_parts, np.int64)
+        n[table["part"].to_numpy()] = table["n"].to_numpy()
+        upto = np.cumsum(n) - n
+        part = np.flatnonzero(upto)
+        return pa.table({"part": part, "raw": np.full(len(part), table["raw"][0].as_py()), "earlier": upto[part]})
+
+    earlier = counts.groupBy("raw").applyInArrow(run, "part long, raw long, earlier long")
+    return earlier.groupBy("part").agg(F.collect_list("raw").alias("raws"), F.collect_list("earlier").alias("earlier")), n_parts
+
 
+def _pack_runs(bits: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of runs of bits, each run packed from its place on: the run of each word, its index, the word."""
+    first = places % 64
+    words = (first + sizes + 63) // 64
+    slots = np.cumsum(words) - words
+    buffer = np.zeros(int(words.sum()) * 64, np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    buffer[np.repeat(slots * 64 + first - starts, sizes) + np.arange(len(bits))] = bits
+    run = np.repeat(np.arange(len(sizes)), words)
+    index = places[run] // 64 + np.arange(len(run)) - slots[run]
+    return run, index, np.packbits(buffer).view(">u8").astype(np.uint64).view(np.int64)
 
-def build(chunks: DataFrame, shape: Shape, kind: str = TREE, symbols: list[int] | None = None) -> DataFrame:
+
+def levels_of(code: np.ndarray, height: int, matrix: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level: its nodes that occur, in its order, their sizes, and their bits one after another."""
+    order = code.astype(np.uint16 if height <= 16 else np.uint64)
+    for level in range(height):
+        prefix = order >> order.dtype.type(height - level)
+        first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+        bit = ((order >> order.dtype.type(height - 1 - level)) & order.dtype.type(1)).astype(np.uint8)
+        yield level, prefix[first].astype(np.int64), np.diff(np.r_[first, len(order)]), bit
+        one = bit.astype(bool)
+        if matrix:
+            order = np.concatenate([order[~one], order[one]])
+        elif level + 1 < height:  # stable inside each node: by the node and the bit
+            key = order >> order.dtype.type(height - 1 - level)
+            order = order[np.argsort(key.astype(np.uint8) if level < 8 else key, kind="stable")]
+
+
+def build(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
     """(level, word_idx, word) of a tree or matrix, or (node_id, word_idx, word) of a tree by nodes; bits after the end are 0."""
-    height, matrix = shape.height, kind == MATRIX
-    key = "node_id" if kind == NODES else "level"
-    if not height or not shape.n:
-        return chunks.sparkSession.createDataFrame([], f"{key} {'long' if kind == NODES else 'int'}, word_idx long, word long")
-    starts = [np.zeros(1 << level, np.int64) if kind == NODES else shape.starts(level, matrix) for level in range(height)]
-    counts = chunk_counts(chunks, symbols).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(height - 1)))) if height > 1 else None
-    offsets = None
-    if counts is not None:  # the root's are the chunks' own starts
-        node = F.call_function("shiftright", F.col("code"), (F.lit(height) - F.col("level")).cast("int"))
-        counts = counts.groupBy("level", node.alias("node"), "chunk").agg(F.sum("n").alias("n"))
-        offsets = running_sum(counts, ["level", "node"], "chunk", "n", "before", width=4096)
-        offsets = offsets.groupBy("chunk").agg(F.collect_list(F.struct("level", "node", "before")).alias("offsets"))
-
-    deep = offsets is not None
+    height, matrix = alphabet.height, kind == MATRIX
+    key, key_kind, key_type = _key(kind)
+    spark = alphabet.table.sparkSession
+    if not height or not alphabet.n:
+        return spark.createDataFrame([], f"{key} {key_kind}, word_idx long, word long")
+    if alphabet.counts is None or not carries_counts(chunks):
+        return build_sorted(effective_text(unpack(chunks), alphabet), height, kind)
+    symbols = np.array(alphabet.symbols, np.int64)
+    code_of = _coder(symbols)
+    starts = [np.zeros(1 << level, np.int64) if kind == NODES else alphabet.starts(level, matrix) for level in range(height)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code_of = _coder(symbols)
         for b in batches:
-            keys, words, values = [], [], []
-            if deep:
-                found = b["offsets"].flatten()
-                at, node_at, before = (found.field(c).to_numpy() for c in ("level", "node", "before"))
-                ends = np.cumsum(b["offsets"].value_lengths().fill_null(0).to_numpy())
-            for k, (start, data) in enumerate(zip(b["start"].to_pylist(), b["symbols"].to_pylist(), strict=True)):
-                own = slice(ends[k - 1] if k else 0, ends[k]) if deep else None
-                code = code_of(np.frombuffer(data, "<u4"))
-                if not len(code):
-                    continue
-                for level in range(height):
-                    node = code >> (height - level)
-                    order = np.argsort(node, kind="stable")
-                    node = node[order]
-                    first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-                    rank = np.arange(len(node)) - np.repeat(first, np.diff(np.r_[first, len(node)]))
-                    base = starts[level].copy()
-                    if level:
-                        here = at[own] == level
-                        base[node_at[own][here]] += before[own][here]
-                    else:
-                        base[0] = start
-                    place = base[node] + rank
-                    bit = ((code[order] >> (height - 1 - level)) & 1).astype(np.uint64) << (63 - place % 64).astype(np.uint64)
-                    run_ = node if kind == NODES else np.zeros_like(node)
-                    by = np.flatnonzero(np.r_[True, (place[1:] // 64 != place[:-1] // 64) | (run_[1:] != run_[:-1])])
-                    values.append(np.bitwise_or.reduceat(bit, by).view(np.int64))
-                    words.append(place[by] // 64)
-                    keys.append((1 << level) + node[by] if kind == NODES else np.full(len(by), level))
-            if keys:
-                kind_ = pa.int64() if kind == NODES else pa.int32()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), kind_), pa.array(np.concatenate(words)), pa.array(np.concatenate(values))], [key, "word_idx", "word"])
-
-    rows = chunks if offsets is None else chunks.join(offsets, "chunk", "left")
-    rows = rows.select("start", "symbols", *([] if offsets is None else ["offsets"]))
-    parts = rows.mapInArrow(run, f"{key} {'long' if kind == NODES else 'int'}, word_idx long, word long")
+            for width, data, seen, upto, raws, earlier in zip(*(b[c] for c in ("width", "symbols", "seen", "upto", "raws", "earlier")), strict=True):
+                code = code_of(symbols_of(data.as_py(), width.as_py()))
+                before = np.zeros(1 << height, np.int64)
+                before[np.searchsorted(symbols, seen.values.to_numpy())] = upto.values.to_numpy()
+                own, n = counted(code)
+                before[own] -= n
+                if raws.is_valid:
+                    before[np.searchsorted(symbols, raws.values.to_numpy())] += earlier.values.to_numpy()
+                keys, words, values = [], [], []
+                for level, nodes, sizes, bit in levels_of(code, height, matrix):
+                    places = starts[level][nodes] + before.reshape(1 << level, -1).sum(1)[nodes]
+                    which, index, word = _pack_runs(bit, sizes, places)
+                    keys.append((1 << level) + nodes[which] if kind == NODES else np.full(len(which), level))
+                    words.append(index)
+                    values.append(word)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), key_type), pa.array(np.concatenate(words)), pa.array(np.concatenate(values))], [key, "word_idx", "word"])
+
+    earlier, n_parts = counts_before(chunks)
+    earlier = F.broadcast(earlier) if n_parts * alphabet.sigma <= MOST_COUNTS else earlier.hint("merge")
+    rows = chunks.join(earlier, "part", "left").select("width", "symbols", "seen", "upto", "raws", "earlier")
+    parts = rows.mapInArrow(run, f"{key} {key_kind}, word_idx long, word long")
     return parts.groupBy(key, "word_idx").agg(F.bit_or("word").alias("word"))
 
 
-def merge_nodes(nodes: DataFrame, shape: Shape, matrix: bool = False) -> DataFrame:
-    """(level, word_idx, word) from the words of nodes: a node's words are shifted to where it starts."""
-    table = []
-    for level in range(shape.height):
-        sizes, starts = shape.sizes(level), shape.starts(level, matrix)
-        table += [((1 << level) + k, level, int(starts[k])) for k in range(len(sizes)) if sizes[k]]
-    table = nodes.sparkSession.createDataFrame(table, "node_id long, level int, start long")
-    rows = nodes.join(F.broadcast(table), "node_id").withColumn("at", F.col("start") + F.col("word_idx") * 64)
-    shift = (F.col("at") % 64).cast("int")
-    first = F.struct(F.expr("at div 64").alias("word_idx"), F.call_function("shiftrightunsigned", "word", shift).alias("word"))
+def shifted(words: DataFrame, key: str, places: Column) -> DataFrame:
+    """(key, word_idx, word) of words moved on by a number of places each, put together by OR."""
+    rows = words.withColumn("_at", places + F.col("word_idx") * 64)
+    shift = (F.col("_at") % 64).cast("int")
+    first = F.struct(F.expr("_at div 64").alias("word_idx"), F.call_function("shiftrightunsigned", "word", shift).alias("word"))
     rest = F.call_function("shiftleft", F.col("word"), (F.lit(64) - shift).cast("int"))
-    second = F.struct((F.expr("at div 64") + 1).alias("word_idx"), F.when(shift > 0, rest).otherwise(F.lit(0).cast("long")).alias("word"))
-    rows = rows.select("level", F.explode(F.array(first, second)).alias("w")).select("level", "w.*")
-    rows = rows.filter(f"word_idx < {(shape.n + 63) // 64}")
-    return rows.groupBy("level", "word_idx").agg(F.bit_or("word").alias("word"))
+    second = F.struct((F.expr("_at div 64") + 1).alias("word_idx"), F.when(shift > 0, rest).otherwise(F.lit(0).cast("long")).alias("word"))
+    rows = rows.select(key, F.explode(F.when(shift > 0, F.array(first, second)).otherwise(F.array(first))).alias("w"), "_end")
+    rows = rows.select(key, "w.*", "_end").filter("word_idx * 64 < _end")
+    return rows.groupBy(key, "word_idx").agg(F.bit_or("word").alias("word"))
+
+
+def words_in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, word_idx, word) of the bits of each key in an order. Ranges of the order are packed on their own; a key that goes over the end of a range is moved
+    on by what the ranges before hold of it."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    names = ["part", key, "word_idx", "word", "filled"]
+    key_type = pa.int32() if kind == "int" else pa.int64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tail_key, tail, index = 0, None, np.empty(0, np.uint8), 0  # the open run: its bits that fill no word yet, and the number of its next word
+
+        def rest() -> pa.RecordBatch:
+            word = np.packbits(np.r_[tail, np.zeros(64 - len(tail), np.uint8)]).view(">u8").astype(np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([tail_key], key_type), pa.array([index]), pa.array(word), pa.array([len(tail)])], names)
+
+        for b in batches:
+            if not len(b):
+                continue
+            part, keys, bits = b["part"][0].as_py(), b[key].to_numpy(), b["bit"].to_numpy().astype(np.uint8)
+            if tail_key != keys[0]:
+                if len(tail):
+                    yield rest()
+                tail, index = tail[:0], 0
+            bits, keys = np.r_[tail, bits], np.r_[np.full(len(tail), keys[0]), keys]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            sizes = np.diff(np.r_[first, len(keys)])
+            which, word_idx, word = _pack_runs(bits, sizes, np.zeros(len(sizes), np.int64))
+            filled = np.minimum(sizes[which] - word_idx * 64, 64)
+            word_idx[which == 0] += index
+            left = int(sizes[-1] % 64)
+            kept = len(word) - (left > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(kept, part)), pa.array(keys[first][which][:kept], key_type), pa.array(word_idx[:kept]), pa.array(word[:kept]), pa.array(filled[:kept])], names)
+            index = (index if len(sizes) == 1 else 0) + int(sizes[-1] // 64)
+            tail_key, tail = int(keys[-1]), bits[len(bits) - left :]
+        if len(tail):
+            yield rest()
+
+    packed = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).select(F.spark_partition_id().cast("long").alias("part"), key, "bit")
+    packed = stored(packed.mapInArrow(run, f"part long, {key} {kind}, word_idx long, word long, filled long"), "packed-ranges")
+    runs = packed.groupBy("part", key).agg(F.sum("filled").alias("n"))
+    ends = stored(runs.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max_by("n", key).alias("n")), "range-ends")
+    held = ends.select(F.col("last").alias(key), "part", "n").unionByName(ends.select(F.col("first").alias(key), "part", F.lit(0).cast("long").alias("n")).filter("part > 0"))
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("part").rangeBetween(Window.unboundedPreceding, -1))
+    carried = held.select(key, "part", before.alias("carried")).filter("carried > 0").distinct()
+    rows = packed.join(F.broadcast(carried), ["part", key], "left")  # a row for each range at most
+    return shifted(rows.withColumn("_end", F.lit(1 << 62)), key, F.coalesce("carried", F.lit(0)))
+
+
+def build_sorted(codes: DataFrame, height: int, kind: str = TREE) -> DataFrame:
+    """A tree or matrix from (pos, code), for alphabets of any size."""
+    key, key_kind, _ = _key(kind)
+    rows = codes.select("pos", "code", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("level"))
+    node = node_of(F.col("code"), F.col("level"), height)
+    rows = rows.select("level", node.alias("node"), "pos", level_bit(F.col("code"), F.col("level"), height).alias("bit"))
+    if kind == NODES:
+        rows = rows.select((F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level")) + F.col("node")).alias(key), "pos", "bit")
+        return words_in_order(rows, key, ["pos"])
+    if kind == MATRIX:
+        rows = rows.withColumn("node", bitrev(F.col("node"), F.col("level")))
+    return words_in_order(rows, key, ["node", "pos"])
+
+
+def merge_nodes(nodes: DataFrame, alphabet: Alphabet, matrix: bool = False) -> DataFrame:
+    """(level, word_idx, word) from the words of nodes: a node's words are moved on to where it starts."""
+    starts = node_starts(node_sizes(alphabet), matrix).filter("size > 0")
+    rows = nodes.join(small_side(starts, 2 * alphabet.sigma), "node_id").withColumn("_end", F.lit(alphabet.n))
+    return shifted(rows, "level", F.col("start"))
 
 
 def z_from_words(levels: DataFrame, n: int) -> DataFrame:
@@ -121,41 +210,14 @@ def z_from_words(levels: DataFrame, n: int) -> DataFrame:
     return levels.groupBy("level").agg((F.lit(n) - F.sum(F.bit_count("word"))).cast("long").alias("z"))
 
 
-def z_from_histogram(alphabet: DataFrame, height: int) -> DataFrame:
+def z_from_histogram(alphabet: Alphabet) -> DataFrame:
     """(level, z): occurrences of codes with a 0 at the level's bit."""
-    rows = alphabet.select("code", "occ", F.explode(F.sequence(F.lit(0), F.lit(max(height - 1, 0)))).alias("level")).filter(F.col("level") < height)
+    height = alphabet.height
+    rows = alphabet.table.select("code", "occ", F.explode(F.sequence(F.lit(0), F.lit(max(height - 1, 0)))).alias("level")).filter(F.col("level") < height)
     bit = F.call_function("shiftright", F.col("code"), (F.lit(height - 1) - F.col("level")).cast("int")).bitwiseAND(F.lit(1))
     return rows.groupBy("level").agg(F.sum(F.when(bit == 0, F.col("occ")).otherwise(F.lit(0))).cast("long").alias("z"))
 
 
-def decode(levels: DataFrame, shape: Shape, kind: str = TREE) -> DataFrame:
-    """(pos, code): walks every position down the levels by the ranks of its bits."""
-    matrix, n, height = kind == MATRIX, shape.n, shape.height
-    spark = levels.sparkSession
-    walk = spark.range(n).select(F.col("id").alias("pos"), F.col("id").alias("p"), F.lit(0).cast("long").alias("code"))
-    if not height:
-        return walk.select("pos", "code")
-    counted = running_sum(levels.withColumn("ones", F.bit_count("word")), ["level"], "word_idx", "ones", "before", width=4096)
-    for level in range(height):
-        words = counted.filter(F.col("level") == level).select("word_idx", "word", "before")
-        walk = walk.withColumn("word_idx", F.expr("p div 64")).join(words, "word_idx")
-        place = (F.col("p") % 64).cast("int")
-        left = F.when(place > 0, F.call_function("shiftrightunsigned", F.col("word"), (F.lit(64) - place).cast("int"))).otherwise(F.lit(0).cast("long"))
-        walk = walk.withColumn("ones", F.col("before") + F.bit_count(left)).withColumn("bit", F.getbit("word", F.lit(63) - place).cast("long"))
-        if matrix:
-            after = F.when(F.col("bit") == 1, F.lit(shape.zeros(level)) + F.col("ones")).otherwise(F.col("p") - F.col("ones"))
-        else:  # ranks count from the node's start
-            now, then = shape.starts(level, False), shape.starts(level + 1, False)
-            sizes, ones = shape.sizes(level), shape.sizes(level + 1)[1::2]
-            before = np.cumsum(ones) - ones  # set bits of the nodes before
-            table = spark.createDataFrame(pd.DataFrame({"node": np.arange(len(sizes)), "now": now, "ones_before": before, "zero": then[::2], "one": then[1::2]}))
-            walk = walk.join(F.broadcast(table), F.col("code") == F.col("node"))
-            rank = F.col("ones") - F.col("ones_before")
-            after = F.when(F.col("bit") == 1, F.col("one") + rank).otherwise(F.col("zero") + (F.col("p") - F.col("now") - rank))
-        walk = walk.select("pos", after.alias("p"), (F.col("code") * 2 + F.col("bit")).alias("code"))
-    return walk.select("pos", "code")
-
-
 def differences(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """(differences): positions at which two texts differ, or that only one has."""
     both = left.select("pos", F.col(column).alias("x")).join(right.select("pos", F.col(column).alias("y")), "pos", "full")

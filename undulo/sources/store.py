@@ -1,23 +1,38 @@
-"""Stored indexes: Parquet folders, and the headerless binary files of each part."""
+"""Stored indexes: Parquet folders, and headerless binary files of unsigned little-endian numbers.
+
+Binary files are written and read where the rows are, a file a range: ``<path><range:04>.<extension>``, ranges in order, so the names' order joins them. Symbols have their
+width, words and counts eight bytes. The extensions are fixed values.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-LEVEL, NODE, HISTOGRAM, ZEROS = "lv_{}", "node_{}", "hist", "z"
+from undulo.sources.text import RANGE, file_system
 
+LEVEL, NODE, HISTOGRAM, ZEROS, TEXT = "lv_{}", "node_{}", "hist", "z", "txt"
 
-def write_index(path: str, levels: DataFrame, hist: DataFrame, z: DataFrame | None = None) -> None:
-    """Levels (or nodes) by partition, histogram, and for a matrix its zero counts."""
-    levels.write.mode("overwrite").partitionBy("node_id" if "node_id" in levels.columns else "level").parquet(f"{path}/levels")
+
+def write_index(path: str, words: DataFrame, hist: DataFrame, z: DataFrame | None = None) -> None:
+    """Words of levels (or nodes) by partition, histogram, and for a matrix its zero counts, as Parquet."""
+    words.write.mode("overwrite").partitionBy("node_id" if "node_id" in words.columns else "level").parquet(f"{path}/levels")
     hist.write.mode("overwrite").parquet(f"{path}/{HISTOGRAM}")
     if z is not None:
         z.write.mode("overwrite").parquet(f"{path}/{ZEROS}")
 
 
-def read_levels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/levels")
+def read_levels(spark: SparkSession, path: str, level: int | None = None) -> DataFrame:
+    """(level, word_idx, word), or by node_id; of one level, only its folder."""
+    words = spark.read.parquet(f"{path}/levels")
+    key = "node_id" if "node_id" in words.columns else "level"
+    words = words.select(F.col(key).cast("long" if key == "node_id" else "int").alias(key), "word_idx", "word")
+    return words if level is None else words.filter(F.col(key) == level)
 
 
 def read_histogram(spark: SparkSession, path: str) -> DataFrame:
@@ -28,9 +43,75 @@ def read_zeros(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{ZEROS}")
 
 
-def words_bytes(words: list[int]) -> bytes:
-    """Words as unsigned 64-bit values, little-endian."""
-    return np.array(words, np.int64).astype("<i8").tobytes()
+def _packed(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def export(rows: DataFrame, order: list[str], value: str, width: int, path: str, extension: str, key: str | None = None) -> int:
+    """Writes a column in an order as binary files, for each value of ``key`` its own, whose number takes the place of {} in the extension. Returns the number of files.
+    A file is written beside its place and then moved there, so that a task may run again."""
+    keys = [key] if key else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, done = None, None, []
+
+        def close() -> None:
+            out.close()
+            store.move(f"{name}.{token}", name)
+            done.append(name)
+
+        token = uuid.uuid4().hex
+        for b in batches:
+            values = b["value"].to_numpy()
+            of = b["key"].to_numpy()
+            for rows_ in np.split(np.arange(len(of)), np.flatnonzero(of[1:] != of[:-1]) + 1):
+                if not len(rows_):
+                    continue
+                store, target = file_system(f"{path}{b['part'][0].as_py():04}.{extension.format(of[rows_[0]])}")
+                if target != name:
+                    if out:
+                        close()
+                    name, out = target, store.open_output_stream(f"{target}.{token}")
+                out.write(_packed(values[rows_], width))
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["file"])
+
+    store, folder = file_system(path.rsplit("/", 1)[0])
+    store.create_dir(folder)
+    rows = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    number = F.col(key).cast("long") if key else F.lit(0).cast("long")
+    return rows.select(F.spark_partition_id().alias("part"), number.alias("key"), F.col(value).cast("long").alias("value")).mapInArrow(run, "file string").count()
+
+
+def read_words(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, word_idx, word) of the files that ``export`` wrote for all values of a key: level or node_id."""
+    extension = (LEVEL if key == "level" else NODE).format("")
+    files = spark.read.format("binaryFile").load(f"{path}*.{extension}*").select("path", "length")
+    files = files.select("path", F.expr("length div 8").alias("n"), F.regexp_extract("path", f"\\.{extension}([0-9]+)$", 1).cast("long").alias("key"))
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = files.select("path", "key", "n", first.alias("first")).select("*", F.explode(F.expr(f"sequence(0L, n - 1, {RANGE // 8}L)")).alias("at"))
+    kind = "long" if key == "node_id" else "int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                store, name = file_system(r["path"])
+                with store.open_input_file(name) as f:
+                    f.seek(8 * r["at"])
+                    words = np.frombuffer(f.read(8 * min(RANGE // 8, r["n"] - r["at"])), "<i8")
+                own = np.full(len(words), r["key"] - (key == "level"))  # files count levels from 1
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64() if kind == "long" else pa.int32()), pa.array(r["first"] + r["at"] + np.arange(len(words))), pa.array(words)], [key, "word_idx", "word"])
+
+    return ranges.repartition("path", "at").mapInArrow(run, f"{key} {kind}, word_idx long, word long")
+
+
+def export_words(words: DataFrame, path: str) -> int:
+    """The words of levels or nodes, ``<path><range>.lv_<level + 1>`` or ``.node_<id>``."""
+    key = "node_id" if "node_id" in words.columns else "level"
+    if key == "level":
+        words = words.withColumn("level", F.col("level") + 1)
+    return export(words, ["word_idx"], "word", 8, path, LEVEL if key == "level" else NODE, key)
 
 
 def histogram_bytes(rows: list[tuple[int, int]], width: int) -> bytes:
@@ -45,9 +126,31 @@ def parse_histogram(data: bytes, width: int) -> list[tuple[int, int]]:
     return [(int.from_bytes(r[:width], "little"), int.from_bytes(r[width:], "little")) for r in rows]
 
 
-def export_level(levels: DataFrame, level: int, path: str) -> None:
-    """One level as a binary file, streamed to the driver word by word in order."""
-    rows = levels.filter(levels["level"] == level).orderBy("word_idx").select("word")
-    with open(f"{path}.{LEVEL.format(level + 1)}", "wb") as f:
-        for row in rows.toLocalIterator():
-            f.write(words_bytes([row.word]))
+def export_small(data: bytes, path: str) -> None:
+    """A file of a small part: the histogram of an alphabet that the driver holds, or zero counts."""
+    store, name = file_system(path)
+    store.create_dir(name.rsplit("/", 1)[0])
+    with store.open_output_stream(name) as f:
+        f.write(data)
+
+
+def import_small(path: str) -> bytes:
+    store, name = file_system(path)
+    with store.open_input_stream(name) as f:
+        return f.read()
+
+
+def export_histogram(rows: list[tuple[int, int]], width: int, path: str) -> None:
+    export_small(histogram_bytes(rows, width), f"{path}.{HISTOGRAM}")
+
+
+def import_histogram(spark: SparkSession, width: int, path: str) -> DataFrame:
+    return spark.createDataFrame(parse_histogram(import_small(f"{path}.{HISTOGRAM}"), width), "raw long, occ long")
+
+
+def export_zeros(z: dict[int, int], path: str) -> None:
+    export_small(np.array([z[k] for k in sorted(z)], "<i8").tobytes(), f"{path}.{ZEROS}")
+
+
+def import_zeros(spark: SparkSession, path: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(np.frombuffer(import_small(f"{path}.{ZEROS}"), "<i8").tolist())), "level int, z long")
