@@ -33,15 +33,15 @@ MARK = SPACE.encode()
 #: Distinct parts of texts that a Python worker keeps, and texts that it encodes at once.
 CACHE_PARTS, TEXTS = 100_000, 500
 
-_ODD = "\0"
+_ODD = b"\0"
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
-def _cut(text: str) -> list[str]:
+def _cut(text: bytes) -> list[bytes]:
     """The parts of a normalised text without the mark before each; parts that would be mistaken are written out behind a NUL."""
-    if text[:1] == SPACE and SPACE + SPACE not in text and text[-1:] != SPACE and _ODD not in text:
-        return text[1:].split(SPACE)
-    return [_ODD + p for p in _CUT.split(text)] if text else []
+    if text[:3] == MARK and MARK + MARK not in text and text[-3:] != MARK and _ODD not in text:
+        return text[3:].split(MARK)
+    return [_ODD + p.encode() for p in _CUT.split(text.decode())] if text else []
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -140,11 +140,13 @@ class Normalizer:
 
     def _replaced(self, data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The text after the map, the original character of each byte, and whether a space stands only behind spaces of its replacement."""
+        origin = np.arange(len(raw))
         start = (raw & 0xC0) != 0x80
-        origin = np.maximum.accumulate(np.where(start, np.arange(len(raw)), 0))
+        if raw.max() > 127:
+            origin = np.maximum.accumulate(np.where(start, origin, 0))
         special = np.flatnonzero(self.first[raw] & start) if self.first.any() else []
         if not len(special):
-            return raw, origin, np.ones(len(raw), bool)
+            return raw, origin, np.ones(len(raw), bool) if self.squeeze else start
         parts, at = [], 0
         for k in special.tolist():
             if k < at:
@@ -163,8 +165,13 @@ class Normalizer:
         """Normalised bytes, and for each of them and the end the original offset."""
         if not data:
             return b"", np.zeros(1, np.int64)
-        out, origin, lead = self._replaced(data, np.frombuffer(data, np.uint8))
+        raw = np.frombuffer(data, np.uint8)
+        out, origin, lead = self._replaced(data, raw)
         blank = out == 0x20
+        if out is raw and not self.squeeze and not self.suffix:  # every byte stands for itself, and a space for its mark
+            lead = len(self.space) if self.dummy_prefix else 0
+            times = blank * np.int8(len(self.space) - 1) + np.int8(1)
+            return self.space[:lead] + data.replace(b" ", self.space), np.concatenate([np.zeros(lead, np.int64), np.repeat(origin, times), [len(data)]])
         end = len(data)
         if self.squeeze:
             kept = ~(blank & lead & np.r_[True, blank[:-1]])
@@ -215,34 +222,35 @@ class Codec:
         self.unknown = self.lib.unk_id()
         self.by_part = self.lib.piece_to_id(SPACE) != self.unknown and not any(re.search(rf"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.decimal = [str(k) for k in range(size)]
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[bytes, list[int]] = {}
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _encode(self, texts: list[bytes]) -> list[list[int]]:
         """The ids of normalised texts."""
         if not self.by_part:
-            return self.plain.encode(texts, num_threads=1)
+            return self.plain.encode([t.decode() for t in texts], num_threads=1)
         cut = [_cut(t) for t in texts]
         every = set(chain.from_iterable(cut))
         missing = [p for p in every if p not in self.parts]
         if len(self.parts) + len(missing) > CACHE_PARTS:
             self.parts.clear()
             missing = list(every)
-        whole = [p[1:] if p[:1] == _ODD else SPACE + p for p in missing]
+        whole = [(p[1:] if p[:1] == _ODD else MARK + p).decode() for p in missing]
         self.parts.update(zip(missing, self.plain.encode(whole, num_threads=1), strict=True))
         return [list(chain.from_iterable(map(self.parts.__getitem__, parts))) for parts in cut]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], np.ndarray]]:
         """The ids of each text, and the offsets in its bytes at which their spans begin, with that at which the last one ends."""
         found = [self.normalize(t.encode()) for t in texts]
-        normalised = [t.decode() for t, _ in found]
-        return [(ids, self._bounds(ids, text, origin)) for ids, text, (_, origin) in zip(self._encode(normalised), normalised, found, strict=True)]
+        return [(ids, self._bounds(ids, *own)) for ids, own in zip(self._encode([t for t, _ in found]), found, strict=True)]
 
-    def _bounds(self, ids: list[int], text: str, origin: np.ndarray) -> np.ndarray:
-        width = self.width[ids] if ids else np.empty(0, np.int64)
+    def _bounds(self, ids: list[int], text: bytes, origin: np.ndarray) -> np.ndarray:
+        ends = np.zeros(len(ids) + 1, np.int64)
         if self.unknown in ids:  # the library alone knows how long they are
-            own = self.plain.encode(text, return_type="proto").pieces
-            width = np.array([len(p.piece.encode()) if p.id == self.unknown else self.width[p.id] for p in own])
-        return origin[np.r_[0, np.cumsum(width)]]
+            own = self.plain.encode(text.decode(), return_type="proto").pieces
+            np.cumsum([len(p.piece.encode()) if p.id == self.unknown else self.width[p.id] for p in own], out=ends[1:])
+        elif ids:
+            np.cumsum(self.width[np.fromiter(ids, np.int32, len(ids))], out=ends[1:])
+        return origin[ends]
 
     def joined(self, ids: list[int]) -> str:
         return ",".join(map(self.decimal.__getitem__, ids))
