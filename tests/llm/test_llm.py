@@ -85,11 +85,11 @@ def test_classifier_odd_rows(spark, odd):
 
 
 def test_dual_descent_separates():
-    places = [np.array([1, 2]), np.array([1, 3]), np.array([4, 2]), np.array([4, 3])]
+    places = [np.array([1, 2]), np.array([1, 3]), np.array([2, 4]), np.array([3, 4])]
     rows = [qc.packed(p.astype(np.int32)) for p in places]
     assert all((qc.unpacked(r) == p).all() for r, p in zip(rows, places, strict=True))
     long = np.arange(0, qc.WIDTH, 3, dtype=np.int32)
-    assert len(qc.packed(long)) == qc.WIDTH // 8 and (qc.unpacked(qc.packed(long)) == long).all()
+    assert len(qc.packed(long)) == qc.WIDTH // 8 + 1 and (qc.unpacked(qc.packed(long[::30000])) == long[::30000]).all() and (qc.unpacked(qc.packed(long)) == long).all()
     labels = np.array([1, 1, 0, 0])
     ratio = qc.log_count_ratio(rows, labels)
     w, b = qc.dual_descent(rows, labels, ratio, 1.0, 50, 1)

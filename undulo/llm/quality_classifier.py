@@ -6,7 +6,7 @@ length, and dual coordinate descent fits the weights; logistic scaling of margin
 weights did not see turns margins into scores between 0 and 1.
 
 It is fitted in one task on at most ``SAMPLE`` labelled rows, those whose keys have the smallest hashes, of rows that share a key the one with the
-smallest text. Their n-grams are found where the rows are; the fit gets places, or for long texts a bitmap of them, so it holds 33 KB a row at most,
+smallest text. Their n-grams are found where the rows are; the fit gets places, by their gaps or for long texts as a bitmap, so it holds 33 KB a row at most,
 however long texts are. Every row is scored, on its executor, from the weights, whose size is fixed.
 
 Null and empty texts have no features and get the score of the model's constant term. Labels other than 0
@@ -66,16 +66,19 @@ class Grams:
 
 
 def packed(places: np.ndarray) -> bytes:
-    """Places as they stand, or as a bitmap where that is shorter."""
-    if len(places) * 4 < WIDTH // 8:
-        return places.tobytes()
+    """Places by their gaps, or as a bitmap where that is shorter, behind a byte that says which."""
+    gaps = np.diff(places, prepend=0)
+    if len(places) * 2 < WIDTH // 8 and (not len(gaps) or gaps.max() < 1 << 16):
+        return b"g" + gaps.astype("<u2").tobytes()
     seen = np.zeros(WIDTH, bool)
     seen[places] = True
-    return np.packbits(seen).tobytes()
+    return b"b" + np.packbits(seen).tobytes()
 
 
 def unpacked(row: bytes) -> np.ndarray:
-    return np.frombuffer(row, np.int32) if len(row) < WIDTH // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8)))
+    if row[:1] == b"g":
+        return np.cumsum(np.frombuffer(row, "<u2", offset=1), dtype=np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8, offset=1)))
 
 
 def _length(square: float) -> float:
@@ -171,14 +174,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str = "t
             found = pa.array([packed(grams(t)) for t in b["text"].to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b["place"], b["label"], found], ["place", "label", "row"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"place": [], "label": [], "row": []}), *batches])
-        rows = rows.sort_values(["place", "row"])  # two keys may share a hash
-        yield pd.DataFrame([fit_arrays(list(rows["row"]), rows["label"].to_numpy(dtype=np.int64))], columns=["weights", "squares", "bias", "slope", "shift"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for b in batches for row in zip(*(b[c].to_pylist() for c in ("place", "row", "label")), strict=True)]
+        found.sort()  # two keys may share a hash
+        model = fit_arrays([row for _, row, _ in found], np.array([label for _, _, label in found], np.int64))
+        yield pa.RecordBatch.from_pylist([dict(zip(("weights", "squares", "bias", "slope", "shift"), model, strict=True))])
 
     with small_batches(docs.sparkSession):
         rows = rows.mapInArrow(features, "place long, label int, row binary")
-        found = rows.repartition(1).mapInPandas(run, _FIT).first()
+        found = rows.repartition(1).mapInArrow(run, _FIT).first()
     return tuple(found) if found else fit_arrays([], np.zeros(0))  # without rows there may be no partition to run in
 
 
