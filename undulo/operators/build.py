@@ -125,7 +125,7 @@ def build(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
 
 
 def shifted(words: DataFrame, key: str, places: Column) -> DataFrame:
-    """(key, word_idx, word) of words moved on by a number of places each, put together by OR."""
+    """(key, word_idx, word) of words moved on by a number of places each, put together by OR; ``_end`` is the place after a word's last bit, or a later one."""
     rows = words.withColumn("_at", places + F.col("word_idx") * 64)
     shift = (F.col("_at") % 64).cast("int")
     first = F.struct(F.expr("_at div 64").alias("word_idx"), F.call_function("shiftrightunsigned", "word", shift).alias("word"))
@@ -181,7 +181,8 @@ def words_in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy(key).orderBy("part").rangeBetween(Window.unboundedPreceding, -1))
     carried = held.select(key, "part", before.alias("carried")).filter("carried > 0").distinct()
     rows = packed.join(F.broadcast(carried), ["part", key], "left")  # a row for each range at most
-    return shifted(rows.withColumn("_end", F.lit(1 << 62)), key, F.coalesce("carried", F.lit(0)))
+    places = F.coalesce("carried", F.lit(0))
+    return shifted(rows.withColumn("_end", places + F.col("word_idx") * 64 + F.col("filled")), key, places)
 
 
 def build_sorted(codes: DataFrame, height: int, kind: str = TREE) -> DataFrame:

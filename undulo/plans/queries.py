@@ -202,7 +202,8 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
 
     for name, text in {"sigma2": "quality", "sigma3": "status", "sigma5": "events", "users": "users", "types": "types", "sizes": "sizes", "chars": "chars", "bytes": "bytes", "wide": "wide"}.items():
         add(f"wt_levels_{name}", tree(B.TREE), text, _ctes(text) + _levels(False) + " SELECT * FROM w")
-        add(f"wm_levels_{name}", tree(B.MATRIX), text, _ctes(text) + _levels(True) + " SELECT * FROM w")
+        if text != "wide":
+            add(f"wm_levels_{name}", tree(B.MATRIX), text, _ctes(text) + _levels(True) + " SELECT * FROM w")
     for name in ("types", "users"):
         add(f"wt_nodes_{name}", tree(B.NODES), name, _ctes(name) + _nodes() + " SELECT * FROM w")
         add(f"wt_merge_nodes_{name}", lambda t: B.merge_nodes(t.build(B.NODES), t.alphabet), name, sql[f"wt_levels_{name}"])
