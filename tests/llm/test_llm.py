@@ -612,6 +612,13 @@ def test_quality_verdict(spark, odd):
     found = by_id(qr.with_verdict(df, ratio).filter("kept or not kept"))
     table = {r.bucket: r.ratio for r in ratio.collect()}
     hashed = by_id(df.selectExpr("doc_id", "transform(split(text, ' '), w -> xxhash64(w)) as h").selectExpr("doc_id", "transform(h, x -> pmod(x, 16384)) as u", "transform(slice(h, 1, size(h) - 1), (x, i) -> pmod(xxhash64(x, h[i + 1]), 16384)) as v"))
+    raw, target = Counter(), Counter()
+    for k in found:
+        raw.update([*hashed[k].u, *hashed[k].v])
+        target.update([*hashed[k].u, *hashed[k].v] if k < 100 else [])
+    assert len(table) == qr.BUCKETS
+    share = lambda counts, b: np.log((counts[b] + 1) / (counts.total() + qr.BUCKETS))
+    assert all(table[b] == pytest.approx(share(target, b) - share(raw, b)) for b in table)
     for k, r in found.items():
         grams = [*hashed[k].u, *hashed[k].v]
         assert r.log_ratio == pytest.approx(sum(table[g] for g in grams) / len(grams))

@@ -37,7 +37,7 @@ from undulo.llm.common import Tables, small_batches, small_side
 from undulo.llm.components import components
 
 LIMIT, CODE_BITS, SIGMAS, MISS = 0.98, 256, 5.0, 1e-4
-#: Classes in a bucket about, classes of a chunk at most, classes that are counted, rows that go to a task's group of blocks about.
+#: Classes in a bucket about, classes of a chunk at most, classes that are counted, rows that go to a task's group of blocks about (of rows with vectors, a 32nd).
 BUCKET, CHUNK, COUNTED, GROUP = 64, 1024, 2_000_000, 8192
 
 
@@ -252,20 +252,20 @@ def _near_vectors(rows: DataFrame, out_key: str, limit: float, exact: bool) -> D
         zero = F.lit(0).cast("int")
         placed = placed.withColumn("chunk", zero).withColumn("i", zero).withColumn("j", zero)
 
-    def parts(n: int):
-        return F.pmod(F.xxhash64("label", "table", "key", "i", "j"), F.lit(max(1, n // GROUP))).cast("int").alias("part")
+    def parts(n: int, group: int):
+        return F.pmod(F.xxhash64("label", "table", "key", "i", "j"), F.lit(max(1, n // group))).cast("int").alias("part")
 
     names = ["node", "label", "dimensions", "table", "key", "chunk", "i", "j"]
     kinds = "node long, label long, dimensions int, table int, key long, chunk int, i int, j int"
     if exact:
         few = tables.stored(placed.select(names), "candidates")
     else:
-        blocks = placed.select(*names, "code", parts(n_classes * n_tables)).groupBy("dimensions", "part")
+        blocks = placed.select(*names, "code", parts(n_classes * n_tables, GROUP)).groupBy("dimensions", "part")
         few = tables.stored(blocks.applyInArrow(lambda t: candidates(t, bits, n_tables, limit), kinds), "candidates")
     n_few = few.count()
     # here the label itself parts a block, so that no hash can link two
     whole = few.join(classes.select("node", "n", "vector", F.col("label").alias("own")).hint("merge"), "node").join(coded.select("node", "code", "factor").hint("merge"), "node")
-    blocks = whole.select(*names, "own", "n", "vector", "code", "factor", parts(n_few)).groupBy("dimensions", "own", "part")
+    blocks = whole.select(*names, "own", "n", "vector", "code", "factor", parts(n_few, GROUP // 32)).groupBy("dimensions", "own", "part")
     found = tables.stored(blocks.applyInArrow(lambda t: compare(t, bits, n_tables, limit, exact), "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "a", "b", lambda df: tables.stored(df, "roots"))

@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from undulo.llm.common import Tables, hold, release, small_side
 
 SHARDS, SEED = 40, 20_240_229
-#: Bytes of records that a bucket holds about; cells of the hash in which records are counted first, two to the power of; buckets whose counts are summed
+#: Bytes of records that a bucket holds about, and a task at most about; cells of the hash in which records are counted first, two to the power of; buckets whose counts are summed
 #: together; copies of a record that may share a bucket.
-BUCKET_BYTES, CELL_BITS, SPAN, COPIES = 4 << 20, 16, 4096, 1000
+BUCKET_BYTES, TASK_BYTES, CELL_BITS, SPAN, COPIES = 4 << 20, 64 << 20, 16, 4096, 1000
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -95,7 +95,8 @@ def with_places(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTE
     spans = counts.groupBy("span").agg(F.sum("n").alias("n")).select("span", sums(Window.orderBy("span")).alias("before"))
     start = counts.select("span", "bucket", sums(Window.partitionBy("span").orderBy("bucket")).alias("inside")).join(spans, "span")
     start = tables.stored(start.select("bucket", (F.col("before") + F.col("inside")).alias("place")), "starts")
-    rows = dealt.withColumn("bucket", bucket(F.col("deal"), 64)).repartition("bucket").join(small_side(start, start.count()), "bucket")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // TASK_BYTES)
+    rows = dealt.withColumn("bucket", bucket(F.col("deal"), 64)).repartition(parts, "bucket").join(small_side(start, start.count()), "bucket")
     rows = rows.select("held", "place", "deal", "bucket")
     tables.keep("starts", "often", "copies")
 

@@ -35,16 +35,16 @@ VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embeddin
 
 
 def _licenses() -> str:
-    """Words stand between two spaces each, so that hits in a row share none; a hit takes one on either side."""
+    """Words stand between two spaces each, so that hits in a row share none; a hit takes one on either side and gets a mark before and behind it."""
     rules = ",\n".join(f"('{key}', ' (?:{pattern[6:-5].replace(' ', '  ')}) ', '{label}', {level}, {place}, {sure})" for key, pattern, label, level, place, sure in license_scan.rules())
     longest = " WHEN ".join(f"array_to_string(w[i + 1:i + {phrase.count(' ') + 1}], ' ') = '{phrase}' THEN '{label}'" for phrase, label in license_scan.BASE.items())
     return rf"""WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) || ' ' AS x FROM documents),
     d AS (SELECT doc_id, x, replace(x, ' ', '  ') AS y, regexp_extract_all(x, '[^ ]+') AS w FROM t),
     rules(keyword, pattern, label, level, place, sure) AS (VALUES {rules}),
-    f AS (SELECT doc_id, level, place, label, sure, string_split_regex(y, pattern) AS gaps, regexp_extract_all(y, pattern) AS found FROM d JOIN rules ON contains(x, keyword) AND regexp_matches(y, pattern)),
-    n AS (SELECT doc_id, level, place, label, sure, unnest(range(1, len(found) + 1)) AS k, list_transform(gaps, lambda g: len(regexp_extract_all(g, '[^ ]+'))) AS between,
-        list_transform(found, lambda g: len(regexp_extract_all(g, '[^ ]+'))) AS inside FROM f),
-    h AS (SELECT *, list_sum(between[1:k]) + coalesce(list_sum(inside[1:k - 1]), 0) AS s, list_sum(between[1:k]) + list_sum(inside[1:k]) AS e FROM n),
+    f AS MATERIALIZED (SELECT doc_id, level, place, label, sure, regexp_extract_all(regexp_replace(y, pattern, chr(1) || '\0' || chr(2), 'g'), '[^ ]+') AS w FROM d JOIN rules ON contains(x, keyword)),
+    p AS (SELECT *, list_filter(range(len(w)), lambda i: w[i + 1] = chr(1)) AS opened, list_filter(range(len(w)), lambda i: w[i + 1] = chr(2)) AS closed FROM f),
+    h AS MATERIALIZED (SELECT doc_id, level, place, label, sure, unnest(list_transform(range(len(opened)), lambda k: opened[k + 1] - 2 * k)) AS s,
+        unnest(list_transform(range(len(closed)), lambda k: closed[k + 1] - 2 * k - 1)) AS e FROM p),
     kept AS (SELECT doc_id, label, sure FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.s <= h.s AND o.e >= h.e
         AND (o.level < h.level OR (o.level = h.level AND (o.e - o.s > h.e - h.s OR (o.e - o.s = h.e - h.s AND o.place < h.place)))))),
     b AS (SELECT doc_id, i, CASE WHEN {longest} END AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d) WHERE label IS NOT NULL),
