@@ -8,7 +8,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 SF_DIR, CPUS = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["hist_chars", "wt_levels_chars", "wm_levels_chars", "wt_levels_bytes", "wt_levels_users", "wt_nodes_users", "wt_merge_nodes_users", "wm_decode_events", "dsplit_targets"]
+HEADLINE = ["hist_chars", "wt_levels_chars", "wm_levels_chars", "wt_levels_bytes", "wt_levels_users", "wt_nodes_users", "wt_merge_nodes_users", "wm_decode_events", "export_matrix_chars", "verify_stored_bytes", "dsplit_targets"]
 
 
 def main() -> None:
@@ -25,9 +25,9 @@ def main() -> None:
         began = time.time()
         QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
-    shape = Text(spark, SF_DIR, "chars").shape()
-    rate = {kind: round(shape.n * shape.height / took[f"{kind}_levels_chars"]) for kind in ("wt", "wm")}
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "symbols": shape.n, "levels": shape.height, "symbol_levels_per_second": rate, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
+    names = Text(spark, SF_DIR, "chars").alphabet
+    rate = {kind: round(names.n * names.height / took[f"{kind}_levels_chars"]) for kind in ("wt", "wm")}
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "symbols": names.n, "levels": names.height, "symbol_levels_per_second": rate, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
 
 
 if __name__ == "__main__":
