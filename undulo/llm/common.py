@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a key table (16 to 40 bytes a row) up to which a join may broadcast it.
 BROADCAST_ROWS = 50_000
+#: The same where the other side carries texts, which a shuffle would move: 6 to 16 MB.
+TEXT_BROADCAST_ROWS = 400_000
 
 
 @cache
@@ -100,10 +102,10 @@ def without_gc():
         gc.enable()
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
+def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has ``rows`` rows, counted beforehand, within the bound; else for a sort-merge join, whose
     hot keys Spark splits."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+    return F.broadcast(df) if rows <= most else df.hint("merge")
 
 
 def hold(df: DataFrame, **columns: Column | str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import hold, release, settle, small_side, stored
+from undulo.llm.common import TEXT_BROADCAST_ROWS, hold, release, settle, small_side, stored
 
 BUCKETS, SMOOTH, WINDOW = 16_384, 1.0, 8
 #: A document whose mean log ratio is below is rejected.
@@ -46,7 +46,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str = "text") ->
     spark = docs.sparkSession
     trusted = trusted.select(F.col(key).alias("trusted_key")).filter("trusted_key is not null").distinct()
     rows = docs.select(F.col(key).alias("trusted_key"), F.col(text).alias("text"))
-    rows = rows.join(small_side(trusted.withColumn("hit", F.lit(1)), trusted.count()), "trusted_key", "left")
+    rows = rows.join(small_side(trusted.withColumn("hit", F.lit(1)), trusted.count(), TEXT_BROADCAST_ROWS), "trusted_key", "left")
     grams = rows.select(F.coalesce("hit", F.lit(0)).alias("hit"), _hashes("text").alias("hashes"))
     grams = grams.select("hit", F.explode(_buckets(F.col("hashes"))).alias("bucket"))
     counts = stored(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("target")), "ratios")

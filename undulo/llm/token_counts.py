@@ -7,7 +7,7 @@ in the shared folder or at a path given, a subfolder for each tokenizer version,
 The registered query takes a fresh cache, so that each of its runs encodes every distinct text.
 
 Texts go through no shuffle as long as the keys that need no encoding in a row (cached ones, and repeated
-ones outside their first row) fit a broadcast; their number is checked, and beyond ``BROADCAST_ROWS`` texts are shuffled once, by content and
+ones outside their first row) fit a broadcast; their number is checked, and beyond ``TEXT_BROADCAST_ROWS`` texts are shuffled once, by content and
 key, so that copies of a text don't meet. A null text counts as empty: no tokens. Very long texts are encoded whole.
 Repeated rows keep their number. Only the key is passed on, so other columns, whatever their names, change nothing.
 """
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import BROADCAST_ROWS, Tables, scratch, small_batches, without_gc
+from undulo.llm.common import TEXT_BROADCAST_ROWS, Tables, scratch, small_batches, without_gc
 
 #: Distinct parts of texts whose counts a Python worker keeps.
 CACHE_PARTS = 200_000
@@ -136,7 +136,7 @@ def _with_token_counts(df: DataFrame, path: str, key: str, text: str, cache: str
     state = tables.stored(groups.join(counts().withColumnRenamed("n_tokens", "known"), "content", "left"), "state")
     skip = state.filter("n > 1 or known is not null")
     n_skip = skip.count()
-    if n_skip <= BROADCAST_ROWS:
+    if n_skip <= TEXT_BROADCAST_ROWS:
         todo = keyed.join(F.broadcast(skip.select("content", "first_key", "known")), "content", "left")
         todo = todo.filter("known is null and (first_key is null or first_key <=> row_key)").select("content", "whole")
     else:
