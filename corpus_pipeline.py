@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undulo.llm import minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
-from undulo.llm.common import hold, release, small_batches, small_side, stored
+from undulo.llm.common import TEXT_BROADCAST_ROWS, hold, release, small_batches, small_side, stored
 
 
 def _with_row_ids(docs: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def minhash_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     rows = _with_row_ids(docs)
     found = minhash_dedup.near_duplicates(rows, "row_id")
     gone = stored(found.filter("not kept").select("row_id"), "duplicates")
-    return rows.join(small_side(gone, gone.count()), "row_id", "left_anti").select("held.*")
+    return rows.join(small_side(gone, gone.count(), TEXT_BROADCAST_ROWS), "row_id", "left_anti").select("held.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     drawn = mixing.with_blocks(mixing.mix(rows, "row_id")).withColumnRenamed("key", "row_id")
     drawn = stored(drawn, "drawn")
     n = drawn.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("drawn")), F.lit(0)).alias("pieces")).first()
-    rows = rows.join(small_side(drawn, n.rows + n.pieces // 8), "row_id")
+    rows = rows.join(small_side(drawn, n.rows + n.pieces // 8, TEXT_BROADCAST_ROWS), "row_id")
     rows = rows.select(F.col("held").dropFields("text").alias("held"), "drawn", "text", "lead")
     rows = rows.select("held", F.inline(F.array(F.struct("drawn", mixing.cut(F.col("text"), F.col("lead")).alias("cuts")))))
     rows = rows.select("held", F.explode(mixing.copies(F.col("cuts"), F.col("drawn"))).alias("piece")).filter("piece != ''")
