@@ -3,7 +3,8 @@
 On level l of h, a tree orders symbols by their first l bits, then by position, a matrix by those bits in reverse; the bit stored
 is the next one. So each level follows from (pos, code) alone, and where a chunk's symbols go in every node from how often each code stood before the chunk. Chunks
 carry that for their range, a row for each range has it for the ranges before, and one pass over the chunks, which move nowhere, emits words of 64 bits: level by level, a chunk's
-codes are parted by node, stably, and the bits of each node packed from where they start. Only words at the edges of runs come from several chunks; they are put together by OR.
+codes are parted by node, stably, and the bits of each node packed from where they start. Words travel in runs, a row a run, to their block of ``BLOCK`` words, and are put together there by OR:
+those at the edges of runs come from several chunks.
 
 Alphabets of more than ``LARGEST`` symbols go another way: (level, node, position, bit) of all symbols are sorted by ranges, and words packed in that order.
 """
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 
 from undulo.functions.bits import bitrev, level_bit, node_of
 from undulo.plans.alphabet import Alphabet, carries_counts, effective_text, node_sizes, node_starts, part_counts, reversed_prefixes
-from undulo.sources.scratch import small_side, stored
+from undulo.sources.scratch import small_side, stored, tasks_for
 from undulo.sources.text import counted, symbols_of, unpack, with_starts
 
 TREE, MATRIX, NODES = "tree", "matrix", "nodes"
 #: Counts of symbols before ranges that are broadcast at most.
 MOST_COUNTS = 2_000_000
+#: Words that are put together at once.
+BLOCK = 1 << 13
 
 
 def _key(kind: str) -> tuple[str, str, pa.DataType]:
@@ -85,15 +88,73 @@ def levels_of(code: np.ndarray, height: int, matrix: bool) -> Iterator[tuple[int
             order = order[np.argsort(key.astype(np.uint8) if level < 8 else key, kind="stable")]
 
 
+def in_runs(keys: np.ndarray, index: np.ndarray, word: np.ndarray, key: str, key_type: pa.DataType, block: int) -> pa.RecordBatch:
+    """(key, block, at, words): words in the order of their key and index as rows of their runs, which end with their block."""
+    new = (keys[1:] != keys[:-1]) | (index[1:] != index[:-1] + 1) | (index[1:] % block == 0)
+    first = np.flatnonzero(np.r_[True, new])
+    ends = np.r_[first * 8, len(word) * 8].astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(word.astype("<i8"))])
+    return pa.RecordBatch.from_arrays([pa.array(keys[first], key_type), pa.array(index[first] // block), pa.array((index[first] % block).astype(np.int32)), words], [key, "block", "at", "words"])
+
+
+def put_together(table: pa.Table, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a block, and where in it they stand, from its runs in any order."""
+    runs = table["words"].combine_chunks().cast(pa.binary())
+    _, offsets, data = runs.buffers()
+    ends = np.frombuffer(offsets, np.int32)[runs.offset : runs.offset + len(runs) + 1] // 8
+    words, sizes = np.frombuffer(data, "<i8", int(ends[-1]))[ends[0] :], np.diff(ends)
+    place = np.repeat(table["at"].to_numpy() - (ends[:-1] - ends[0]), sizes) + np.arange(len(words))
+    out, filled = np.zeros(block, np.int64), np.zeros(block, bool)
+    np.bitwise_or.at(out, place, words)
+    filled[place] = True
+    return out[filled], np.flatnonzero(filled)
+
+
 def build(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
     """(level, word_idx, word) of a tree or matrix, or (node_id, word_idx, word) of a tree by nodes; bits after the end are 0."""
-    height, matrix = alphabet.height, kind == MATRIX
+    height = alphabet.height
     key, key_kind, key_type = _key(kind)
-    spark = alphabet.table.sparkSession
     if not height or not alphabet.n:
-        return spark.createDataFrame([], f"{key} {key_kind}, word_idx long, word long")
+        return alphabet.table.sparkSession.createDataFrame([], f"{key} {key_kind}, word_idx long, word long")
     if alphabet.counts is None or not carries_counts(chunks):
         return build_sorted(effective_text(unpack(chunks), alphabet), height, kind)
+    block = BLOCK
+
+    def run(table: pa.Table) -> pa.Table:  # one block of a key
+        word, place = put_together(table, block)
+        own = pa.array(np.full(len(word), table[key][0].as_py()), key_type)
+        return pa.table({key: own, "word_idx": table["block"][0].as_py() * block + place, "word": word})
+
+    return _runs_by_block(chunks, alphabet, kind).applyInArrow(run, f"{key} {key_kind}, word_idx long, word long")
+
+
+def build_blocks(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
+    """(key, block, words): ``build`` with a row for each block of ``BLOCK`` words, which has the words of its place from its first on in little-endian bytes."""
+    key, key_kind, key_type = _key(kind)
+    schema, block = f"{key} {key_kind}, block long, words binary", BLOCK
+    if not alphabet.height or not alphabet.n:
+        return alphabet.table.sparkSession.createDataFrame([], schema)
+    if alphabet.counts is None or not carries_counts(chunks):
+        words = build(chunks, alphabet, kind)
+        parts = words.groupBy(key, F.expr(f"word_idx div {block}").alias("block"))
+
+        def join(table: pa.Table) -> pa.Table:  # one block of a key
+            word = table["word"].to_numpy()[np.argsort(table["word_idx"].to_numpy())]
+            return pa.table({key: table[key].slice(0, 1), "block": [table["word_idx"][0].as_py() // block], "words": [word.astype("<i8").tobytes()]})
+
+        return parts.applyInArrow(join, schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        word, _ = put_together(table, block)
+        return pa.table({key: table[key].slice(0, 1), "block": table["block"].slice(0, 1), "words": pa.array([word.astype("<i8").tobytes()], pa.binary())})
+
+    return _runs_by_block(chunks, alphabet, kind).applyInArrow(run, schema)
+
+
+def _runs_by_block(chunks: DataFrame, alphabet: Alphabet, kind: str):
+    """The runs of words of all chunks, grouped by key and block."""
+    height, matrix, block = alphabet.height, kind == MATRIX, BLOCK
+    key, key_kind, key_type = _key(kind)
     symbols = np.array(alphabet.symbols, np.int64)
     code_of = _coder(symbols)
     starts = [np.zeros(1 << level, np.int64) if kind == NODES else alphabet.starts(level, matrix) for level in range(height)]
@@ -115,13 +176,14 @@ def build(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
                     keys.append((1 << level) + nodes[which] if kind == NODES else np.full(len(which), level))
                     words.append(index)
                     values.append(word)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), key_type), pa.array(np.concatenate(words)), pa.array(np.concatenate(values))], [key, "word_idx", "word"])
+                yield in_runs(np.concatenate(keys), np.concatenate(words), np.concatenate(values), key, key_type, block)
 
     earlier, n_parts = counts_before(chunks)
     earlier = F.broadcast(earlier) if n_parts * alphabet.sigma <= MOST_COUNTS else earlier.hint("merge")
     rows = chunks.join(earlier, "part", "left").select("width", "symbols", "seen", "upto", "raws", "earlier")
-    parts = rows.mapInArrow(run, f"{key} {key_kind}, word_idx long, word long")
-    return parts.groupBy(key, "word_idx").agg(F.bit_or("word").alias("word"))
+    runs = rows.mapInArrow(run, f"{key} {key_kind}, block long, at int, words binary")
+    tasks = tasks_for(chunks.sparkSession, alphabet.n * height // 8)
+    return runs.repartition(tasks, key, "block").groupBy(key, "block")
 
 
 def shifted(words: DataFrame, key: str, places: Column) -> DataFrame:

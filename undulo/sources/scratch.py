@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a key table up to which a join may broadcast it.
 BROADCAST_ROWS = 50_000
+#: Bytes that a task sorts about, and those below which a further task doesn't pay.
+TASK_BYTES, LEAST_BYTES = 1 << 24, 1 << 20
 
 
 @cache
@@ -43,3 +45,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has ``rows`` rows, known beforehand, within the bound; else for a sort-merge join, whose hot keys Spark splits."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+def tasks_for(spark: SparkSession, size: int) -> int:
+    """Tasks for so many bytes: each takes ``TASK_BYTES`` at most about, however many there are; few bytes are dealt to the cores."""
+    return max(1, -(-size // TASK_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
