@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undulo.functions.running import with_positions
-from undulo.sources.scratch import stored
+from undulo.sources.scratch import stored, tasks_for
 
 WIDTHS = (1, 2, 4, 5)
 CHUNK, COUNTED = 1 << 18, 1 << 16
-#: Bytes of a file that a task reads about.
-RANGE = 1 << 26
+#: Bytes of a file that a task reads about, and bytes of strings that are turned into symbols at once.
+RANGE, PIECE = 1 << 26, 1 << 20
+#: Symbols of a batch that a chunk is unpacked to.
+ROWS = 1 << 16
 CHUNKS = "part long, inside long, width int, symbols binary, seen array<long>, upto array<long>"
 
 
@@ -74,11 +76,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["part", "inside", "width", "symbols", "seen", "upto"])
 
 
-def _joined(column: pa.Array) -> bytes:
-    """The strings of an Arrow column in a row."""
-    _, offsets, data = column.cast(pa.string()).buffers()
+def _joined(column: pa.Array) -> Iterator[bytes]:
+    """The strings of an Arrow column in a row, in pieces of ``PIECE`` bytes about, cut between strings."""
+    column = column.cast(pa.string())
+    _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return b"" if data is None else data[int(ends[0]) : int(ends[-1])].to_pybytes()
+    at = 0
+    while data is not None and at < len(column):
+        upto = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + PIECE, "right")) - 1)
+        yield data[int(ends[at]) : int(ends[upto])].to_pybytes()
+        at = upto
+
+
+def _tasks(rows: DataFrame, value: str, unit: str) -> int:
+    """Tasks that pack rows: by their number for symbols, which takes no reading where the source knows it, by the bytes of strings."""
+    spark = rows.sparkSession
+    if unit == "int":
+        return tasks_for(spark, 32 * rows.count())
+    return tasks_for(spark, rows.agg(F.sum(F.octet_length(value) + 32)).first()[0] or 0)
 
 
 def pack(rows: DataFrame, order: list[str], value: str, unit: str) -> DataFrame:
@@ -86,24 +101,22 @@ def pack(rows: DataFrame, order: list[str], value: str, unit: str) -> DataFrame:
 
     size = CHUNK
 
+    def coded(data: bytes) -> np.ndarray:
+        return np.frombuffer(data.decode().encode("utf-32-le"), "<u4") if unit == "char" else np.frombuffer(data, np.uint8)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = None
         for b in batches:
             if not len(b):
                 continue
             packer = packer or Packer(b["part"][0].as_py(), size)
-            if unit == "int":
-                symbols = b["value"].to_numpy()
-            elif unit == "char":
-                symbols = np.frombuffer(_joined(b["value"]).decode().encode("utf-32-le"), "<u4")
-            else:
-                symbols = np.frombuffer(_joined(b["value"]), np.uint8)
-            for chunk in packer.add(symbols):
-                yield _batch([chunk])
+            for symbols in [b["value"].to_numpy()] if unit == "int" else map(coded, _joined(b["value"])):
+                for chunk in packer.add(symbols):
+                    yield _batch([chunk])
         if packer and packer.size:
             yield _batch(list(packer.add(np.empty(0, np.uint8) if unit == "byte" else np.empty(0, np.uint32) if unit == "char" else np.empty(0, np.int64), True)))
 
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(_tasks(rows, value, unit), *order).sortWithinPartitions(*order)
     return stored(rows.select(F.spark_partition_id().cast("long").alias("part"), F.col(value).alias("value")).mapInArrow(run, CHUNKS), "chunks")
 
 
@@ -209,9 +222,10 @@ def unpack(chunks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, width, data in zip(*(b[c].to_pylist() for c in ("start", "width", "symbols")), strict=True):
-                raw = symbols_of(data, width).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(start + np.arange(len(raw))), pa.array(raw)], ["pos", "raw"])
+            for start, width, data in zip(*(b[c] for c in ("start", "width", "symbols")), strict=True):  # one chunk at a time, not copied
+                raw = symbols_of(data.as_buffer(), width.as_py()).astype(np.int64)
+                for k in range(0, len(raw), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(start.as_py() + np.arange(k, min(k + ROWS, len(raw)))), pa.array(raw[k : k + ROWS])], ["pos", "raw"])
 
     chunks = chunks if "start" in chunks.columns else with_starts(chunks)
     return chunks.select("start", "width", "symbols").mapInArrow(run, "pos long, raw long")
