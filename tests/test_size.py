@@ -6,7 +6,7 @@ import pyarrow as pa
 from test_plans import exchanges, plan_of
 from undulo.operators import build as B
 from undulo.plans.queries import Text
-from undulo.sources import scratch
+from undulo.sources import scratch, store
 from undulo.sources import text as T
 
 
@@ -50,3 +50,42 @@ def test_packing_takes_more_tasks_for_more_text(spark, sf_dir, monkeypatch):
     assert T._tasks(docs, "text", "char") == -(-size // (1 << 14)) > 4
     chunks = T.from_strings(docs, "text", "doc_id")
     assert chunks.select("part").distinct().count() > 4
+
+
+def test_words_of_chunks_share_their_edges(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for size in (3, 13, 64):
+        monkeypatch.setattr(T, "CHUNK", size)
+        raw = rng.integers(0, 256, 301)
+        text = spark.createDataFrame([(k, int(r)) for k, r in enumerate(raw)], "pos long, raw long")
+        chunks = T.pack(text, ["pos"], "raw", "int")
+        df = T.in_words(chunks)
+        got = {r.word_idx: r.word for r in df.collect()}
+        padded = np.r_[raw, np.zeros(3, np.int64)].astype(np.uint8)
+        assert got == dict(enumerate(padded.view("<i8").tolist())) and df.count() == len(got)
+        assert all(keys.startswith(("word_idx", "part")) for keys in exchanges(plan_of(df)))
+
+
+def test_chunks_are_written_without_a_shuffle_of_symbols(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "CHUNK", 7)
+    raw = [int(x) for x in np.random.default_rng(6).integers(0, 70_000, 500)]
+    text = spark.createDataFrame(list(enumerate(raw)), "pos long, raw long")
+    chunks = T.pack(text, ["pos"], "raw", "int")
+    n = store.export_chunks(chunks, 4, str(tmp_path / "out" / "text"), "txt")
+    files = sorted((tmp_path / "out").glob("text*.txt"))
+    assert len(files) == n and b"".join(f.read_bytes() for f in files) == np.array(raw, "<u4").tobytes()
+
+
+def test_exported_blocks_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 2)
+    monkeypatch.setattr(scratch, "TASK_BYTES", 200)
+    from test_wavelet import CASES, text_of
+
+    text, names = text_of(spark, CASES["nine"])
+    chunks = T.pack(text, ["pos"], "raw", "int")
+    for kind, key in ((B.MATRIX, "level"), (B.NODES, "node_id")):
+        path = str(tmp_path / kind / "index")
+        assert store.export_blocks(B.build_blocks(chunks, names, kind), path) > 1
+        read = store.read_words(spark, path, key)
+        assert read.rdd.getNumPartitions() > 1
+        assert sorted(read.collect()) == sorted(B.build(chunks, names, kind).collect())

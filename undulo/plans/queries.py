@@ -73,13 +73,13 @@ class Text:
     def codes(self) -> DataFrame:
         return A.effective_text(self.symbols(), self.alphabet) if self.packed else T.unpack(self.chunks).withColumnRenamed("raw", "code")
 
-    def build(self, kind: str) -> DataFrame:
+    def build(self, kind: str, form: Callable[..., DataFrame] = B.build) -> DataFrame:
         alphabet = self.alphabet
         if not self.packed and alphabet.symbols is not None:
             alphabet = replace(alphabet, symbols=list(range(alphabet.sigma)))
         elif not self.packed:
             alphabet = replace(alphabet, table=alphabet.table.withColumn("raw", F.col("code")))
-        return B.build(self.chunks, alphabet, kind)
+        return form(self.chunks, alphabet, kind)
 
     def decode(self, words: DataFrame, kind: str) -> DataFrame:
         return D.decode(words, self.alphabet.n, self.alphabet.height, kind)
@@ -319,7 +319,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
 
     def exported(t: Text, kind: str) -> DataFrame:
         path = f"{fresh(t.spark, 'export')}/index"
-        store.export_words(t.build(kind), path)
+        store.export_blocks(t.build(kind, B.build_blocks), path)
         return store.read_words(t.spark, path, "node_id" if kind == B.NODES else "level")
 
     add("export_levels_users", lambda t: exported(t, B.TREE), "users", sql["wt_levels_users"])
@@ -340,7 +340,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     def binary(t: Text) -> DataFrame:
         """The bytes of documents in a binary file, a file for each range, read as a text."""
         path = f"{fresh(t.spark, 'bytes')}/text"
-        store.export(t.symbols(), ["pos"], "raw", 1, path, store.TEXT)
+        store.export_chunks(t.chunks, 1, path, store.TEXT)
         return T.from_binary(t.spark, f"{path}*.{store.TEXT}")
 
     add("binary_hist", lambda t: A.packed_histogram(binary(t)), "bytes", sql["hist_bytes"])
@@ -350,7 +350,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
         chunks = binary(t)
         names = A.effective_alphabet(A.packed_histogram(chunks))
         path = f"{fresh(t.spark, 'export')}/index"
-        store.export_words(B.build(chunks, names), path)
+        store.export_blocks(B.build_blocks(chunks, names), path)
         return D.verify(store.read_words(t.spark, path, "level"), A.effective_text(T.unpack(chunks), names), names.n, names.height)
 
     add("verify_stored_bytes", verified, "bytes", "SELECT 0::BIGINT AS differences")
@@ -375,8 +375,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
 
     def packed_symbols(t: Text) -> DataFrame:
         """Eight one-byte symbols in a word, the first in its lowest byte."""
-        byte = F.call_function("shiftleft", F.col("raw"), (F.col("pos") % 8 * 8).cast("int"))
-        return t.symbols().groupBy(F.expr("pos div 8").alias("word_idx")).agg(F.bit_or(byte).alias("word"))
+        return T.in_words(t.chunks)
 
     def unpacked_symbols(t: Text) -> DataFrame:
         rows = packed_symbols(t).select("word_idx", "word", F.explode(F.expr("sequence(0, 7)")).alias("k"))

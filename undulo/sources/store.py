@@ -14,9 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undulo.sources.text import RANGE, file_system
+from undulo.sources.scratch import stored, tasks_for
+from undulo.sources.text import RANGE, file_system, symbols_of, with_starts
 
 LEVEL, NODE, HISTOGRAM, ZEROS, TEXT = "lv_{}", "node_{}", "hist", "z", "txt"
+#: Words that are read at once.
+WORDS = 1 << 16
 
 
 def write_index(path: str, words: DataFrame, hist: DataFrame, z: DataFrame | None = None) -> None:
@@ -47,43 +50,100 @@ def _packed(values: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
+class Files:
+    """Files of a task, one after another. A file is written beside its place and then moved there, so that a task may run again."""
+
+    def __init__(self) -> None:
+        self.token, self.path, self.done = uuid.uuid4().hex, None, []
+
+    def open(self, path: str) -> None:
+        self.close()
+        self.path = path
+        self.store, self.name = file_system(path)
+        self.out = self.store.open_output_stream(f"{self.name}.{self.token}")
+
+    def close(self) -> None:
+        if self.path:
+            self.out.close()
+            self.store.move(f"{self.name}.{self.token}", self.name)
+            self.done.append(self.name)
+        self.path = None
+
+    def rows(self) -> pa.RecordBatch:
+        self.close()
+        return pa.RecordBatch.from_arrays([pa.array(self.done, pa.string())], ["file"])
+
+
+def _create_folder_of(path: str) -> None:
+    store, folder = file_system(path.rsplit("/", 1)[0])
+    store.create_dir(folder)
+
+
 def export(rows: DataFrame, order: list[str], value: str, width: int, path: str, extension: str, key: str | None = None) -> int:
-    """Writes a column in an order as binary files, for each value of ``key`` its own, whose number takes the place of {} in the extension. Returns the number of files.
-    A file is written beside its place and then moved there, so that a task may run again."""
+    """Writes a column in an order as binary files, for each value of ``key`` its own, whose number takes the place of {} in the extension. Returns the number of files."""
     keys = [key] if key else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, done = None, None, []
-
-        def close() -> None:
-            out.close()
-            store.move(f"{name}.{token}", name)
-            done.append(name)
-
-        token = uuid.uuid4().hex
+        files = Files()
         for b in batches:
             values = b["value"].to_numpy()
             of = b["key"].to_numpy()
             for rows_ in np.split(np.arange(len(of)), np.flatnonzero(of[1:] != of[:-1]) + 1):
                 if not len(rows_):
                     continue
-                store, target = file_system(f"{path}{b['part'][0].as_py():04}.{extension.format(of[rows_[0]])}")
-                if target != name:
-                    if out:
-                        close()
-                    name, out = target, store.open_output_stream(f"{target}.{token}")
-                out.write(_packed(values[rows_], width))
-        if out:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["file"])
+                name = f"{path}{b['part'][0].as_py():04}.{extension.format(of[rows_[0]])}"
+                if name != files.path:
+                    files.open(name)
+                files.out.write(_packed(values[rows_], width))
+        yield files.rows()
 
-    store, folder = file_system(path.rsplit("/", 1)[0])
-    store.create_dir(folder)
+    _create_folder_of(path)
     rows = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     number = F.col(key).cast("long") if key else F.lit(0).cast("long")
     return rows.select(F.spark_partition_id().alias("part"), number.alias("key"), F.col(value).cast("long").alias("value")).mapInArrow(run, "file string").count()
 
 
+def export_chunks(chunks: DataFrame, width: int, path: str, extension: str) -> int:
+    """Writes the symbols of chunks as binary files where the chunks are: a file for those that a task finds one after another, ``<path><position>.<extension>``. Returns
+    the number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, end = Files(), None
+        for b in batches:
+            for start, own, data in zip(b["start"].to_pylist(), b["width"].to_pylist(), b["symbols"], strict=True):
+                data = data.as_buffer()
+                if start != end:
+                    files.open(f"{path}{start:015}.{extension}")
+                files.out.write(data if own == width else _packed(symbols_of(data, own), width))
+                end = start + len(data) // own
+        yield files.rows()
+
+    _create_folder_of(path)
+    return with_starts(chunks).select("start", "width", "symbols").mapInArrow(run, "file string").count()
+
+
+def export_blocks(blocks: DataFrame, path: str) -> int:
+    """The words of levels or nodes from (key, block, words), in the files of ``export_words``."""
+    key = "node_id" if "node_id" in blocks.columns else "level"
+    extension, first = (LEVEL, 1) if key == "level" else (NODE, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files()
+        for b in batches:
+            for part, of, words in zip(b["part"].to_pylist(), b[key].to_pylist(), b["words"], strict=True):
+                name = f"{path}{part:04}.{extension.format(of + first)}"
+                if name != files.path:
+                    files.open(name)
+                files.out.write(words.as_buffer())
+        yield files.rows()
+
+    _create_folder_of(path)
+    blocks = stored(blocks, "blocks")  # ranges look at rows twice
+    size = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    rows = blocks.repartitionByRange(tasks_for(blocks.sparkSession, size), key, "block").sortWithinPartitions(key, "block")
+    return rows.select(F.spark_partition_id().alias("part"), key, "words").mapInArrow(run, "file string").count()
+
+
 def read_words(spark: SparkSession, path: str, key: str) -> DataFrame:
     """(key, word_idx, word) of the files that ``export`` wrote for all values of a key: level or node_id."""
     extension = (LEVEL if key == "level" else NODE).format("")
@@ -99,11 +159,14 @@ def read_words(spark: SparkSession, path: str, key: str) -> DataFrame:
                 store, name = file_system(r["path"])
                 with store.open_input_file(name) as f:
                     f.seek(8 * r["at"])
-                    words = np.frombuffer(f.read(8 * min(RANGE // 8, r["n"] - r["at"])), "<i8")
-                own = np.full(len(words), r["key"] - (key == "level"))  # files count levels from 1
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64() if kind == "long" else pa.int32()), pa.array(r["first"] + r["at"] + np.arange(len(words))), pa.array(words)], [key, "word_idx", "word"])
-
-    return ranges.repartition("path", "at").mapInArrow(run, f"{key} {kind}, word_idx long, word long")
+                    end = min(r["at"] + RANGE // 8, r["n"])
+                    for at in range(r["at"], end, WORDS):
+                        words = np.frombuffer(f.read(8 * min(WORDS, end - at)), "<i8")
+                        own = np.full(len(words), r["key"] - (key == "level"))  # files count levels from 1
+                        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64() if kind == "long" else pa.int32()), pa.array(r["first"] + at + np.arange(len(words))), pa.array(words)], [key, "word_idx", "word"])
+
+    tasks = tasks_for(spark, 8 * (files.agg(F.sum("n")).first()[0] or 0))
+    return ranges.repartitionByRange(tasks, "path", "at").mapInArrow(run, f"{key} {kind}, word_idx long, word long")
 
 
 def export_words(words: DataFrame, path: str) -> int:

@@ -175,7 +175,8 @@ def from_binary(spark: SparkSession, path: str, width: int = 1, prefix: int | No
     first = files.select("path").limit(1).collect()
     by_range = bool(first) and _reads_ranges(first[0].path)
     if by_range:
-        ranges = ranges.select("part", "path", "at", "bytes").repartition("part")
+        tasks = tasks_for(spark, ranges.agg(F.sum("bytes")).first()[0] or 0)
+        ranges = ranges.select("part", "path", "at", "bytes").repartitionByRange(tasks, "part")
     else:
         data = F.expr("substring(content, cast(at + 1 as int), cast(bytes as int))").alias("data")
         ranges = ranges.join(files.select("path", "content"), "path").select("part", "bytes", data)
@@ -229,3 +230,31 @@ def unpack(chunks: DataFrame) -> DataFrame:
 
     chunks = chunks if "start" in chunks.columns else with_starts(chunks)
     return chunks.select("start", "width", "symbols").mapInArrow(run, "pos long, raw long")
+
+
+def in_words(chunks: DataFrame) -> DataFrame:
+    """(word_idx, word): eight symbols of one byte in a word, the first in its lowest byte. Words that lie in a chunk are made where it is; only
+    the first and last bytes of chunks, whose words others share, are brought together."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, data in zip(b["start"].to_pylist(), b["symbols"], strict=True):
+                data, skip = data.as_buffer(), -start % 8
+                words = np.frombuffer(data, "<i8", max(0, len(data) - skip) // 8, min(skip, len(data)))
+                yield pa.RecordBatch.from_arrays([pa.array((start + skip) // 8 + np.arange(len(words))), pa.array(words)], ["word_idx", "word"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for start, n, head, tail in zip(*(b[c].to_pylist() for c in ("start", "n", "head", "tail")), strict=True):
+                if start % 8:
+                    out.append((start // 8, head[: 8 - start % 8].rjust(start % 8 + min(len(head), 8 - start % 8), b"\0")))
+                if (start + n) % 8 and (start + n) // 8 * 8 >= start:
+                    out.append(((start + n) // 8, tail[len(tail) - (start + n) % 8 :]))
+            words = [int.from_bytes(w.ljust(8, b"\0"), "little", signed=True) for _, w in out]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(words, pa.int64())], ["word_idx", "word"])
+
+    chunks = with_starts(chunks)
+    edges = chunks.select("start", size_of().alias("n"), F.substring("symbols", 1, 8).alias("head"), F.substring("symbols", -8, 8).alias("tail"))
+    edges = edges.mapInArrow(shared, "word_idx long, word long").groupBy("word_idx").agg(F.bit_or("word").alias("word"))
+    return chunks.select("start", "symbols").mapInArrow(whole, "word_idx long, word long").unionByName(edges)
