@@ -2,9 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from test_plans import exchanges, plan_of
 from undulo.operators import build as B
+from undulo.operators import decode as D
 from undulo.plans.queries import Text
 from undulo.sources import scratch, store
 from undulo.sources import text as T
@@ -89,3 +91,22 @@ def test_exported_blocks_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
         read = store.read_words(spark, path, key)
         assert read.rdd.getNumPartitions() > 1
         assert sorted(read.collect()) == sorted(B.build(chunks, names, kind).collect())
+
+
+def test_chunks_are_verified_without_a_broadcast_of_words(spark, monkeypatch):
+    monkeypatch.setattr(T, "CHUNK", 50)
+    monkeypatch.setattr(D, "CHUNK", 64)
+    from test_wavelet import CASES, text_of
+
+    raw = CASES["five"]
+    text, names = text_of(spark, raw)
+    chunks = T.pack(text, ["pos"], "raw", "int")
+    built = B.build(chunks, names)
+    right = D.verify_chunks(built, chunks, names)
+    assert "BroadcastHashJoin [level" not in plan_of(right) and plan_of(right).count("SortMergeJoin") >= 1
+    assert right.first().differences == 0
+    wrong = list(raw)
+    wrong[7], wrong[700], wrong[701] = (raw[7] + 1) % 5, 9, 9  # one symbol for another, and two that the alphabet lacks
+    other, _ = text_of(spark, wrong)
+    with pytest.raises(Exception, match="3 symbols differ"):
+        D.verify_chunks(built, T.pack(other, ["pos"], "raw", "int"), names).collect()

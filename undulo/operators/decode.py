@@ -2,11 +2,14 @@
 
 The text is decoded in chunks of positions. On every level, the bits of a chunk's symbols in a node are a run of places; a run's two
 ends, looked up by rank, give its children's runs on the next level. So the levels' words are met by a few ends of runs for each chunk, not by
-positions. Then each chunk gets the words of its runs, and a pass over them in numpy gives its codes. Levels are written once before they are read.
+positions. Then each chunk gets the words of its runs, and a pass over them in numpy gives its codes. Levels are written once before they are read. Joins with words
+are sort-merge joins: Spark takes rows that come of a few ends for small, and would send them to the driver to broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,7 +17,9 @@ from pyspark.sql import functions as F
 
 from undulo.functions.running import running_sum
 from undulo.operators.build import MATRIX, NODES, TREE, differences, z_from_words
-from undulo.sources.scratch import stored
+from undulo.plans.alphabet import Alphabet, effective_text
+from undulo.sources.scratch import stored, tasks_for
+from undulo.sources.text import symbols_of, unpack, with_starts
 
 CHUNK = 1 << 18
 
@@ -31,10 +36,10 @@ def _with_ranks(runs: DataFrame, words: DataFrame, key: str, points: list[str])
     looked = runs.select(*ids, key, F.explode(F.array(*[F.struct(F.lit(p).alias("name"), F.col(p).alias("at")) for p in points])).alias("x")).select(*ids, key, "x.*")
     # the end of a key may lie behind its last word: the rank there is that of the last bit, and the bit
     looked = looked.withColumn("word_idx", F.greatest(F.expr("(at - 1) div 64"), F.lit(0))).withColumn("bits", (F.col("at") - F.col("word_idx") * 64).cast("int"))
-    looked = looked.join(words, [key, "word_idx"])
+    looked = looked.join(words.hint("merge"), [key, "word_idx"])
     part = F.when(F.col("bits") == 0, F.lit(0)).otherwise(F.bit_count(F.call_function("shiftrightunsigned", F.col("word"), (F.lit(64) - F.col("bits")).cast("int"))))
     looked = looked.groupBy(*ids).agg(*[F.max(F.when(F.col("name") == p, F.col("before") + part)).alias(f"rank_{p}") for p in points])
-    return runs.join(looked, ids)
+    return runs.join(looked.hint("merge"), ids)
 
 
 def _runs(words: DataFrame, n: int, height: int, kind: str) -> list[DataFrame]:
@@ -68,10 +73,10 @@ def _runs(words: DataFrame, n: int, height: int, kind: str) -> list[DataFrame]:
     return out
 
 
-def _assemble(table: pa.Table) -> pa.Table:
+def _codes(table: pa.Table) -> np.ndarray:
     """The codes of one chunk from the words of its runs."""
     level, node, p, e, word_idx, word = (table[c].to_numpy() for c in ("depth", "node", "p", "e", "word_idx", "word"))
-    chunk, matrix = table["chunk"][0].as_py(), table["matrix"][0].as_py()
+    matrix = table["matrix"][0].as_py()
     order = codes = None
     for depth in range(int(level.max()) + 1):
         own = np.flatnonzero(level == depth)
@@ -86,7 +91,12 @@ def _assemble(table: pa.Table) -> pa.Table:
             order, codes = np.arange(len(bits)), np.zeros(len(bits), np.int64)
         codes[order] = codes[order] * 2 + bits
         order = np.concatenate([order[bits == 0], order[bits == 1]]) if matrix else np.argsort(codes, kind="stable")
-    return pa.table({"pos": chunk + np.arange(len(codes)), "code": codes})
+    return codes
+
+
+def _assemble(table: pa.Table) -> pa.Table:
+    codes = _codes(table)
+    return pa.table({"pos": table["chunk"][0].as_py() + np.arange(len(codes)), "code": codes})
 
 
 def decode(words: DataFrame, n: int, height: int, kind: str = TREE) -> DataFrame:
@@ -94,6 +104,11 @@ def decode(words: DataFrame, n: int, height: int, kind: str = TREE) -> DataFrame
     spark = words.sparkSession
     if not height or not n:
         return spark.range(n).select(F.col("id").alias("pos"), F.lit(0).cast("long").alias("code"))
+    return _words_by_chunk(words, n, height, kind).applyInArrow(_assemble, "pos long, code long")
+
+
+def _words_by_chunk(words: DataFrame, n: int, height: int, kind: str):
+    """The words of all runs, grouped by chunk."""
     key = "node_id" if kind == NODES else "level"
     words = ranked(words, key)
     whole = None
@@ -101,12 +116,53 @@ def decode(words: DataFrame, n: int, height: int, kind: str = TREE) -> DataFrame
         runs = runs.withColumn("depth", F.lit(depth))
         whole = runs if whole is None else whole.unionByName(runs)
     whole = whole.withColumn("word_idx", F.explode(F.expr("sequence(p div 64, (e - 1) div 64)")))
-    whole = whole.join(words.select(key, "word_idx", "word"), [key, "word_idx"]).withColumn("matrix", F.lit(kind == MATRIX))
-    return whole.select("chunk", "depth", "node", "p", "e", "word_idx", "word", "matrix").groupBy("chunk").applyInArrow(_assemble, "pos long, code long")
+    whole = whole.join(words.select(key, "word_idx", "word").hint("merge"), [key, "word_idx"]).withColumn("matrix", F.lit(kind == MATRIX))
+    whole = whole.select("chunk", "depth", "node", "p", "e", "word_idx", "word", "matrix")
+    return whole.repartition(tasks_for(words.sparkSession, n * height), "chunk").groupBy("chunk")  # a row a word, 64 bytes
 
 
 def verify(words: DataFrame, codes: DataFrame, n: int, height: int, kind: str = TREE) -> DataFrame:
     """(differences) between a text and what its index decodes to; any difference fails the query where it is evaluated."""
-    found = differences(codes, decode(words, n, height, kind), "code")
+    return _failing(differences(codes, decode(words, n, height, kind), "code"))
+
+
+def _failing(found: DataFrame) -> DataFrame:
     message = F.concat(F.col("differences").cast("string"), F.lit(" symbols differ"))
     return found.select(F.when(F.col("differences") > 0, F.raise_error(message).cast("long")).otherwise(F.col("differences")).alias("differences"))
+
+
+def verify_chunks(words: DataFrame, chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
+    """``verify`` of chunks of raw symbols: they meet what is decoded as packed codes, cut where its chunks are, not symbol by symbol."""
+    n, height, size = alphabet.n, alphabet.height, CHUNK
+    if not n or not height or alphabet.symbols is None:
+        return verify(words, effective_text(unpack(chunks), alphabet), n, height, kind)
+    symbols, form = np.array(alphabet.symbols, np.int64), "<i2" if height < 15 else "<i4"
+
+    def decoded(table: pa.Table) -> pa.Table:
+        return pa.table({"chunk": table["chunk"].slice(0, 1), "codes": pa.array([_codes(table).astype(form).tobytes()], pa.binary())})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, width, data in zip(b["start"].to_pylist(), b["width"].to_pylist(), b["symbols"], strict=True):
+                raw = symbols_of(data.as_buffer(), width).astype(np.int64)
+                code = np.minimum(np.searchsorted(symbols, raw), len(symbols) - 1)
+                code = np.where(symbols[code] == raw, code, -2).astype(form)  # one that the alphabet lacks differs from all
+                ends = np.r_[0, np.arange(size - start % size, len(raw), size), len(raw)]
+                at = start + ends[:-1]
+                pieces = pa.array([code[p:e].tobytes() for p, e in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(at // size * size), pa.array(at % size), pieces], ["chunk", "at", "codes"])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        both = np.full((2, size), -1, np.int64)
+        for row, table in enumerate((left, right)):
+            for k, codes in enumerate(table["codes"]):
+                codes, at = np.frombuffer(codes.as_buffer(), form), right["at"][k].as_py() if row else 0
+                both[row, at : at + len(codes)] = codes
+        return pa.table({"differences": [int((both[0] != both[1]).sum())]})
+
+    found = _words_by_chunk(words, n, height, kind).applyInArrow(decoded, "chunk long, codes binary")
+    own = with_starts(chunks).select("start", "width", "symbols").mapInArrow(cut, "chunk long, at long, codes binary")
+    tasks = tasks_for(words.sparkSession, 4 * n)
+    found, own = (x.repartition(tasks, "chunk").groupBy("chunk") for x in (found, own))
+    found = found.cogroup(own).applyInArrow(compare, "differences long")
+    return _failing(found.agg(F.coalesce(F.sum("differences"), F.lit(0)).alias("differences")))

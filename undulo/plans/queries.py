@@ -351,7 +351,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
         names = A.effective_alphabet(A.packed_histogram(chunks))
         path = f"{fresh(t.spark, 'export')}/index"
         store.export_blocks(B.build_blocks(chunks, names), path)
-        return D.verify(store.read_words(t.spark, path, "level"), A.effective_text(T.unpack(chunks), names), names.n, names.height)
+        return D.verify_chunks(store.read_words(t.spark, path, "level"), chunks, names)
 
     add("verify_stored_bytes", verified, "bytes", "SELECT 0::BIGINT AS differences")
     queries["file_sizes"] = lambda spark, sf_dir: spark.read.format("binaryFile").load(f"{sf_dir}/*.parquet").agg(F.count("*").alias("files"), F.min(F.col("length") > 0).alias("filled"))
