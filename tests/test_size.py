@@ -1,5 +1,7 @@
 """What must not grow with the input: the work of a task, what a worker holds, what is shuffled."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,6 +9,7 @@ import pytest
 from test_plans import exchanges, plan_of
 from undulo.operators import build as B
 from undulo.operators import decode as D
+from undulo.plans import alphabet as A
 from undulo.plans.queries import Text
 from undulo.sources import scratch, store
 from undulo.sources import text as T
@@ -110,3 +113,19 @@ def test_chunks_are_verified_without_a_broadcast_of_words(spark, monkeypatch):
     other, _ = text_of(spark, wrong)
     with pytest.raises(Exception, match="3 symbols differ"):
         D.verify_chunks(built, T.pack(other, ["pos"], "raw", "int"), names).collect()
+
+
+@pytest.mark.parametrize("kind", [B.TREE, B.MATRIX, B.NODES])
+def test_a_large_alphabet_is_sorted_by_more_tasks_for_more_bits(spark, sf_dir, monkeypatch, kind):
+    small = sorted(Text(spark, sf_dir, "users").build(kind).collect())
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1 << 11)
+    monkeypatch.setattr(A, "LARGEST", 0)
+    plans = {}
+    monkeypatch.setattr(B, "stored", lambda df, name: plans.setdefault(name, plan_of(df)) and scratch.stored(df, name))
+    t = Text(spark, sf_dir, "users")
+    built = t.build(kind)
+    bits = t.alphabet.n * t.alphabet.height
+    assert f", {-(-32 * bits // (1 << 11))}), REPARTITION_BY_NUM" in plans["packed-ranges"]  # not as few as shuffle partitions are set
+    assert "_raw" not in plans["codes"]  # chunks hold codes, which meet no alphabet again
+    assert re.search(r"hashpartitioning\((level|node_id)#\w+, word_idx#\w+, \d+\), REPARTITION_BY_NUM", plan_of(built))
+    assert sorted(built.collect()) == small

@@ -6,7 +6,8 @@ carry that for their range, a row for each range has it for the ranges before, a
 codes are parted by node, stably, and the bits of each node packed from where they start. Words travel in runs, a row a run, to their block of ``BLOCK`` words, and are put together there by OR:
 those at the edges of runs come from several chunks.
 
-Alphabets of more than ``LARGEST`` symbols go another way: (level, node, position, bit) of all symbols are sorted by ranges, and words packed in that order.
+Alphabets of more than ``LARGEST`` symbols go another way: (level, node, position, bit) of all symbols are sorted by ranges, whose number
+follows theirs, and words packed in that order.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ TREE, MATRIX, NODES = "tree", "matrix", "nodes"
 MOST_COUNTS = 2_000_000
 #: Words that are put together at once.
 BLOCK = 1 << 13
+#: Bytes of a bit, and of a word, that are sorted or put together one by one, about.
+BIT_BYTES, WORD_BYTES = 32, 64
 
 
 def _key(kind: str) -> tuple[str, str, pa.DataType]:
@@ -117,7 +120,8 @@ def build(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
     if not height or not alphabet.n:
         return alphabet.table.sparkSession.createDataFrame([], f"{key} {key_kind}, word_idx long, word long")
     if alphabet.counts is None or not carries_counts(chunks):
-        return build_sorted(effective_text(unpack(chunks), alphabet), height, kind)
+        codes = unpack(chunks).withColumnRenamed("raw", "code") if alphabet.coded else effective_text(unpack(chunks), alphabet)
+        return build_sorted(codes, height, kind, alphabet.n)
     block = BLOCK
 
     def run(table: pa.Table) -> pa.Table:  # one block of a key
@@ -186,8 +190,9 @@ def _runs_by_block(chunks: DataFrame, alphabet: Alphabet, kind: str):
     return runs.repartition(tasks, key, "block").groupBy(key, "block")
 
 
-def shifted(words: DataFrame, key: str, places: Column) -> DataFrame:
-    """(key, word_idx, word) of words moved on by a number of places each, put together by OR; ``_end`` is the place after a word's last bit, or a later one."""
+def shifted(words: DataFrame, key: str, places: Column, n: int) -> DataFrame:
+    """(key, word_idx, word) of words moved on by a number of places each, put together by OR; ``_end`` is the place after a word's last bit, or a later one.
+    ``n`` words about are dealt to tasks of a bounded size."""
     rows = words.withColumn("_at", places + F.col("word_idx") * 64)
     shift = (F.col("_at") % 64).cast("int")
     first = F.struct(F.expr("_at div 64").alias("word_idx"), F.call_function("shiftrightunsigned", "word", shift).alias("word"))
@@ -195,12 +200,14 @@ def shifted(words: DataFrame, key: str, places: Column) -> DataFrame:
     second = F.struct((F.expr("_at div 64") + 1).alias("word_idx"), F.when(shift > 0, rest).otherwise(F.lit(0).cast("long")).alias("word"))
     rows = rows.select(key, F.explode(F.when(shift > 0, F.array(first, second)).otherwise(F.array(first))).alias("w"), "_end")
     rows = rows.select(key, "w.*", "_end").filter("word_idx * 64 < _end")
+    rows = rows.repartition(tasks_for(rows.sparkSession, WORD_BYTES * n), key, "word_idx")
     return rows.groupBy(key, "word_idx").agg(F.bit_or("word").alias("word"))
 
 
-def words_in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(key, word_idx, word) of the bits of each key in an order. Ranges of the order are packed on their own; a key that goes over the end of a range is moved
-    on by what the ranges before hold of it."""
+def words_in_order(rows: DataFrame, key: str, order: list[str], n: int | None = None) -> DataFrame:
+    """(key, word_idx, word) of the bits of each key in an order; ``n``: their number, where it is known. Ranges of the order, as many as the bits take, are packed on
+    their own; a key that goes over the end of a range is moved on by what the ranges before hold of it."""
+    n = rows.count() if n is None else n
     kind = rows.schema[key].dataType.simpleString()
 
     names = ["part", key, "word_idx", "word", "filled"]
@@ -235,7 +242,7 @@ def words_in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
         if len(tail):
             yield rest()
 
-    packed = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).select(F.spark_partition_id().cast("long").alias("part"), key, "bit")
+    packed = rows.repartitionByRange(tasks_for(rows.sparkSession, BIT_BYTES * n), key, *order).sortWithinPartitions(key, *order).select(F.spark_partition_id().cast("long").alias("part"), key, "bit")
     packed = stored(packed.mapInArrow(run, f"part long, {key} {kind}, word_idx long, word long, filled long"), "packed-ranges")
     runs = packed.groupBy("part", key).agg(F.sum("filled").alias("n"))
     ends = stored(runs.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max_by("n", key).alias("n")), "range-ends")
@@ -244,28 +251,29 @@ def words_in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     carried = held.select(key, "part", before.alias("carried")).filter("carried > 0").distinct()
     rows = packed.join(F.broadcast(carried), ["part", key], "left")  # a row for each range at most
     places = F.coalesce("carried", F.lit(0))
-    return shifted(rows.withColumn("_end", places + F.col("word_idx") * 64 + F.col("filled")), key, places)
+    return shifted(rows.withColumn("_end", places + F.col("word_idx") * 64 + F.col("filled")), key, places, n // 64)
 
 
-def build_sorted(codes: DataFrame, height: int, kind: str = TREE) -> DataFrame:
-    """A tree or matrix from (pos, code), for alphabets of any size."""
+def build_sorted(codes: DataFrame, height: int, kind: str, n: int) -> DataFrame:
+    """A tree or matrix from ``n`` rows (pos, code), for alphabets of any size."""
     key, key_kind, _ = _key(kind)
-    rows = codes.select("pos", "code", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("level"))
+    rows = stored(codes, "codes")  # ranges look at rows twice
+    rows = rows.select("pos", "code", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("level"))
     node = node_of(F.col("code"), F.col("level"), height)
     rows = rows.select("level", node.alias("node"), "pos", level_bit(F.col("code"), F.col("level"), height).alias("bit"))
     if kind == NODES:
         rows = rows.select((F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level")) + F.col("node")).alias(key), "pos", "bit")
-        return words_in_order(rows, key, ["pos"])
+        return words_in_order(rows, key, ["pos"], n * height)
     if kind == MATRIX:
         rows = rows.withColumn("node", bitrev(F.col("node"), F.col("level")))
-    return words_in_order(rows, key, ["node", "pos"])
+    return words_in_order(rows, key, ["node", "pos"], n * height)
 
 
 def merge_nodes(nodes: DataFrame, alphabet: Alphabet, matrix: bool = False) -> DataFrame:
     """(level, word_idx, word) from the words of nodes: a node's words are moved on to where it starts."""
     starts = node_starts(node_sizes(alphabet), matrix).filter("size > 0")
     rows = nodes.join(small_side(starts, 2 * alphabet.sigma), "node_id").withColumn("_end", F.lit(alphabet.n))
-    return shifted(rows, "level", F.col("start"))
+    return shifted(rows, "level", F.col("start"), -(-alphabet.n * alphabet.height // 64))
 
 
 def z_from_words(levels: DataFrame, n: int) -> DataFrame:

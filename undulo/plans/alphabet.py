@@ -51,13 +51,15 @@ def max_nodes(height: int) -> int:
 
 @dataclass(frozen=True)
 class Alphabet:
-    """table: (raw, code, occ), symbols numbered by their order. counts and symbols: the same on the driver, or None for more than ``LARGEST``."""
+    """table: (raw, code, occ), symbols numbered by their order. counts and symbols: the same on the driver, or None for more than ``LARGEST``.
+    coded: the chunks that it is for hold codes."""
 
     table: DataFrame
     n: int
     sigma: int
     counts: np.ndarray | None = None
     symbols: list | None = None
+    coded: bool = False
 
     @property
     def height(self) -> int:

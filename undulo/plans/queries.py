@@ -65,7 +65,10 @@ class Text:
     @cached_property
     def chunks(self) -> DataFrame:
         """Of raw symbols, or of codes where the text comes from a column."""
-        return self.raw_chunks if self.packed else T.pack(A.effective_text(self.rows, self.alphabet, "_key"), ["_key", "code"], "code", "int")
+        if self.packed:
+            return self.raw_chunks
+        codes = A.effective_text(self.rows, self.alphabet, "_key")
+        return T.pack(codes if self.alphabet.counts is not None else stored(codes, "codes"), ["_key", "code"], "code", "int")  # packing looks at rows three times
 
     def symbols(self) -> DataFrame:
         return T.unpack(self.chunks) if self.packed else T.from_column(self.rows, "raw", "_key")
@@ -78,7 +81,7 @@ class Text:
         if not self.packed and alphabet.symbols is not None:
             alphabet = replace(alphabet, symbols=list(range(alphabet.sigma)))
         elif not self.packed:
-            alphabet = replace(alphabet, table=alphabet.table.withColumn("raw", F.col("code")))
+            alphabet = replace(alphabet, table=alphabet.table.withColumn("raw", F.col("code")), coded=True)
         return form(self.chunks, alphabet, kind)
 
     def decode(self, words: DataFrame, kind: str) -> DataFrame:
