@@ -731,3 +731,13 @@ def test_pipeline_mixes_words(spark, sf_dir):
     cuts = spark.createDataFrame([(texts[-1], 77)], "text string, lead int").select(mixing.cut(F.col("text"), F.col("lead"))).first()[0]
     sizes = [len(WORD.findall(c)) for c in cuts]
     assert "".join(cuts) == texts[-1] and sizes[0] == mixing.BLOCK - 77 and set(sizes[1:-1]) == {mixing.BLOCK}
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    from undulo.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(True))
+    step = common.giving_back(lambda batches: (2 * b for b in batches))
+    assert list(step(iter([1, 2, 3]))) == [2, 4, 6] and given == [True]
+    assert sp.TEXTS <= 64  # texts whose offsets a worker holds at once

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cache
 
@@ -102,6 +104,23 @@ def without_gc():
         gc.enable()
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed. A Python worker goes on to other stages, or rests while others work, and would hold it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step over batches that gives memory back when it ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has ``rows`` rows, counted beforehand, within the bound; else for a sort-merge join, whose
     hot keys Spark splits."""

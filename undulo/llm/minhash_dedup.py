@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import Tables, mix64, shingle_set, small_batches, small_side, word_hashes, words_of
+from undulo.llm.common import Tables, giving_back, mix64, shingle_set, small_batches, small_side, word_hashes, words_of
 from undulo.llm.components import components
 
 SAMPLES, BAND, BANDS, BITS = 256, 4, 32, 1024
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sketches.append(None if least is None else odd_sketch(least))
             yield pa.RecordBatch.from_arrays([b["key"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(sketches)], ["key", "digest", "n_shingles", "keys", "sketch"])
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, digest binary, n_shingles long, keys array<long>, sketch array<long>")
+    return docs.mapInArrow(giving_back(run), f"key {docs.schema['key'].dataType.simpleString()}, digest binary, n_shingles long, keys array<long>, sketch array<long>")
 
 
 def said_words(docs: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def said_words(docs: DataFrame) -> DataFrame:
             words = [w for w in map(words_of, b["text"].to_pylist()) if w]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(digest, words)), pa.binary()), pa.array([b" ".join(w) for w in words], pa.binary())], ["digest", "said"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, said binary")
+    return docs.select("text").mapInArrow(giving_back(run), "digest binary, said binary")
 
 
 def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def _links(pairs: DataFrame, said: DataFrame) -> DataFrame:
                     found.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return pairs.select("a", "b", "said_a", "said_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "said_a", "said_b").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _pair(x, y) -> list:

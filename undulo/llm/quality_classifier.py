@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import small_batches, stored, words_of
+from undulo.llm.common import giving_back, small_batches, stored, words_of
 
 #: Labelled rows that a fit uses at most.
 SAMPLE = 6000
@@ -181,8 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str = "t
         yield pa.RecordBatch.from_pylist([dict(zip(("weights", "squares", "bias", "slope", "shift"), model, strict=True))])
 
     with small_batches(docs.sparkSession):
-        rows = rows.mapInArrow(features, "place long, label int, row binary")
-        found = rows.repartition(1).mapInArrow(run, _FIT).first()
+        rows = rows.mapInArrow(giving_back(features), "place long, label int, row binary")
+        found = rows.repartition(1).mapInArrow(giving_back(run), _FIT).first()
     return tuple(found) if found else fit_arrays([], np.zeros(0))  # without rows there may be no partition to run in
 
 

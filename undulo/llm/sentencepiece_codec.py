@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulo.llm.common import small_batches, stored, without_gc
+from undulo.llm.common import give_back, small_batches, stored, without_gc
 
 SPACE = "▁"
 MARK = SPACE.encode()
 #: Distinct parts of texts that a Python worker keeps, and texts that it encodes at once.
-CACHE_PARTS, TEXTS = 100_000, 500
+CACHE_PARTS, TEXTS = 100_000, 64
 
 _ODD = b"\0"
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
@@ -289,6 +289,7 @@ def with_pieces(df: DataFrame, path: str, text: str = "text", digests_only: bool
                 decoded = model.decode(ids)
                 row = (len(ids), hashlib.sha256(model.joined(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), int(bounds[-1]))
                 rows.append(row if digests_only else (*row, ids, bounds, decoded))
+        give_back()
         names = ["n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"]
         return pd.DataFrame(rows, columns=names + ([] if digests_only else ["ids", "bounds", "decoded"]))
 
