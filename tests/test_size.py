@@ -57,6 +57,25 @@ def test_packing_takes_more_tasks_for_more_text(spark, sf_dir, monkeypatch):
     assert chunks.select("part").distinct().count() > 4
 
 
+def test_ranges_of_strings_are_found_by_beginnings_of_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1 << 10)
+    monkeypatch.setattr(T, "SAMPLE", 1 << 14)
+    plans = {}
+    monkeypatch.setattr(T, "stored", lambda df, name: plans.setdefault(name, plan_of(df)) and scratch.stored(df, name))
+    rng = np.random.default_rng(8)
+    keys = [None, 1, 2]
+    rows = [(keys[k], "é𝄞"[: int(a)] * int(b) + "".join(map(chr, tail))) for k, a, b, tail in zip(rng.integers(0, 3, 400), rng.integers(0, 3, 400), rng.integers(0, 9, 400), rng.integers(97, 99, (400, 3)), strict=True)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    size = sum(len(t.encode()) + 32 for _, t in rows)
+    chunks = T.from_strings(df, "text", "id")
+    tasks = -(-size // (1 << 10))
+    width = int(re.search(r"rangepartitioning\(_key#\w+ ASC NULLS FIRST, substring\(text#\w+, 1, (\d+)\)", plans["chunks"])[1])  # not whole texts
+    assert 1 <= width and width * T.SAMPLED * tasks <= 1 << 14
+    assert chunks.select("part").distinct().count() > 4
+    whole = "".join(t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())))
+    assert "".join(chr(r.raw) for r in T.unpack(chunks).orderBy("pos").collect()) == whole
+
+
 def test_words_of_chunks_share_their_edges(spark, monkeypatch):
     rng = np.random.default_rng(5)
     for size in (3, 13, 64):

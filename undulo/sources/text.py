@@ -25,6 +25,8 @@ CHUNK, COUNTED = 1 << 18, 1 << 16
 RANGE, PIECE = 1 << 26, 1 << 20
 #: Symbols of a batch that a chunk is unpacked to.
 ROWS = 1 << 16
+#: Characters of strings that the driver is sent about to find ranges, and rows that Spark samples for a range.
+SAMPLE, SAMPLED = 1 << 25, 300
 CHUNKS = "part long, inside long, width int, symbols binary, seen array<long>, upto array<long>"
 
 
@@ -96,6 +98,13 @@ def _tasks(rows: DataFrame, value: str, unit: str) -> int:
     return tasks_for(spark, rows.agg(F.sum(F.octet_length(value) + 32)).first()[0] or 0)
 
 
+def _told_apart(rows: DataFrame, order: list[str], value: str, unit: str, tasks: int) -> list[Column]:
+    """What ranges of an order are cut by. Spark sends the driver that of a sample, which grows with the ranges: of strings, only beginnings, which stand in
+    the order of the strings, and are the shorter the more ranges there are. A collation may order beginnings otherwise."""
+    plain = unit != "int" and rows.schema[value].dataType.simpleString() == "string"
+    return [F.substring(c, 1, max(1, SAMPLE // (SAMPLED * tasks))) if plain and c == value else F.col(c) for c in order]
+
+
 def pack(rows: DataFrame, order: list[str], value: str, unit: str) -> DataFrame:
     """Chunks of a column in an order. unit: char or byte of its strings, or int for symbols."""
 
@@ -116,7 +125,8 @@ def pack(rows: DataFrame, order: list[str], value: str, unit: str) -> DataFrame:
         if packer and packer.size:
             yield _batch(list(packer.add(np.empty(0, np.uint8) if unit == "byte" else np.empty(0, np.uint32) if unit == "char" else np.empty(0, np.int64), True)))
 
-    rows = rows.repartitionByRange(_tasks(rows, value, unit), *order).sortWithinPartitions(*order)
+    tasks = _tasks(rows, value, unit)
+    rows = rows.repartitionByRange(tasks, *_told_apart(rows, order, value, unit, tasks)).sortWithinPartitions(*order)
     return stored(rows.select(F.spark_partition_id().cast("long").alias("part"), F.col(value).alias("value")).mapInArrow(run, CHUNKS), "chunks")
 
 
