@@ -5,12 +5,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from test_plans import exchanges, plan_of
 from undulo.operators import build as B
 from undulo.operators import decode as D
 from undulo.plans import alphabet as A
-from undulo.plans.queries import Text
+from undulo.plans.queries import QUERIES, Text
 from undulo.sources import scratch, store
 from undulo.sources import text as T
 
@@ -148,3 +149,77 @@ def test_a_large_alphabet_is_sorted_by_more_tasks_for_more_bits(spark, sf_dir, m
     assert "_raw" not in plans["codes"]  # chunks hold codes, which meet no alphabet again
     assert re.search(r"hashpartitioning\((level|node_id)#\w+, word_idx#\w+, \d+\), REPARTITION_BY_NUM", plan_of(built))
     assert sorted(built.collect()) == small
+
+
+@pytest.mark.parametrize("kind", [B.TREE, B.MATRIX, B.NODES])
+def test_blocks_are_written_by_the_tasks_that_put_them_together(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(B, "BLOCK", 2)
+    monkeypatch.setattr(T, "CHUNK", 50)
+    monkeypatch.setattr(scratch, "TASK_BYTES", 100)
+    written = []
+    monkeypatch.setattr(store, "stored", lambda df, name: written.append(name) or scratch.stored(df, name))
+    from test_wavelet import CASES, text_of
+
+    text, names = text_of(spark, CASES["nine"])
+    chunks = T.pack(text, ["pos"], "raw", "int")
+    blocks = B.blocks_in_ranges(chunks, names, kind)
+    key = "node_id" if kind == B.NODES else "level"
+    assert not [e for e in exchanges(plan_of(blocks)) if key in e or "block" in e] and plan_of(blocks).count("REPARTITION_BY_NUM") == 1
+    rows = [(r.part, r[key], r.block) for r in blocks.collect()]
+    assert rows == sorted(rows) and len(set(rows)) == len(rows) and len({r[0] for r in rows}) > 2
+    path = str(tmp_path / kind / "index")
+    assert store.export_blocks(blocks, path) > 2 and not written  # nor are blocks kept on the way
+    assert sorted(store.read_words(spark, path, key).collect()) == sorted(B.build(chunks, names, kind).collect())
+
+
+def test_strings_are_written_without_chunks(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1 << 10)
+    rows = [(5, "aé"), (2, None), (1, "😀" * 300), (9, ""), (1, "b" * 700), (1, "b" * 700), (None, "nul" * 400), (-3, "neg")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    monkeypatch.setattr(T, "stored", None)
+    n = store.export_strings(docs, "text", "id", str(tmp_path / "out" / "text"), "txt")
+    files = sorted((tmp_path / "out").glob("text*.txt"))
+    assert len(files) == n > 2
+    assert b"".join(f.read_bytes() for f in files).decode() == "nul" * 400 + "neg" + "b" * 1400 + "😀" * 300 + "aé"
+    monkeypatch.undo()
+    made = []
+    monkeypatch.setattr(T, "stored", lambda df, name: made.append(name) or scratch.stored(df, name))
+    assert QUERIES["verify_stored_bytes"](spark, sf_dir).first().differences == 0
+    assert made == ["chunks"]  # of the text that is read back
+
+
+@pytest.mark.parametrize("kind", [B.TREE, B.MATRIX])
+@pytest.mark.parametrize("case", ["one", "65", "five", "nine"])
+def test_files_are_verified_without_a_shuffle(spark, tmp_path, monkeypatch, case, kind):
+    from test_wavelet import CASES, text_of
+
+    for module, name, value in ((B, "BLOCK", 2), (D, "BLOCK", 3), (T, "CHUNK", 50), (D, "STEP", 170), (D, "AHEAD", 64), (D, "TIMES", 2), (D, "CHUNK", 64), (scratch, "TASK_BYTES", 200), (store.LevelFiles, "OPEN", 2)):
+        monkeypatch.setattr(module, name, value)
+    raw = CASES[case]
+    text, names = text_of(spark, raw)
+    chunks = T.pack(text, ["pos"], "raw", "int")
+    path = str(tmp_path / "index")
+    store.export_blocks(B.blocks_in_ranges(chunks, names, kind), path)
+    made = []
+    monkeypatch.setattr(scratch, "fresh", lambda spark, name: made.append(name))
+    right = D.verify_files(path, chunks, names, kind)
+    assert right.first().differences == 0 and not made
+    assert names.height == 0 or all(keys.startswith("part") for keys in exchanges(plan_of(right))) and "SortMergeJoin" not in plan_of(right)
+    monkeypatch.undo()
+    if len(raw) < 800:
+        return
+    wrong = list(raw)
+    wrong[7], wrong[700], wrong[701] = (raw[7] + 1) % 5, 9, 9  # one symbol for another, and two that the alphabet may lack
+    differ = sum(a != b for a, b in zip(raw, wrong, strict=True))
+    for other, n in ((wrong, differ), (raw[:-5], 5), ([*raw, 1, 1], 2)):
+        with pytest.raises(Exception, match=f"{n} symbols differ"):
+            D.verify_files(path, T.pack(text_of(spark, other)[0], ["pos"], "raw", "int"), names, kind).collect()
+    whole = B.build(chunks, names, kind)
+    if kind == B.TREE:  # one bit of one word
+        damaged = whole.withColumn("word", F.when((F.col("level") == names.height - 1) & (F.col("word_idx") == 3), F.col("word").bitwiseXOR(F.lit(1 << 20))).otherwise(F.col("word")))
+        store.export_words(damaged, str(tmp_path / "damaged"))
+        with pytest.raises(Exception, match="1 symbols differ"):
+            D.verify_files(str(tmp_path / "damaged"), chunks, names, kind).collect()
+    store.export_words(whole.filter("level > 0 or word_idx > 0"), str(tmp_path / "short"))
+    with pytest.raises(ValueError, match="level 0 of .* words"):
+        D.verify_files(str(tmp_path / "short"), chunks, names, kind)

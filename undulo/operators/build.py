@@ -12,7 +12,7 @@ follows theirs, and words packed in that order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -155,8 +155,57 @@ def build_blocks(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> Dat
     return _runs_by_block(chunks, alphabet, kind).applyInArrow(run, schema)
 
 
+def blocks_in_ranges(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
+    """``build_blocks`` with ``part``: ranges of (key, block), each a task's, and in their order there. How many blocks a key has is known, so runs of words go to the
+    range of their block at once, and blocks are not moved again. Alphabets that have no counts are left to ``build_blocks``, without ``part``."""
+    if not alphabet.height or not alphabet.n or alphabet.counts is None or not carries_counts(chunks):
+        return build_blocks(chunks, alphabet, kind)
+    key, key_kind, key_type = _key(kind)
+    block, height, n = BLOCK, alphabet.height, alphabet.n
+    if kind == NODES:  # by id, from 1
+        sizes = np.concatenate([[0], *[alphabet.sizes(level) for level in range(height)]])
+    else:
+        sizes = np.full(height, n)
+    blocks = -(-sizes // (64 * block))
+    first, total, tasks = np.cumsum(blocks) - blocks, int(blocks.sum()), tasks_for(chunks.sparkSession, n * height // 8)
+
+    def part_of(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        return ((first[keys] + numbers) * tasks // total).astype(np.int32)
+
+    def whole(runs: list[pa.RecordBatch]) -> pa.RecordBatch:  # one block
+        word, _ = put_together(pa.Table.from_batches(runs), block)
+        own = [runs[0][c].slice(0, 1) for c in ("part", key, "block")]
+        return pa.RecordBatch.from_arrays([*own, pa.array([word.astype("<i8").tobytes()], pa.binary())], ["part", key, "block", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for b in batches:
+            keys, numbers = b[key].to_numpy(), b["block"].to_numpy()
+            ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (numbers[1:] != numbers[:-1])) + 1).tolist(), len(keys)]
+            for start, end in zip(ends, ends[1:]):
+                if start == end:
+                    continue
+                if held and of != (keys[start], numbers[start]):
+                    yield whole(held)
+                    held = []
+                held.append(b.slice(start, end - start))
+                of = keys[start], numbers[start]
+        if held:
+            yield whole(held)
+
+    runs = _runs(chunks, alphabet, kind, part_of).repartitionById(tasks, "part").sortWithinPartitions("part", key, "block")
+    return runs.mapInArrow(run, f"part int, {key} {key_kind}, block long, words binary")
+
+
 def _runs_by_block(chunks: DataFrame, alphabet: Alphabet, kind: str):
     """The runs of words of all chunks, grouped by key and block."""
+    key = _key(kind)[0]
+    tasks = tasks_for(chunks.sparkSession, alphabet.n * alphabet.height // 8)
+    return _runs(chunks, alphabet, kind).repartition(tasks, key, "block").groupBy(key, "block")
+
+
+def _runs(chunks: DataFrame, alphabet: Alphabet, kind: str, part_of: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(key, block, at, words): the runs of words of all chunks, and the part that ``part_of`` gives their keys and blocks."""
     height, matrix, block = alphabet.height, kind == MATRIX, BLOCK
     key, key_kind, key_type = _key(kind)
     symbols = np.array(alphabet.symbols, np.int64)
@@ -180,14 +229,13 @@ def _runs_by_block(chunks: DataFrame, alphabet: Alphabet, kind: str):
                     keys.append((1 << level) + nodes[which] if kind == NODES else np.full(len(which), level))
                     words.append(index)
                     values.append(word)
-                yield in_runs(np.concatenate(keys), np.concatenate(words), np.concatenate(values), key, key_type, block)
+                out = in_runs(np.concatenate(keys), np.concatenate(words), np.concatenate(values), key, key_type, block)
+                yield out.append_column("part", pa.array(part_of(out[key].to_numpy(), out["block"].to_numpy()))) if part_of else out
 
     earlier, n_parts = counts_before(chunks)
     earlier = F.broadcast(earlier) if n_parts * alphabet.sigma <= MOST_COUNTS else earlier.hint("merge")
     rows = chunks.join(earlier, "part", "left").select("width", "symbols", "seen", "upto", "raws", "earlier")
-    runs = rows.mapInArrow(run, f"{key} {key_kind}, block long, at int, words binary")
-    tasks = tasks_for(chunks.sparkSession, alphabet.n * height // 8)
-    return runs.repartition(tasks, key, "block").groupBy(key, "block")
+    return rows.mapInArrow(run, f"{key} {key_kind}, block long, at int, words binary" + (", part int" if part_of else ""))
 
 
 def shifted(words: DataFrame, key: str, places: Column, n: int) -> DataFrame:

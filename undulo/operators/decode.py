@@ -4,6 +4,9 @@ The text is decoded in chunks of positions. On every level, the bits of a chunk'
 ends, looked up by rank, give its children's runs on the next level. So the levels' words are met by a few ends of runs for each chunk, not by
 positions. Then each chunk gets the words of its runs, and a pass over them in numpy gives its codes. Levels are written once before they are read. Joins with words
 are sort-merge joins: Spark takes rows that come of a few ends for small, and would send them to the driver to broadcast.
+
+Levels in files are decoded where the text is that they are held against: a task reads on in each node from its place, and only the places of some positions are looked up
+before. Nothing but those is sent.
 """
 
 from __future__ import annotations
@@ -12,16 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undulo.functions.running import running_sum
-from undulo.operators.build import MATRIX, NODES, TREE, differences, z_from_words
+from undulo.operators.build import BLOCK, MATRIX, MOST_COUNTS, NODES, TREE, differences, z_from_words
 from undulo.plans.alphabet import Alphabet, effective_text
 from undulo.sources.scratch import stored, tasks_for
+from undulo.sources.store import LevelFiles, read_words
 from undulo.sources.text import symbols_of, unpack, with_starts
 
 CHUNK = 1 << 18
+#: Positions between those whose places are looked up, at least.
+STEP = 1 << 21
+#: Nodes of a level that are read side by side at most; bits of one that are read ahead at least, and how many times as many as asked for.
+MOST_NODES = 1 << 12
+AHEAD, TIMES = 1 << 12, 16
 
 
 def ranked(words: DataFrame, key: str) -> DataFrame:
@@ -131,6 +140,12 @@ def _failing(found: DataFrame) -> DataFrame:
     return found.select(F.when(F.col("differences") > 0, F.raise_error(message).cast("long")).otherwise(F.col("differences")).alias("differences"))
 
 
+def _coded(raw: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The codes of symbols; one that the alphabet lacks differs from all."""
+    code = np.minimum(np.searchsorted(symbols, raw), len(symbols) - 1)
+    return np.where(symbols[code] == raw, code, -2)
+
+
 def verify_chunks(words: DataFrame, chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
     """``verify`` of chunks of raw symbols: they meet what is decoded as packed codes, cut where its chunks are, not symbol by symbol."""
     n, height, size = alphabet.n, alphabet.height, CHUNK
@@ -145,8 +160,7 @@ def verify_chunks(words: DataFrame, chunks: DataFrame, alphabet: Alphabet, kind:
         for b in batches:
             for start, width, data in zip(b["start"].to_pylist(), b["width"].to_pylist(), b["symbols"], strict=True):
                 raw = symbols_of(data.as_buffer(), width).astype(np.int64)
-                code = np.minimum(np.searchsorted(symbols, raw), len(symbols) - 1)
-                code = np.where(symbols[code] == raw, code, -2).astype(form)  # one that the alphabet lacks differs from all
+                code = _coded(raw, symbols).astype(form)
                 ends = np.r_[0, np.arange(size - start % size, len(raw), size), len(raw)]
                 at = start + ends[:-1]
                 pieces = pa.array([code[p:e].tobytes() for p, e in zip(ends, ends[1:])], pa.binary())
@@ -166,3 +180,113 @@ def verify_chunks(words: DataFrame, chunks: DataFrame, alphabet: Alphabet, kind:
     found, own = (x.repartition(tasks, "chunk").groupBy("chunk") for x in (found, own))
     found = found.cogroup(own).applyInArrow(compare, "differences long")
     return _failing(found.agg(F.coalesce(F.sum("differences"), F.lit(0)).alias("differences")))
+
+
+def _ranks(spark: SparkSession, files: LevelFiles, level: int, n: int, places: np.ndarray) -> tuple[np.ndarray, int]:
+    """The set bits before each of some places of a level, and those of all of it. A task takes whole blocks of words; the driver gets a row a block."""
+    size = -(-n // 64)
+    block = max(BLOCK, -(-size // MOST_COUNTS))
+    n_blocks = -(-size // block)
+    points, which = np.unique(places, return_inverse=True)
+    of = np.minimum(points // (64 * block), n_blocks - 1)
+    ends = np.searchsorted(of, np.arange(n_blocks + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b["id"].to_pylist():
+                words = files.read(level, k * block, min((k + 1) * block, size)).view(np.uint64)
+                before = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)]
+                at = points[ends[k] : ends[k + 1]] - 64 * block * k
+                bits = (at % 64).astype(np.uint64)
+                part = np.where(bits > 0, np.bitwise_count(np.r_[words, np.uint64(0)][at // 64] >> ((np.uint64(64) - bits) % np.uint64(64))), 0)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([before[-1]]), pa.array([before[at // 64] + part], pa.list_(pa.int64()))], ["block", "ones", "ranks"])
+
+    rows = spark.range(0, n_blocks, 1, tasks_for(spark, 8 * size)).mapInArrow(run, "block long, ones long, ranks array<long>")
+    found = rows.toArrow().sort_by("block")
+    ones = found["ones"].to_numpy()
+    before = np.cumsum(ones) - ones
+    ranks = before[of] + found["ranks"].combine_chunks().flatten().to_numpy()
+    return ranks[which].reshape(places.shape), int(ones.sum())
+
+
+def places_of(spark: SparkSession, files: LevelFiles, positions: np.ndarray, n: int, height: int, kind: str) -> list[np.ndarray]:
+    """For each level (position, node): where on it the node's symbols from a position on stand. The positions go from 0 to ``n``."""
+    out = [positions[:, None]]
+    for level in range(height - 1):
+        at = out[-1]
+        ranks, ones = _ranks(spark, files, level, n, at)
+        if kind == MATRIX:
+            zero, one = at - ranks, n - ones + ranks
+        else:  # a node starts at the place of position 0, and ends at that of position n
+            zero = at - (ranks - ranks[0])
+            one = zero[-1] + (ranks - ranks[0])
+        out.append(np.stack([zero, one], 2).reshape(len(positions), -1))
+    return out
+
+
+class Reader:
+    """Decodes a text from a position on: the bits of a node are read on from its place, on every level."""
+
+    def __init__(self, files: LevelFiles, places: list[np.ndarray]):
+        self.files, self.places = files, [p.copy() for p in places]
+        self.held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+
+    def _bits(self, level: int, node: int, n: int) -> np.ndarray:
+        at = int(self.places[level][node])
+        first, words = self.held.get((level, node), (0, np.empty(0, np.int64)))
+        if at < 64 * first or at + n > 64 * (first + len(words)):
+            first = at // 64
+            words = self.files.read(level, first, -(-(at + max(AHEAD, TIMES * n)) // 64))
+            self.held[level, node] = first, words
+        self.places[level][node] += n
+        own = words[at // 64 - first : (at + n + 63) // 64 - first]
+        return np.unpackbits(own.astype(">i8").view(np.uint8))[at % 64 : at % 64 + n]
+
+    def take(self, n: int) -> np.ndarray:
+        """The codes of the next ``n`` symbols."""
+        order, codes = np.arange(n), np.zeros(n, np.uint16)  # by node, inside of it by position
+        for level in range(len(self.places)):
+            if level:
+                by_node = np.argsort(codes, kind="stable")
+                order, codes = order[by_node], codes[by_node]
+            first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            sizes = np.diff(np.r_[first, n])
+            codes = codes * np.uint16(2) + np.concatenate([self._bits(level, node, size) for node, size in zip(codes[first].tolist(), sizes.tolist(), strict=True)])
+        out = np.empty_like(codes)
+        out[order] = codes
+        return out
+
+
+def verify_files(path: str, chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
+    """``verify_chunks`` of the levels in the files that ``export_blocks`` wrote. Neither words nor symbols are shuffled or written: a task decodes what its chunks are held against, reading
+    words from the files. Nodes, and alphabets of more than ``MOST_NODES`` symbols, go by ``verify_chunks``."""
+    spark, n, height = chunks.sparkSession, alphabet.n, alphabet.height
+    if not n or not height:  # there are no files
+        return verify(chunks, effective_text(unpack(chunks), alphabet), n, height, kind)
+    if kind == NODES or alphabet.symbols is None or 1 << height > MOST_NODES:
+        return verify_chunks(read_words(spark, path, "node_id" if kind == NODES else "level"), chunks, alphabet, kind)
+    files, symbols = LevelFiles(spark, path), np.array(alphabet.symbols, np.int64)
+    for level in range(height):
+        if files.size(level) != -(-n // 64):
+            raise ValueError(f"level {level} of {path} has {files.size(level)} words, not {-(-n // 64)}")
+    positions = np.r_[np.arange(0, n, max(STEP, -(-(n << height) // MOST_COUNTS))), n]
+    places = places_of(spark, files, positions, n, height, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, at = None, -1
+        for b in batches:
+            for start, width, data in zip(b["start"].to_pylist(), b["width"].to_pylist(), b["symbols"], strict=True):
+                code = _coded(symbols_of(data.as_buffer(), width).astype(np.int64), symbols)
+                both = max(0, min(len(code), n - start))  # what lies behind the index's end differs
+                if both and start != at:
+                    k = int(np.searchsorted(positions, start, "right")) - 1
+                    reader, at = Reader(files, [p[k] for p in places]), int(positions[k])
+                    while at < start:
+                        at += len(reader.take(min(CHUNK, start - at)))
+                wrong = int((reader.take(both) != code[:both]).sum()) if both else 0
+                at = start + both
+                yield pa.RecordBatch.from_arrays([pa.array([wrong + len(code) - both]), pa.array([both])], ["differences", "held"])
+
+    found = with_starts(chunks).select("start", "width", "symbols").mapInArrow(run, "differences long, held long")
+    found = found.agg(F.coalesce(F.sum("differences"), F.lit(0)).alias("differences"), F.coalesce(F.sum("held"), F.lit(0)).alias("held"))
+    return _failing(found.select((F.col("differences") + n - F.col("held")).alias("differences")))

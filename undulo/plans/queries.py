@@ -44,16 +44,20 @@ class Text:
     def __init__(self, spark: SparkSession, sf_dir: str, name: str):
         self.spark, self.name, self.packed = spark, name, name in UNITS or name == "wide"
         if name in UNITS:
-            self.raw_chunks = T.from_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "doc_id", UNITS[name])
-        elif name == "wide":
-            path = fresh(spark, "wide")
-            made = spark.range(WIDE + 500).select(F.col("id").alias("pos"), F.expr(f"(id % {WIDE}) * {WIDE_STEP}L % (1L << 40)").alias("raw"))
-            store.export(made, ["pos"], "raw", 5, f"{path}/text", store.TEXT)
-            self.raw_chunks = T.from_binary(spark, f"{path}/text*.{store.TEXT}", 5)
-        else:
+            self.docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        elif name != "wide":
             table, column, self.key = COLUMNS[name]
             self.rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(self.key).alias("_key"), F.col(column).alias("raw"))
 
+    @cached_property
+    def raw_chunks(self) -> DataFrame:
+        if self.name in UNITS:
+            return T.from_strings(self.docs, "text", "doc_id", UNITS[self.name])
+        path = fresh(self.spark, "wide")
+        made = self.spark.range(WIDE + 500).select(F.col("id").alias("pos"), F.expr(f"(id % {WIDE}) * {WIDE_STEP}L % (1L << 40)").alias("raw"))
+        store.export(made, ["pos"], "raw", 5, f"{path}/text", store.TEXT)
+        return T.from_binary(self.spark, f"{path}/text*.{store.TEXT}", 5)
+
     @cached_property
     def hist(self) -> DataFrame:
         return A.packed_histogram(self.raw_chunks) if self.packed else A.histogram(self.rows)
@@ -322,7 +326,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
 
     def exported(t: Text, kind: str) -> DataFrame:
         path = f"{fresh(t.spark, 'export')}/index"
-        store.export_blocks(t.build(kind, B.build_blocks), path)
+        store.export_blocks(t.build(kind, B.blocks_in_ranges), path)
         return store.read_words(t.spark, path, "node_id" if kind == B.NODES else "level")
 
     add("export_levels_users", lambda t: exported(t, B.TREE), "users", sql["wt_levels_users"])
@@ -343,7 +347,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     def binary(t: Text) -> DataFrame:
         """The bytes of documents in a binary file, a file for each range, read as a text."""
         path = f"{fresh(t.spark, 'bytes')}/text"
-        store.export_chunks(t.chunks, 1, path, store.TEXT)
+        store.export_strings(t.docs, "text", "doc_id", path, store.TEXT)
         return T.from_binary(t.spark, f"{path}*.{store.TEXT}")
 
     add("binary_hist", lambda t: A.packed_histogram(binary(t)), "bytes", sql["hist_bytes"])
@@ -353,8 +357,8 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
         chunks = binary(t)
         names = A.effective_alphabet(A.packed_histogram(chunks))
         path = f"{fresh(t.spark, 'export')}/index"
-        store.export_blocks(B.build_blocks(chunks, names), path)
-        return D.verify_chunks(store.read_words(t.spark, path, "level"), chunks, names)
+        store.export_blocks(B.blocks_in_ranges(chunks, names), path)
+        return D.verify_files(path, chunks, names)
 
     add("verify_stored_bytes", verified, "bytes", "SELECT 0::BIGINT AS differences")
     queries["file_sizes"] = lambda spark, sf_dir: spark.read.format("binaryFile").load(f"{sf_dir}/*.parquet").agg(F.count("*").alias("files"), F.min(F.col("length") > 0).alias("filled"))

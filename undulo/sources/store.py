@@ -7,6 +7,7 @@ width, words and counts eight bytes. The extensions are fixed values.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undulo.sources.scratch import stored, tasks_for
-from undulo.sources.text import RANGE, file_system, symbols_of, with_starts
+from undulo.sources.text import RANGE, file_system, in_order, keyed, symbols_of, with_starts
 
 LEVEL, NODE, HISTOGRAM, ZEROS, TEXT = "lv_{}", "node_{}", "hist", "z", "txt"
 #: Words that are read at once.
@@ -122,8 +123,31 @@ def export_chunks(chunks: DataFrame, width: int, path: str, extension: str) -> i
     return with_starts(chunks).select("start", "width", "symbols").mapInArrow(run, "file string").count()
 
 
+def export_strings(df: DataFrame, column: str, key: str, path: str, extension: str) -> int:
+    """Writes the UTF-8 bytes of strings, joined as ``from_strings`` joins them, as binary files where they are brought into their order: a file a range, ``<path><range>.<extension>``.
+    Returns the number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files()
+        for b in batches:
+            if not len(b):
+                continue
+            name = f"{path}{b['part'][0].as_py():015}.{extension}"
+            if name != files.path:
+                files.open(name)
+            strings = b["value"].cast(pa.string())
+            _, offsets, data = strings.buffers()
+            ends = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1]
+            if data is not None:
+                files.out.write(data[int(ends[0]) : int(ends[-1])])
+        yield files.rows()
+
+    _create_folder_of(path)
+    return in_order(keyed(df, column, key), ["_key", "text"], "text", "byte").mapInArrow(run, "file string").count()
+
+
 def export_blocks(blocks: DataFrame, path: str) -> int:
-    """The words of levels or nodes from (key, block, words), in the files of ``export_words``."""
+    """The words of levels or nodes from (key, block, words), in the files of ``export_words``. Blocks that have a ``part`` are in their ranges, and written where they are."""
     key = "node_id" if "node_id" in blocks.columns else "level"
     extension, first = (LEVEL, 1) if key == "level" else (NODE, 0)
 
@@ -138,17 +162,62 @@ def export_blocks(blocks: DataFrame, path: str) -> int:
         yield files.rows()
 
     _create_folder_of(path)
-    blocks = stored(blocks, "blocks")  # ranges look at rows twice
-    size = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    rows = blocks.repartitionByRange(tasks_for(blocks.sparkSession, size), key, "block").sortWithinPartitions(key, "block")
-    return rows.select(F.spark_partition_id().alias("part"), key, "words").mapInArrow(run, "file string").count()
+    if "part" not in blocks.columns:
+        blocks = stored(blocks, "blocks")  # ranges look at rows twice
+        size = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+        blocks = blocks.repartitionByRange(tasks_for(blocks.sparkSession, size), key, "block").sortWithinPartitions(key, "block").withColumn("part", F.spark_partition_id())
+    return blocks.select("part", key, "words").mapInArrow(run, "file string").count()
 
 
-def read_words(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(key, word_idx, word) of the files that ``export`` wrote for all values of a key: level or node_id."""
+def _files_of_words(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(path, n, key): how many words a file has, and the number in its extension."""
     extension = (LEVEL if key == "level" else NODE).format("")
     files = spark.read.format("binaryFile").load(f"{path}*.{extension}*").select("path", "length")
-    files = files.select("path", F.expr("length div 8").alias("n"), F.regexp_extract("path", f"\\.{extension}([0-9]+)$", 1).cast("long").alias("key"))
+    return files.select("path", F.expr("length div 8").alias("n"), F.regexp_extract("path", f"\\.{extension}([0-9]+)$", 1).cast("long").alias("key"))
+
+
+class LevelFiles:
+    """The words of levels, read by their places from the files that ``export_blocks`` or ``export_words`` wrote. Tasks have copies, each with ``OPEN`` files open at most."""
+
+    OPEN = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.paths: dict[int, list[str]] = {}
+        self.first: dict[int, list[int]] = {}  # the number of each file's first word, and of all words
+        for r in sorted(_files_of_words(spark, path, "level").collect(), key=lambda r: (r.key, r.path)):  # a row for each 16 MB about
+            self.paths.setdefault(r.key - 1, []).append(r.path)
+            first = self.first.setdefault(r.key - 1, [0])
+            first.append(first[-1] + r.n)
+        self.opened: dict = {}
+
+    def size(self, level: int) -> int:
+        return self.first.get(level, [0])[-1]
+
+    def read(self, level: int, start: int, end: int) -> np.ndarray:
+        """The words from one to another; those that are not there are 0."""
+        first, out = self.first[level], np.zeros(end - start, np.int64)
+        k = max(0, bisect_right(first, start) - 1)
+        while k + 1 < len(first) and first[k] < end:
+            at, upto = max(start, first[k]), min(end, first[k + 1])
+            if at < upto:
+                out[at - start : upto - start] = np.frombuffer(self._file(self.paths[level][k]).read_at(8 * (upto - at), 8 * (at - first[k])), "<i8")
+            k += 1
+        return out
+
+    def _file(self, path: str) -> pa.NativeFile:
+        file = self.opened.pop(path, None)
+        if file is None:
+            if len(self.opened) >= self.OPEN:
+                self.opened.pop(next(iter(self.opened))).close()  # the one not used for the longest time
+            store, name = file_system(path)
+            file = store.open_input_file(name)
+        self.opened[path] = file
+        return file
+
+
+def read_words(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, word_idx, word) of the files that ``export`` wrote for all values of a key: level or node_id."""
+    files = _files_of_words(spark, path, key)
     first = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = files.select("path", "key", "n", first.alias("first")).select("*", F.explode(F.expr(f"sequence(0L, n - 1, {RANGE // 8}L)")).alias("at"))
     kind = "long" if key == "node_id" else "int"

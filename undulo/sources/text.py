@@ -105,6 +105,13 @@ def _told_apart(rows: DataFrame, order: list[str], value: str, unit: str, tasks:
     return [F.substring(c, 1, max(1, SAMPLE // (SAMPLED * tasks))) if plain and c == value else F.col(c) for c in order]
 
 
+def in_order(rows: DataFrame, order: list[str], value: str, unit: str) -> DataFrame:
+    """(part, value): a column in an order, by ranges, each a task's."""
+    tasks = _tasks(rows, value, unit)
+    rows = rows.repartitionByRange(tasks, *_told_apart(rows, order, value, unit, tasks)).sortWithinPartitions(*order)
+    return rows.select(F.spark_partition_id().cast("long").alias("part"), F.col(value).alias("value"))
+
+
 def pack(rows: DataFrame, order: list[str], value: str, unit: str) -> DataFrame:
     """Chunks of a column in an order. unit: char or byte of its strings, or int for symbols."""
 
@@ -125,9 +132,7 @@ def pack(rows: DataFrame, order: list[str], value: str, unit: str) -> DataFrame:
         if packer and packer.size:
             yield _batch(list(packer.add(np.empty(0, np.uint8) if unit == "byte" else np.empty(0, np.uint32) if unit == "char" else np.empty(0, np.int64), True)))
 
-    tasks = _tasks(rows, value, unit)
-    rows = rows.repartitionByRange(tasks, *_told_apart(rows, order, value, unit, tasks)).sortWithinPartitions(*order)
-    return stored(rows.select(F.spark_partition_id().cast("long").alias("part"), F.col(value).alias("value")).mapInArrow(run, CHUNKS), "chunks")
+    return stored(in_order(rows, order, value, unit).mapInArrow(run, CHUNKS), "chunks")
 
 
 def size_of(symbols: str = "symbols") -> Column:
@@ -146,11 +151,14 @@ def from_column(df: DataFrame, column: str, key: str) -> DataFrame:
     return with_positions(df.select(F.col(key).alias("_key"), F.col(column).alias("raw")), ["_key", "raw"]).select("pos", "raw")
 
 
+def keyed(df: DataFrame, column: str, key: str) -> DataFrame:
+    return df.select(F.col(key).alias("_key"), F.coalesce(column, F.lit("")).alias("text"))
+
+
 def from_strings(df: DataFrame, column: str, key: str, unit: str = "char") -> DataFrame:
     """Chunks of the characters or UTF-8 bytes of strings joined in the order of a key of any type. Nulls come first; strings with equal
     keys are joined in their own order, each as often as it occurs; a null string is empty."""
-    rows = df.select(F.col(key).alias("_key"), F.coalesce(column, F.lit("")).alias("text"))
-    return pack(rows, ["_key", "text"], "text", unit)
+    return pack(keyed(df, column, key), ["_key", "text"], "text", unit)
 
 
 def file_system(path: str) -> tuple:
