@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from test_plans import exchanges, plan_of
 from undulo.operators import build as B
@@ -155,20 +156,25 @@ def test_a_large_alphabet_is_sorted_by_more_tasks_for_more_bits(spark, sf_dir, m
 def test_blocks_are_written_by_the_tasks_that_put_them_together(spark, tmp_path, monkeypatch, kind):
     monkeypatch.setattr(B, "BLOCK", 2)
     monkeypatch.setattr(T, "CHUNK", 50)
-    monkeypatch.setattr(scratch, "TASK_BYTES", 100)
+    monkeypatch.setattr(scratch, "TASK_BYTES", 50)
+    monkeypatch.setattr(B, "PASS_BYTES", 200)
     written = []
     monkeypatch.setattr(store, "stored", lambda df, name: written.append(name) or scratch.stored(df, name))
     from test_wavelet import CASES, text_of
 
     text, names = text_of(spark, CASES["nine"])
     chunks = T.pack(text, ["pos"], "raw", "int")
-    blocks = B.blocks_in_ranges(chunks, names, kind)
+    passes = list(B.blocks_in_passes(chunks, names, kind))
     key = "node_id" if kind == B.NODES else "level"
-    assert not [e for e in exchanges(plan_of(blocks)) if key in e or "block" in e] and plan_of(blocks).count("REPARTITION_BY_NUM") == 1
-    rows = [(r.part, r[key], r.block) for r in blocks.collect()]
-    assert rows == sorted(rows) and len(set(rows)) == len(rows) and len({r[0] for r in rows}) > 2
-    path = str(tmp_path / kind / "index")
-    assert store.export_blocks(blocks, path) > 2 and not written  # nor are blocks kept on the way
+    path, n, seen = str(tmp_path / kind / "index"), 0, []
+    for blocks in passes:
+        assert not [e for e in exchanges(plan_of(blocks)) if key in e or "block" in e] and plan_of(blocks).count("REPARTITION_BY_NUM") == 1
+        rows = [(r.part, r[key], r.block) for r in blocks.collect()]
+        assert rows == sorted(rows) and len(set(rows)) == len(rows) and len({r[0] for r in rows}) > 1
+        seen.append({k.bit_length() - 1 if kind == B.NODES else k for _, k, _ in rows})
+        n += store.export_blocks(blocks, path)
+    assert seen == [{0, 1}, {2, 3}]  # no more levels in a pass than its bytes
+    assert n > 2 and not written  # nor are blocks kept on the way
     assert sorted(store.read_words(spark, path, key).collect()) == sorted(B.build(chunks, names, kind).collect())
 
 
@@ -193,13 +199,13 @@ def test_strings_are_written_without_chunks(spark, sf_dir, tmp_path, monkeypatch
 def test_files_are_verified_without_a_shuffle(spark, tmp_path, monkeypatch, case, kind):
     from test_wavelet import CASES, text_of
 
-    for module, name, value in ((B, "BLOCK", 2), (D, "BLOCK", 3), (T, "CHUNK", 50), (D, "STEP", 170), (D, "AHEAD", 64), (D, "TIMES", 2), (D, "CHUNK", 64), (scratch, "TASK_BYTES", 200), (store.LevelFiles, "OPEN", 2)):
+    for module, name, value in ((B, "BLOCK", 2), (B, "PASS_BYTES", 150), (D, "BLOCK", 3), (T, "CHUNK", 50), (D, "STEP", 170), (D, "AHEAD", 64), (D, "TIMES", 2), (D, "CHUNK", 64), (scratch, "TASK_BYTES", 200), (store.LevelFiles, "OPEN", 2)):
         monkeypatch.setattr(module, name, value)
     raw = CASES[case]
     text, names = text_of(spark, raw)
     chunks = T.pack(text, ["pos"], "raw", "int")
     path = str(tmp_path / "index")
-    store.export_blocks(B.blocks_in_ranges(chunks, names, kind), path)
+    store.export_passes(B.blocks_in_passes(chunks, names, kind), path)
     made = []
     monkeypatch.setattr(scratch, "fresh", lambda spark, name: made.append(name))
     right = D.verify_files(path, chunks, names, kind)
@@ -223,3 +229,17 @@ def test_files_are_verified_without_a_shuffle(spark, tmp_path, monkeypatch, case
     store.export_words(whole.filter("level > 0 or word_idx > 0"), str(tmp_path / "short"))
     with pytest.raises(ValueError, match="level 0 of .* words"):
         D.verify_files(str(tmp_path / "short"), chunks, names, kind)
+
+
+def test_shuffles_of_tables_in_between_are_deleted_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "CHUNK", 50)
+    seen = []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, real=DataFrameWriter.parquet: seen.append(self._spark.conf.get(scratch.CLEANUP)) or real(self, path))
+    before = spark.conf.get(scratch.CLEANUP)
+    text = spark.range(500).select(F.col("id").alias("pos"), (F.col("id") % 7).alias("raw"))
+    chunks = T.pack(text, ["pos"], "raw", "int")
+    assert seen and set(seen) == {"true"} and spark.conf.get(scratch.CLEANUP) == before
+    with pytest.raises(ValueError), scratch.shuffles_dropped(spark):
+        raise ValueError
+    assert spark.conf.get(scratch.CLEANUP) == before
+    assert T.unpack(chunks).count() == 500

@@ -29,6 +29,8 @@ TREE, MATRIX, NODES = "tree", "matrix", "nodes"
 MOST_COUNTS = 2_000_000
 #: Words that are put together at once.
 BLOCK = 1 << 13
+#: Bytes of words that a pass over the chunks makes about, where levels are exported.
+PASS_BYTES = 1 << 27
 #: Bytes of a bit, and of a word, that are sorted or put together one by one, about.
 BIT_BYTES, WORD_BYTES = 32, 64
 
@@ -75,10 +77,14 @@ def _pack_runs(bits: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple
     return run, index, np.packbits(buffer).view(">u8").astype(np.uint64).view(np.int64)
 
 
-def levels_of(code: np.ndarray, height: int, matrix: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level: its nodes that occur, in its order, their sizes, and their bits one after another."""
+def levels_of(code: np.ndarray, height: int, matrix: bool, levels: range | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level, or some one after another: its nodes that occur, in its order, their sizes, and their bits one after another."""
     order = code.astype(np.uint16 if height <= 16 else np.uint64)
-    for level in range(height):
+    levels = range(height) if levels is None else levels
+    if levels.start:
+        before = order >> order.dtype.type(height - levels.start)
+        order = order[np.argsort(reversed_prefixes(levels.start).astype(order.dtype)[before] if matrix else before, kind="stable")]
+    for level in levels:
         prefix = order >> order.dtype.type(height - level)
         first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
         bit = ((order >> order.dtype.type(height - 1 - level)) & order.dtype.type(1)).astype(np.uint8)
@@ -155,19 +161,29 @@ def build_blocks(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> Dat
     return _runs_by_block(chunks, alphabet, kind).applyInArrow(run, schema)
 
 
-def blocks_in_ranges(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> DataFrame:
-    """``build_blocks`` with ``part``: ranges of (key, block), each a task's, and in their order there. How many blocks a key has is known, so runs of words go to the
-    range of their block at once, and blocks are not moved again. Alphabets that have no counts are left to ``build_blocks``, without ``part``."""
+def blocks_in_passes(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) -> Iterator[DataFrame]:
+    """``build_blocks`` with ``part``: ranges of (key, block), each a task's, and in their order there; a table for each pass over the chunks, which makes as many levels
+    as ``PASS_BYTES`` of words are, one at least. If each is written before the next one, shuffles are those of a pass, not of all levels. Alphabets that have no counts are
+    left to ``build_blocks``, without ``part``."""
     if not alphabet.height or not alphabet.n or alphabet.counts is None or not carries_counts(chunks):
-        return build_blocks(chunks, alphabet, kind)
+        yield build_blocks(chunks, alphabet, kind)
+        return
+    before = counts_before(chunks)
+    step = max(1, PASS_BYTES * 8 // alphabet.n)
+    for first in range(0, alphabet.height, step):
+        yield _blocks_in_ranges(chunks, alphabet, kind, range(first, min(alphabet.height, first + step)), before)
+
+
+def _blocks_in_ranges(chunks: DataFrame, alphabet: Alphabet, kind: str, levels: range, before: tuple[DataFrame, int]) -> DataFrame:
+    """(part, key, block, words) of some levels. How many blocks a key has is known, so runs of words go to the range of their block at once, and blocks are not moved again."""
     key, key_kind, key_type = _key(kind)
     block, height, n = BLOCK, alphabet.height, alphabet.n
     if kind == NODES:  # by id, from 1
-        sizes = np.concatenate([[0], *[alphabet.sizes(level) for level in range(height)]])
+        sizes = np.concatenate([[0], *[alphabet.sizes(level) * (level in levels) for level in range(height)]])
     else:
-        sizes = np.full(height, n)
+        sizes = np.array([n * (level in levels) for level in range(height)])
     blocks = -(-sizes // (64 * block))
-    first, total, tasks = np.cumsum(blocks) - blocks, int(blocks.sum()), tasks_for(chunks.sparkSession, n * height // 8)
+    first, total, tasks = np.cumsum(blocks) - blocks, int(blocks.sum()), tasks_for(chunks.sparkSession, n * len(levels) // 8)
 
     def part_of(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         return ((first[keys] + numbers) * tasks // total).astype(np.int32)
@@ -193,7 +209,7 @@ def blocks_in_ranges(chunks: DataFrame, alphabet: Alphabet, kind: str = TREE) ->
         if held:
             yield whole(held)
 
-    runs = _runs(chunks, alphabet, kind, part_of).repartitionById(tasks, "part").sortWithinPartitions("part", key, "block")
+    runs = _runs(chunks, alphabet, kind, before, levels, part_of).repartitionById(tasks, "part").sortWithinPartitions("part", key, "block")
     return runs.mapInArrow(run, f"part int, {key} {key_kind}, block long, words binary")
 
 
@@ -201,11 +217,11 @@ def _runs_by_block(chunks: DataFrame, alphabet: Alphabet, kind: str):
     """The runs of words of all chunks, grouped by key and block."""
     key = _key(kind)[0]
     tasks = tasks_for(chunks.sparkSession, alphabet.n * alphabet.height // 8)
-    return _runs(chunks, alphabet, kind).repartition(tasks, key, "block").groupBy(key, "block")
+    return _runs(chunks, alphabet, kind, counts_before(chunks)).repartition(tasks, key, "block").groupBy(key, "block")
 
 
-def _runs(chunks: DataFrame, alphabet: Alphabet, kind: str, part_of: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(key, block, at, words): the runs of words of all chunks, and the part that ``part_of`` gives their keys and blocks."""
+def _runs(chunks: DataFrame, alphabet: Alphabet, kind: str, counts: tuple[DataFrame, int], levels: range | None = None, part_of: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(key, block, at, words): the runs of words of all chunks, and the part that ``part_of`` gives their keys and blocks. counts: ``counts_before`` of the chunks."""
     height, matrix, block = alphabet.height, kind == MATRIX, BLOCK
     key, key_kind, key_type = _key(kind)
     symbols = np.array(alphabet.symbols, np.int64)
@@ -223,7 +239,7 @@ def _runs(chunks: DataFrame, alphabet: Alphabet, kind: str, part_of: Callable[[n
                 if raws.is_valid:
                     before[np.searchsorted(symbols, raws.values.to_numpy())] += earlier.values.to_numpy()
                 keys, words, values = [], [], []
-                for level, nodes, sizes, bit in levels_of(code, height, matrix):
+                for level, nodes, sizes, bit in levels_of(code, height, matrix, levels):
                     places = starts[level][nodes] + before.reshape(1 << level, -1).sum(1)[nodes]
                     which, index, word = _pack_runs(bit, sizes, places)
                     keys.append((1 << level) + nodes[which] if kind == NODES else np.full(len(which), level))
@@ -232,7 +248,7 @@ def _runs(chunks: DataFrame, alphabet: Alphabet, kind: str, part_of: Callable[[n
                 out = in_runs(np.concatenate(keys), np.concatenate(words), np.concatenate(values), key, key_type, block)
                 yield out.append_column("part", pa.array(part_of(out[key].to_numpy(), out["block"].to_numpy()))) if part_of else out
 
-    earlier, n_parts = counts_before(chunks)
+    earlier, n_parts = counts
     earlier = F.broadcast(earlier) if n_parts * alphabet.sigma <= MOST_COUNTS else earlier.hint("merge")
     rows = chunks.join(earlier, "part", "left").select("width", "symbols", "seen", "upto", "raws", "earlier")
     return rows.mapInArrow(run, f"{key} {key_kind}, block long, at int, words binary" + (", part int" if part_of else ""))

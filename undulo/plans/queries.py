@@ -80,7 +80,7 @@ class Text:
     def codes(self) -> DataFrame:
         return A.effective_text(self.symbols(), self.alphabet) if self.packed else T.unpack(self.chunks).withColumnRenamed("raw", "code")
 
-    def build(self, kind: str, form: Callable[..., DataFrame] = B.build) -> DataFrame:
+    def build(self, kind: str, form: Callable = B.build) -> DataFrame:
         alphabet = self.alphabet
         if not self.packed and alphabet.symbols is not None:
             alphabet = replace(alphabet, symbols=list(range(alphabet.sigma)))
@@ -326,7 +326,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
 
     def exported(t: Text, kind: str) -> DataFrame:
         path = f"{fresh(t.spark, 'export')}/index"
-        store.export_blocks(t.build(kind, B.blocks_in_ranges), path)
+        store.export_passes(t.build(kind, B.blocks_in_passes), path)
         return store.read_words(t.spark, path, "node_id" if kind == B.NODES else "level")
 
     add("export_levels_users", lambda t: exported(t, B.TREE), "users", sql["wt_levels_users"])
@@ -357,7 +357,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
         chunks = binary(t)
         names = A.effective_alphabet(A.packed_histogram(chunks))
         path = f"{fresh(t.spark, 'export')}/index"
-        store.export_blocks(B.blocks_in_ranges(chunks, names), path)
+        store.export_passes(B.blocks_in_passes(chunks, names), path)
         return D.verify_files(path, chunks, names)
 
     add("verify_stored_bytes", verified, "bytes", "SELECT 0::BIGINT AS differences")

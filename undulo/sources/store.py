@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undulo.sources.scratch import stored, tasks_for
+from undulo.sources.scratch import shuffles_dropped, stored, tasks_for
 from undulo.sources.text import RANGE, file_system, in_order, keyed, symbols_of, with_starts
 
 LEVEL, NODE, HISTOGRAM, ZEROS, TEXT = "lv_{}", "node_{}", "hist", "z", "txt"
@@ -80,6 +80,12 @@ def _create_folder_of(path: str) -> None:
     store.create_dir(folder)
 
 
+def _written(files: DataFrame) -> int:
+    """The number of files that tasks write."""
+    with shuffles_dropped(files.sparkSession):
+        return files.count()
+
+
 def export(rows: DataFrame, order: list[str], value: str, width: int, path: str, extension: str, key: str | None = None) -> int:
     """Writes a column in an order as binary files, for each value of ``key`` its own, whose number takes the place of {} in the extension. Returns the number of files."""
     keys = [key] if key else []
@@ -101,7 +107,7 @@ def export(rows: DataFrame, order: list[str], value: str, width: int, path: str,
     _create_folder_of(path)
     rows = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     number = F.col(key).cast("long") if key else F.lit(0).cast("long")
-    return rows.select(F.spark_partition_id().alias("part"), number.alias("key"), F.col(value).cast("long").alias("value")).mapInArrow(run, "file string").count()
+    return _written(rows.select(F.spark_partition_id().alias("part"), number.alias("key"), F.col(value).cast("long").alias("value")).mapInArrow(run, "file string"))
 
 
 def export_chunks(chunks: DataFrame, width: int, path: str, extension: str) -> int:
@@ -120,7 +126,7 @@ def export_chunks(chunks: DataFrame, width: int, path: str, extension: str) -> i
         yield files.rows()
 
     _create_folder_of(path)
-    return with_starts(chunks).select("start", "width", "symbols").mapInArrow(run, "file string").count()
+    return _written(with_starts(chunks).select("start", "width", "symbols").mapInArrow(run, "file string"))
 
 
 def export_strings(df: DataFrame, column: str, key: str, path: str, extension: str) -> int:
@@ -143,7 +149,7 @@ def export_strings(df: DataFrame, column: str, key: str, path: str, extension: s
         yield files.rows()
 
     _create_folder_of(path)
-    return in_order(keyed(df, column, key), ["_key", "text"], "text", "byte").mapInArrow(run, "file string").count()
+    return _written(in_order(keyed(df, column, key), ["_key", "text"], "text", "byte").mapInArrow(run, "file string"))
 
 
 def export_blocks(blocks: DataFrame, path: str) -> int:
@@ -166,7 +172,7 @@ def export_blocks(blocks: DataFrame, path: str) -> int:
         blocks = stored(blocks, "blocks")  # ranges look at rows twice
         size = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
         blocks = blocks.repartitionByRange(tasks_for(blocks.sparkSession, size), key, "block").sortWithinPartitions(key, "block").withColumn("part", F.spark_partition_id())
-    return blocks.select("part", key, "words").mapInArrow(run, "file string").count()
+    return _written(blocks.select("part", key, "words").mapInArrow(run, "file string"))
 
 
 def _files_of_words(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -176,6 +182,11 @@ def _files_of_words(spark: SparkSession, path: str, key: str) -> DataFrame:
     return files.select("path", F.expr("length div 8").alias("n"), F.regexp_extract("path", f"\\.{extension}([0-9]+)$", 1).cast("long").alias("key"))
 
 
+def export_passes(passes: Iterator[DataFrame], path: str) -> int:
+    """``export_blocks`` of the levels or nodes of each pass, one after another. Returns the number of files."""
+    return sum(export_blocks(blocks, path) for blocks in passes)
+
+
 class LevelFiles:
     """The words of levels, read by their places from the files that ``export_blocks`` or ``export_words`` wrote. Tasks have copies, each with ``OPEN`` files open at most."""
 
